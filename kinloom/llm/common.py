@@ -53,6 +53,12 @@ def words_of(col: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(col, F.lit(""))), ASCII_SPACE), lambda w: w != "")
 
 
+def lower_words(col: Column) -> Column:
+    """Words between ASCII white space of the lower-cased text; null and blank texts have none. Cheaper than words_of."""
+    trimmed = F.btrim(F.lower(F.coalesce(col, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, ASCII_SPACE))
+
+
 def held_out(col: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32(id as text) mod modulus is the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinloom.llm import url_filters, warc
-from kinloom.llm.common import fresh_path, table
+from kinloom.llm import decontamination, fingerprints, html_text, packing, quality, toxicity, url_filters, warc
+from kinloom.llm.common import fresh_path, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,45 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
       ORDER BY length(rh) + length(rp) DESC, length(rh) DESC, rv DESC LIMIT 1) b ON true""")
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def vocabulary() -> tuple[str, str, str]:
+    """The byte-level BPE of the contract for tokenizers, the same as ranks for tiktoken, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~fold)
+    return toxicity.scores(table(spark, sf_dir, "documents"), labels, ["doc_id"]).withColumn("held_out", fold)
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~fold)
+    return quality.scores(table(spark, sf_dir, "documents"), labels, ["doc_id"]).withColumn("held_out", fold)
+
+
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of documents with benchmark items; a document without any is clean and has no row."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

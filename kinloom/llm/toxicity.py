@@ -1,0 +1,24 @@
+"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly; misspellings share character n-grams with what was seen."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinloom.llm import subword
+
+BAG = subword.Bag(sizes=(3, 4, 5), words=False, fold=True, bits=17)
+TRAINING = subword.Training(rows_a_class=4000)
+#: Scores from here on are toxic.
+THRESHOLD = 0.7
+
+
+def scores(docs: DataFrame, labels: DataFrame, columns: list[str], label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", training: subword.Training = TRAINING) -> DataFrame:
+    """The columns of docs, score (the probability that the text is toxic) and predicted (1 from THRESHOLD on).
+
+    Learns from the rows of labels alone, whichever the caller passes. Null and empty texts are scored too, by the bias; rows without
+    labels, null ids and repeated rows are scored like others. Columns named score or predicted in docs give way to the results.
+    """
+    model = subword.fit(docs, labels, BAG, training, id_col, text_col, label_col)
+    out = subword.score(docs, model, BAG, [c for c in columns if c not in ("score", "predicted")], text_col)
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
