@@ -14,12 +14,12 @@ TRAINING = subword.Training()
 THRESHOLD = 0.3
 
 
-def scores(docs: DataFrame, labels: DataFrame, columns: list[str], label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", training: subword.Training = TRAINING) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, columns: list[str], label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", training: subword.Training = TRAINING, source: DataFrame | None = None) -> DataFrame:
     """The columns of docs, score (the probability that the text is good) and predicted (1 from THRESHOLD on).
 
-    Learns from the rows of labels alone, whichever the caller passes. Null and empty texts are scored too, by the bias; rows without
+    Learns from the rows of labels alone, whichever the caller passes, with the texts that source (docs, unless given) has for them. Null and empty texts are scored too, by the bias; rows without
     labels, null ids and repeated rows are scored like others. Columns named score or predicted in docs give way to the results.
     """
-    model = subword.fit(docs, labels, BAG, training, id_col, text_col, label_col)
+    model = subword.fit(source or docs, labels, BAG, training, id_col, text_col, label_col)
     out = subword.score(docs, model, BAG, [c for c in columns if c not in ("score", "predicted")], text_col)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

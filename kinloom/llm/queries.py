@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import decontamination, fingerprints, html_text, packing, quality, toxicity, url_filters, warc
+from kinloom.llm import decontamination, fingerprints, html_text, ngram_join, ngram_lm, packing, quality, toxicity, url_filters, warc
 from kinloom.llm.common import fresh_path, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+@query()
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0)
+    return ngram_lm.score(docs, ngram_lm.train(docs.where(~fold)), ["doc_id"]).withColumn("held_out", fold)
+
+
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
@@ -91,6 +97,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), ngram_join.Likeness(width=3, num=90, den=100))
+
+
 @query()
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps of documents with benchmark items; a document without any is clean and has no row."""
