@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when they are imported.
-MODULES = ["kinloom.plans.matching"]
+MODULES = ["kinloom.plans.matching", "kinloom.plans.pairs"]
 
 
 @dataclass
