@@ -247,13 +247,13 @@ def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _dealt(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard; keys are sorted within each."""
+    if not len(keys):
+        return
     order = np.argsort(shards, kind="stable")
     shards, keys, counts = shards[order], keys[order], counts[order]
     edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]]))
-    rows = [(int(shards[a]), *_pack(keys[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    if rows:
-        s, k, c = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["shard", "keys", "counts"])
+    s, k, c = zip(*((int(shards[a]), *_pack(keys[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["shard", "keys", "counts"])
 
 
 _DEALT = "shard int, keys binary, counts binary"
@@ -264,13 +264,14 @@ _DEALT = "shard int, keys binary, counts binary"
 
 @dataclass
 class Model:
-    """Where the levels are and the corpus's figures; offsets: the first word id of each vocabulary shard."""
+    """Where the levels are and the corpus's figures; offsets: the first word id of each vocabulary shard; present: the shards that have bigrams."""
 
     path: str
     offsets: list[int] = field(default_factory=lambda: [0])
     total: int = 0
     shards: int = 1
     discount: float = 0.5
+    present: frozenset[int] = frozenset()
     _open: dict[str, dict[str, np.ndarray]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -310,6 +311,8 @@ class Model:
         edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             rows = order[a:b]
+            if int(shard[rows[0]]) not in self.present:
+                continue
             level = self.level(name, int(shard[rows[0]]))
             at = ef_find(level, keys[rows])
             hit = at >= 0
@@ -459,7 +462,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     model.shards = max(1, -(-model.total // SHARD_TOKENS))
     model.discount = _discount(sum(r["ones"] for r in got), sum(r["twos"] for r in got))
     got = map_batches(texts, partial(_count_bigrams, model), _DEALT).groupBy("shard").applyInPandas(partial(_build_bigrams, path, model.words), "shard int, n long").collect()
-    present = sorted(r["shard"] for r in got)
+    model.present = frozenset(r["shard"] for r in got)
 
     def blank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -468,7 +471,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             yield pdf
 
     got = map_batches(texts, partial(_count_trigrams, model), _DEALT).groupBy("shard").applyInPandas(partial(_build_trigrams, model), "shard int, n long").collect()
-    empty = sorted(set(present) - {r["shard"] for r in got})
+    empty = sorted(model.present - {r["shard"] for r in got})
     if empty:
         numbers = spark.createDataFrame([(s,) for s in empty], "shard int").repartition(max(1, min(len(empty), shards)), "shard")
         numbers.mapInPandas(blank, "shard int").count()
@@ -494,10 +497,9 @@ def log10_probabilities(model: Model, hashes: np.ndarray, ends: np.ndarray) -> t
     passed = np.ones(len(distinct))
     for s in np.unique(distinct % model.shards):
         rows = np.flatnonzero(distinct % model.shards == s)
-        try:
-            table = model.level("bigrams", int(s))["pass_one"]
-        except FileNotFoundError:  # no word of this shard begins a bigram
+        if int(s) not in model.present:
             continue
+        table = model.level("bigrams", int(s))["pass_one"]
         local = distinct[rows] // model.shards
         inside = local < len(table)
         codes = table[local[inside]]
