@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,7 +62,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
                 break
     if not met:
         return 0.0
-    swapped = sum(x != y for x, y in zip(met, (b[j] for j in range(len(b)) if used[j]), strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(met, (b[j] for j in range(len(b)) if used[j]), strict=True)) // 2
     m = len(met)
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
@@ -88,7 +88,7 @@ def number_edit(a: str, b: str) -> str:
     return "near" if a.isdigit() and b.isdigit() and abs(int(a) - int(b)) <= 10 else "far"
 
 
-def _paired(f, kind: str):
+def _paired(f: Callable[[str, str], object], kind: str) -> Callable[[Column, Column], Column]:
     @F.pandas_udf(kind)
     def scorer(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in pairs:
@@ -97,7 +97,7 @@ def _paired(f, kind: str):
     return scorer
 
 
-def scorer(name: str) -> "callable":
+def scorer(name: str) -> Callable[[Column, Column], Column]:
     """The named scorer as a function of two columns; nulls count as empty strings."""
     kinds = {"ratio": (ratio, "double"), "partial_ratio": (partial_ratio, "double"), "token_set_ratio": (token_set_ratio, "double"), "jaro_winkler": (jaro_winkler, "double"), "number_edit": (number_edit, "string")}
     return _paired(*kinds[name])
