@@ -33,7 +33,8 @@ def partial_ratio(a: str, b: str) -> float:
     if not short:
         return 100.0 if not long_ else 0.0
     n = len(short)
-    return max(ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    best = max(ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    return best if n < len(long_) else max(best, *(ratio(long_, short[max(0, i) : i + n]) for i in range(1 - n, n)))
 
 
 def token_set_ratio(a: str, b: str) -> float:

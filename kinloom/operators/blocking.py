@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +31,32 @@ def sparse_top_k(weights: DataFrame, part: str, doc: str, k: int, least: float)
     return sims.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-
-
-def dense_top_k(q: DataFrame, s: DataFrame, k: int, q_id: str = "q_id", s_id: str = "s1_id", part: str | None = None) -> DataFrame:
-    """Exact top k by inner product; blocks meet within part, or all reference vectors are read block by block.
+def dense_top_k(q: DataFrame, s: DataFrame, k: int, q_id: str = "q_id", s_id: str = "s1_id", part: str | None = None, block: int = 1000) -> DataFrame:
+    """Exact top k by inner product, block against block: (q_id, s_id, sim, rank), ties to the lesser id.
 
-    The pairs stream through the join into a top-k limit that runs before the shuffle, so k rows for each query leave a task.
+    Both sides are dealt into blocks of about block vectors (within part, if given); a task multiplies two blocks and keeps k rows for each
+    query, and a second top-k merges the blocks' rows.
     """
-    pairs = q.join(s, part) if part else q.crossJoin(s)
-    sims = pairs.select(q_id, s_id, F.round(dot(F.col("qv"), F.col("sv")), 6).alias("sim"))
+
+    def dealt(df: DataFrame, key: str, vec: str, side: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        group = [c for c in (part,) if c]
+        return df.groupBy(*group, F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{side}_block")).agg(F.collect_list(key).alias(f"{side}_ids"), F.collect_list(vec).alias(f"{side}_vecs"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, refs = np.array(r.q_ids), np.array(r.s_ids)
+                order = np.argsort(refs, kind="stable")
+                sims = np.round(np.stack(r.q_vecs).astype(float) @ np.stack(r.s_vecs).astype(float)[order].T, 6)
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({q_id: np.repeat(ids, top.shape[1]), s_id: refs[order][top].ravel(), "sim": np.take_along_axis(sims, top, axis=1).ravel()})
+
+    left, right = dealt(q, q_id, "qv", "q"), dealt(s, s_id, "sv", "s")
+    pairs = left.join(right, part) if part else left.crossJoin(right)
+    found = pairs.select("q_ids", "q_vecs", "s_ids", "s_vecs").mapInPandas(best, f"{q_id} long, {s_id} long, sim double")
     order = Window.partitionBy(q_id).orderBy(F.col("sim").desc(), s_id)
-    return sims.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
 def channel_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
