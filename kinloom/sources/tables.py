@@ -42,3 +42,24 @@ def id_lists(keys: DataFrame, pairs: DataFrame, key: str, member: str, out: str)
 def semi_scan(spark: SparkSession, path: str, ids: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """The named columns of the rows whose key is in ids."""
     return spark.read.parquet(path).select(on, *(c for c in columns if c != on)).join(ids.select(on), on, "left_semi")
+
+
+def append_log(spark: SparkSession, path: str, row: dict[str, str]) -> None:
+    """One more line of a run log."""
+    spark.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("append").csv(path, header=True)
+
+
+def export_sample(df: DataFrame, path: str, share: float, seed: int = 7) -> None:
+    """A seeded share of the rows as CSV, for reading by eye."""
+    df.sample(fraction=share, seed=seed).write.mode("overwrite").csv(path, header=True)
+
+
+def write_vectors(df: DataFrame, path: str, key: str, vec: str) -> None:
+    """Vectors as Parquet float arrays, in key order within files so that range filters skip row groups."""
+    df.select(key, F.col(vec).cast("array<float>").alias(vec)).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files below a folder, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
