@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.fixtures import PE, SP, TP, parts_entities, scored_pairs, table, truth_pairs
 from kinloom.functions import arrays, text
-from kinloom.operators import blocking, windows
+from kinloom.operators import blocking, decide, metrics, windows
 from kinloom.plans.retrieval import TOKENS, tfidf_sql, token_diffs
 from kinloom.plans.texts import ADDRS, COMPS, addresses
 from kinloom.registry import REGISTRY
@@ -137,3 +139,60 @@ def io7_semi_scan(spark: SparkSession, sf: str) -> DataFrame:
 def io12_vector_store(spark: SparkSession, sf: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x * x)), 4).alias("norm"))
+
+
+@q(f"WITH {PE} SELECT CAST(entity_id AS VARCHAR) AS entity_id, name_core AS business_name, CASE WHEN num > 25 THEN '' ELSE addr END AS business_address, country FROM pe")
+def io1_tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records through an unquoted TSV file in the shared folder and back; empty fields stay empty strings."""
+    from kinloom.sources.tables import read_tsv, write_tsv
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    path = f"{base}/kinloom/tsv-{uuid.uuid4().hex[:12]}"
+    addr = F.when(F.col("num") > 25, "").otherwise(F.col("addr"))
+    write_tsv(parts_entities(spark, sf).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("name_core").alias("business_name"), addr.alias("business_address"), "country"), path)
+    return read_tsv(spark, path)
+
+
+@q("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
+def io6_pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns of a wide table; the filters reach the scan."""
+    return table(spark, sf, "lineitem").where("l_quantity >= 45 AND l_returnflag = 'R'").select("l_orderkey", "l_partkey")
+
+
+@q(f"WITH {PE} SELECT entity_id, 'q' || CAST(side AS VARCHAR) AS src, count(*) OVER (PARTITION BY country, name_core) AS name_n FROM pe WHERE side > 1 UNION ALL SELECT entity_id, 's1', count(*) OVER (PARTITION BY country, name_core) FROM pe WHERE side = 1")
+def io8_load_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides with their source and how common the name is on the side."""
+    e, w = parts_entities(spark, sf), Window.partitionBy("country", "name_core")
+    n = F.count("*").over(w).alias("name_n")
+    return e.where("side > 1").select("entity_id", F.concat(F.lit("q"), F.col("side").cast("string")).alias("src"), n).unionByName(e.where("side = 1").select("entity_id", F.lit("s1").alias("src"), n))
+
+
+@q(f"WITH {SP} SELECT s1_id, string_agg(CAST(s23_id AS VARCHAR), ',' ORDER BY s23_id) AS members FROM sp WHERE p >= 0.8 GROUP BY 1")
+def a6_string_join(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list("s23_id")), lambda x: x.cast("string"))
+    return scored_pairs(spark, sf).where("p >= 0.8").groupBy("s1_id").agg(F.array_join(ids, ",").alias("members"))
+
+
+@q(f"WITH {SP} SELECT s1_id, s23_id, p FROM sp ORDER BY p DESC, s1_id, s23_id LIMIT 100 OFFSET 50")
+def s2_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_pairs(spark, sf).orderBy(F.col("p").desc(), "s1_id", "s23_id").offset(50).limit(100).select("s1_id", "s23_id", "p")
+
+
+@q(f"WITH {SP} SELECT country, count(*) AS n, CASE country WHEN 'India' THEN 0.8 ELSE 0.75 END::DOUBLE AS th, count(*) FILTER (WHERE p >= CASE country WHEN 'India' THEN 0.8 ELSE 0.75 END) AS accepted FROM sp GROUP BY 1")
+def m13_country_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    th = decide.by_country(F.col("country"), decide.THRESHOLDS, decide.DEFAULT_THRESHOLD)
+    return scored_pairs(spark, sf).groupBy("country").agg(F.count("*").alias("n"), F.max(th).alias("th"), F.count_if(F.col("p") >= th).alias("accepted"))
+
+
+@q("SELECT CAST(tp AS BIGINT) AS tp, CAST(np AS BIGINT) AS np, CAST(nt AS BIGINT) AS nt, round(CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / CAST(np AS DOUBLE)) * (tp / CAST(nt AS DOUBLE)) / (0.25 * (tp / CAST(np AS DOUBLE)) + tp / CAST(nt AS DOUBLE)) END, 6)::DOUBLE AS f FROM (SELECT unnest(range(5)) AS tp) a, (SELECT unnest(range(5)) AS np) b, (SELECT unnest(range(5)) AS nt) c WHERE tp <= np AND tp <= nt")
+def e2_scalar_f05(spark: SparkSession, sf: str) -> DataFrame:
+    five = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))
+    grid = spark.range(1).select(five.alias("tp")).withColumn("np", five).withColumn("nt", five).where("tp <= np AND tp <= nt")
+    return grid.withColumn("f", F.round(metrics.f05(F.col("tp"), F.col("np"), F.col("nt")), 6))
+
+
+@q(f"WITH {PE}, {WORDS}, {tfidf_sql('va', 1, 1.0)} SELECT q_id, s1_id, rank FROM rk WHERE rank < 3")
+def b3_b4_ranked_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """0-based ranks of word retrieval for all countries at once."""
+    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), F.split("name_core", " ").alias("terms"))
+    return blocking.sparse_top_k(blocking.tfidf(e, F.col("is_ref"), "part", "id", "terms", 1, 1.0), "part", "id", 3, 0.01).select("q_id", "s1_id", "rank")
