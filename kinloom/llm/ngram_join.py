@@ -24,7 +24,8 @@ from kinloom.llm.common import map_batches, materialize
 
 #: Upper bound of a band's sizes over its lower bound.
 BAND = 1.4
-BITMAP_WORDS = 16
+#: Bits of a bitmap: a power of two, this many for each shingle at least, and so many at least.
+BITS_A_SHINGLE, LEAST_BITS = 4, 1024
 #: Sets of a segment that one task compares with each other; larger segments are dealt out as pairs of such blocks.
 BLOCK = 2000
 #: Ids up to which a list is broadcast (16 bytes each); beyond, both sides are shuffled.
@@ -77,10 +78,16 @@ def shingle_set(text: str | None, width: int, words: dict[bytes, int]) -> np.nda
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """64 * BITMAP_WORDS bits; each hash sets one."""
-    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    bits[(hashes & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Each hash sets the bit of its lowest bits; larger sets have more bits, so that they do not fill up."""
+    size = max(LEAST_BITS, 1 << (BITS_A_SHINGLE * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with fewer words."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
 
 
 def bands(most: int) -> list[int]:
@@ -168,53 +175,88 @@ def _described(docs: DataFrame, how: Likeness) -> DataFrame:
     return map_batches(docs, make, "id long, key long, n long, signatures array<long>")
 
 
-def _sets(docs: DataFrame, how: Likeness) -> DataFrame:
-    """(key, n, bits, hashes) for each row with shingles."""
+def _bitmaps(docs: DataFrame, how: Likeness) -> DataFrame:
+    """(key, n, bits) for each row with shingles."""
 
     def make():
         words = _Words()
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = [s for s in (shingle_set(t.as_py(), how.width, words) for t in batch["text"]) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([bitmap(s).tobytes() for s in rows], pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())],
-                ["key", "n", "bits", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([bitmap(s).tobytes() for s in rows], pa.binary())], ["key", "n", "bits"])
 
         return step
 
-    return map_batches(docs.select("text"), make, "key long, n long, bits binary, hashes binary")
+    return map_batches(docs.select("text"), make, "key long, n long, bits binary")
+
 
+def _sets(docs: DataFrame, how: Likeness) -> DataFrame:
+    """(key, hashes) for each row with shingles."""
+
+    def make():
+        words = _Words()
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for text in batch["text"]:
+                if len(s := shingle_set(text.as_py(), how.width, words)):
+                    yield pa.RecordBatch.from_arrays([pa.array([_key(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["key", "hashes"])
+
+        return step
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+    return map_batches(docs.select("text"), make, "key long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, how: Likeness, bounded: bool) -> DataFrame:
-    """The (a, b) pairs of keys that link: first by sizes and bitmaps unless bounded, then by their whole sets."""
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits each pair of bitmaps differs, at the smaller one's size."""
+    out = np.zeros(len(a), np.int64)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        shapes.setdefault((len(x) // 8, len(y) // 8), []).append(i)
+    for (x, y), rows in shapes.items():
+        left = np.frombuffer(b"".join([a[i] for i in rows]), np.uint64).reshape(-1, x)
+        right = np.frombuffer(b"".join([b[i] for i in rows]), np.uint64).reshape(-1, y)
+        out[rows] = np.bitwise_count(_folded(left, min(x, y)) ^ _folded(right, min(x, y))).sum(axis=1, dtype=np.int64)
+    return out
 
-    def by_bits():
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    one = pairs.join(table.select(F.col("key").alias("a"), *columns), "a")
+    return one.join(table.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
+
+
+def _bounded(pairs: DataFrame, bitmaps: DataFrame, how: Likeness) -> DataFrame:
+    """The (a, b) pairs of keys whose sizes and bitmaps allow a link."""
+
+    def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            differing = np.bitwise_count(_bits(batch["bits"]) ^ _bits(batch["bits_b"])).sum(axis=1, dtype=np.int64)
-            keep = _may_link(batch["n"].to_numpy(zero_copy_only=False), batch["n_b"].to_numpy(zero_copy_only=False), differing, how)
+            n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n", "n_b"))
+            keep = _may_link(n, m, _differing(batch["bits"].to_pylist(), batch["bits_b"].to_pylist()), how)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
         return step
 
-    def by_sets():
+    return map_batches(_both(pairs, bitmaps, "n", "bits").select("a", "b", "n", "n_b", "bits", "bits_b"), make, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, ids: DataFrame, how: Likeness, broadcast_ids: int) -> DataFrame:
+    """The (a, b) pairs that link by their whole sets; only the sets that pairs name are made and moved."""
+
+    def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), how) for x, y in zip(batch["hashes"].to_pylist(), batch["hashes_b"].to_pylist(), strict=True)]
+            keep = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), how) for x, y in zip(batch["hashes"], batch["hashes_b"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        one = pairs.join(sets.select(F.col("key").alias("a"), *columns), "a")
-        return one.join(sets.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
+    named = materialize(ids.join(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "key", "left_semi"), "named")
+    sets = materialize(_sets(_texts_of(rows, named, broadcast_ids), how).join(named.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return map_batches(_both(pairs, sets, "hashes").select("a", "b", "hashes", "hashes_b"), make, "a long, b long")
 
-    if not bounded:
-        pairs = materialize(map_batches(with_both(pairs, "n", "bits").select("a", "b", "n", "n_b", "bits", "bits_b"), by_bits, "a long, b long"), "near")
-    return map_batches(with_both(pairs, "hashes").select("a", "b", "hashes", "hashes_b"), by_sets, "a long, b long")
+
+def _texts_of(rows: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """The rows that have one of the ids."""
+    chosen = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return rows.join(chosen.select(F.col("id").alias("chosen")).distinct(), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,8 +282,10 @@ def _apart(members: DataFrame, how: Likeness) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def pairs(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            key, n, label, bits, own = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "sig", "own"))
-            bits = _bits(t["bits"])
+            key, n, label, own = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "own"))
+            raw = t["bits"].to_pylist()
+            words = min(map(len, raw)) // 8
+            bits = np.concatenate([_folded(np.frombuffer(x, np.uint64)[None], words) for x in raw])
             left, right = np.flatnonzero(own <= 0), np.flatnonzero(own >= 0)  # own: -1 left block, 1 right block, 0 both
             for i in left:
                 j = right[(label[right] != label[i]) & ((own[i] != 0) | (right > i))]
@@ -294,20 +338,20 @@ def classes(docs: DataFrame, how: Likeness, id_col: str = "doc_id", text_col: st
     weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
     wanted = described.join(weights.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("first")).select("key", F.col("first.id").alias("id"))
     ids = materialize(wanted, "wanted")
-    chosen = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    texts = rows.join(chosen.select(F.col("id").alias("chosen")).distinct(), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = materialize(_sets(texts, how).join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    bitmaps = materialize(_bitmaps(_texts_of(rows, ids, broadcast_ids), how).join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]), "bitmaps")
     ranked = members.join(weights, "key").withColumn("pivot", F.max(F.struct("weight", "key", "n")).over(by_sig))
-    near = (how.den * F.least("n", "pivot.n") >= how.num * F.greatest("n", "pivot.n")) & (F.col("key") != F.col("pivot.key"))
-    first = ranked.where(near).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b")).distinct()
-    links = materialize(_confirmed(first, sets, how, bounded=False), "links")
+    sized = (how.den * F.least("n", "pivot.n") >= how.num * F.greatest("n", "pivot.n")) & (F.col("key") != F.col("pivot.key"))
+    first = ranked.where(sized).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b")).distinct()
+    near = materialize(_bounded(first, bitmaps, how), "near")
+    links = materialize(_confirmed(near, rows, ids, how, broadcast_ids), "links")
     labels = components(links)
     # segments whose sets are not yet one component: all that are apart are compared
     labelled = members.where("size > 2").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = labelled.withColumns({"least": F.min("label").over(by_sig), "most": F.max("label").over(by_sig)}).where(F.col("least") < F.col("most"))
-    more = _apart(open_.join(sets.select("key", "bits"), "key").select("sig", "key", "n", "label", "bits"), how).distinct()
-    second = materialize(_confirmed(materialize(more, "apart"), sets, how, bounded=True), "links")
-    if not second.isEmpty():
+    more = _apart(open_.join(bitmaps.select("key", "bits"), "key").select("sig", "key", "n", "label", "bits"), how).distinct()
+    apart = materialize(more, "apart")
+    second = materialize(_confirmed(apart, rows, ids, how, broadcast_ids), "links") if not apart.isEmpty() else None
+    if second is not None and not second.isEmpty():
         labels = components(links.unionByName(second))
     return described.join(labels, "key", "left").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("label"))
 
