@@ -129,11 +129,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bag: Bag, how:
     layer = rng.normal(0, 0.5, (how.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen, layer_seen, bias_seen = np.full(1 << bag.bits, 1e-8, np.float32), np.full(layer.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-    ready = [(b.astype(np.int64), (c / max(1, c.sum())).astype(np.float32), y, w) for b, c, y, w in rows]
     for epoch in range(how.epochs):
         rate = np.float32(how.rate * (1 - epoch / how.epochs))
-        for k in rng.permutation(len(ready)):
-            buckets, share, y, weight = ready[k]
+        for k in rng.permutation(len(rows)):
+            # made anew each time: the rows are most of what the driver holds
+            buckets, counts, y, weight = rows[k]
+            buckets, share = buckets.astype(np.int64), (counts / max(1, counts.sum())).astype(np.float32)
             rows_of = table[buckets]
             mean = share @ rows_of
             z = mean @ layer + bias
@@ -176,11 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
         return step
 
     got = map_batches(texts.select(F.col("id").cast("long").alias("id"), "text", "y"), make, "id long, y int, b binary, c binary").toArrow()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the driver's JVM has held the same bytes
     total = sum(sizes.values())
     taken = {y: min(n, how.rows_a_class) for y, n in sizes.items()}
     weight = {y: (sizes[y] / total) / (taken[y] / sum(taken.values())) for y in sizes}
-    rows = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["b"].to_pylist(), got["c"].to_pylist(), strict=True))
-    return train([(np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32), y, weight[y]) for _, y, b, c in rows], bag, how)
+    # views of the Arrow buffers, not copies
+    rows = sorted(((i, y, k) for k, (i, y) in enumerate(zip(got["id"].to_pylist(), got["y"].to_pylist(), strict=True))))
+    columns = [[np.frombuffer(x.as_buffer(), np.uint32) for x in got[c]] for c in ("b", "c")]
+    return train([(columns[0][k], columns[1][k], y, weight[y]) for _, y, k in rows], bag, how)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bag: Bag, columns: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
