@@ -8,6 +8,7 @@ the words are compared one by one around the hits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,28 +38,39 @@ def _seeds(h: Column, masks: tuple[str, ...], whole: list[int]) -> Column:
 
 
 def _best_run(doc: Column, item: Column, diagonal: Column) -> Column:
-    """The stretch of a diagonal with the largest sum, where equal words count 1 and others -share / (1 - share)."""
+    """The stretch of a diagonal with the largest sum among those of enough words, where equal words count 1 and others -share / (1 - share).
+
+    Both are scaled to whole numbers, so a stretch has the share just if its sum is not negative; best is negative if no stretch has it.
+    """
     low, high = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(doc) - diagonal) - 1
-    loss = -MIN_SHARE / (1 - MIN_SHARE)
-    zero = F.struct(*(F.lit(v).alias(n) for n, v in (("now", 0.0), ("start", 0), ("same", 0), ("best", 0.0), ("best_start", 0), ("best_end", 0), ("best_same", 0))))
+    least = F.least(F.lit(MIN_WORDS), F.size(item))
+    share = Fraction(MIN_SHARE).limit_denominator(1000)
+    equal = lambda p: (F.get(doc, p + diagonal) == F.get(item, p)).cast("int")
+    total = lambda same, words: share.denominator * same - share.numerator * words
+    # same: equal words so far; from_same: those before the last start that leaves enough words; low_*: the start of the least sum up to there.
+    zero = F.struct(*(F.lit(v).cast("int").alias(n) for n, v in (("same", 0), ("from_same", 0), ("low", None), ("low_at", 0), ("low_same", 0), ("best", -1), ("best_start", 0), ("best_end", 0), ("best_same", 0))))
 
     def step(s: Column, p: Column) -> Column:
-        equal = F.get(doc, p + diagonal) == F.get(item, p)
-        anew = s["now"] <= 0
-        now = F.when(anew, F.lit(0.0)).otherwise(s["now"]) + F.when(equal, F.lit(1.0)).otherwise(F.lit(loss))
-        start, same = F.when(anew, p).otherwise(s["start"]), F.when(anew, F.lit(0)).otherwise(s["same"]) + equal.cast("int")
+        start = p + 1 - least
+        same = s["same"] + equal(p)
+        from_same = F.when(start > low, s["from_same"] + equal(start - 1)).otherwise(s["from_same"])
+        at_start = total(from_same, start - low)
+        lower = (start >= low) & (s["low"].isNull() | (at_start <= s["low"]))
+        pick_low = lambda new, old: F.when(lower, new).otherwise(old)
+        now = total(same, p + 1 - low) - pick_low(at_start, s["low"])
         better = now > s["best"]
         pick = lambda new, old: F.when(better, new).otherwise(old)
         return F.struct(
-            now.alias("now"), start.alias("start"), same.alias("same"), pick(now, s["best"]).alias("best"), pick(start, s["best_start"]).alias("best_start"),
-            pick(p + 1, s["best_end"]).alias("best_end"), pick(same, s["best_same"]).alias("best_same"),
+            same.alias("same"), from_same.alias("from_same"), pick_low(at_start, s["low"]).alias("low"), pick_low(start, s["low_at"]).alias("low_at"), pick_low(from_same, s["low_same"]).alias("low_same"),
+            pick(now, s["best"]).alias("best"), pick(pick_low(start, s["low_at"]), s["best_start"]).alias("best_start"), pick(p + 1, s["best_end"]).alias("best_end"),
+            pick(same - pick_low(from_same, s["low_same"]), s["best_same"]).alias("best_same"),
         )
 
-    return F.aggregate(F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>")), zero, step)
+    return F.aggregate(F.when(high + 1 - low >= least, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>")), zero, step)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row for each document and benchmark item that overlap: the ids, key, the words [doc_start, doc_end) and [item_start, item_end) of the longest overlap, and matched.
+    """One row for each document and benchmark item that overlap: the ids, key, the words [doc_start, doc_end) and [item_start, item_end) of the overlap with most equal words, and matched.
 
     An overlap has MIN_WORDS words or more (or all words of a shorter item), MIN_SHARE of them equal; texts are lower-cased and words
     stand between ASCII white space. Null and empty texts on either side overlap with nothing. Documents are told apart by key, a
@@ -82,8 +94,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     near = texts.join(found, "key", "left_semi").dropDuplicates(["key"]).select("doc", "key", hashes(F.col("text")).alias("h"))
     aligned = hits.join(near, "key").join(items, "item_key").withColumn("d", F.explode("diagonals")).withColumn("run", _best_run(F.col("h"), F.col("item_words"), F.col("d")))
     words = F.col("run.best_end") - F.col("run.best_start")
-    enough = (words >= F.least(F.lit(MIN_WORDS), F.size("item_words"))) & (F.col("run.best_same") >= MIN_SHARE * words)
-    best = aligned.where(enough).groupBy("key", "item_key").agg(F.max(F.struct(F.col("run.best_same").alias("matched"), (-F.col("d")).alias("d"), words.alias("words"), F.col("run.best_start").alias("start"), "doc", "item")).alias("b"))
+    best = aligned.where(F.col("run.best") >= 0).groupBy("key", "item_key").agg(F.max(F.struct(F.col("run.best_same").alias("matched"), (-F.col("d")).alias("d"), words.alias("words"), F.col("run.best_start").alias("start"), "doc", "item")).alias("b"))
     return best.select(
         F.col("b.doc").alias(id_col), F.col("b.item").alias(item_col), "key", (F.col("b.start") - F.col("b.d")).cast("long").alias("doc_start"), (F.col("b.start") - F.col("b.d") + F.col("b.words")).cast("long").alias("doc_end"),
         F.col("b.start").cast("long").alias("item_start"), (F.col("b.start") + F.col("b.words")).cast("long").alias("item_end"), F.col("b.matched").cast("long").alias("matched"),

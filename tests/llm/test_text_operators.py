@@ -138,6 +138,43 @@ def test_classifiers(spark, module, column, query):
     assert module.scores(odd.limit(0), labels, ["doc_id"], column, training=small).count() == 0
 
 
+def overlaps(doc, item):
+    """Whether some stretch of some diagonal has 13 words or more (or the whole of a shorter item), 80 % of them equal."""
+    least = min(13, len(item))
+    for d in range(least - len(item), len(doc) - least + 1):
+        low, high = max(0, -d), min(len(item), len(doc) - d)
+        same = [0]
+        for p in range(low, high):
+            same.append(same[-1] + (doc[p + d] == item[p]))
+        if any(5 * (same[j] - same[i]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + least, len(same))):
+            return True
+    return False
+
+
+def changed(rng, item, places):
+    """The item with new words at places, between others."""
+    return [f"x{rng.integers(9)}" for _ in range(rng.integers(3))] + [f"y{i}" if i in places else w for i, w in enumerate(item)] + [f"z{i}" for i in range(rng.integers(3))]
+
+
+def compare_leaks(spark, docs, items):
+    want = {(i, k) for i, d in enumerate(docs) for k, item in enumerate(items) if overlaps(d, item)}
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(*frames).collect()}
+    assert want and set(got) == want and len(want) < len(docs) * len(items)
+    for (i, k), r in got.items():
+        pairs = list(zip(docs[i][r.doc_start : r.doc_end], items[k][r.item_start : r.item_end], strict=True))
+        assert len(pairs) >= min(13, len(items[k])) and sum(a == b for a, b in pairs) == r.matched >= 0.8 * len(pairs)
+
+
+def test_decontamination_substitutions(spark):
+    """Substitutions near the edges and anywhere in items of 13 to 25 words, against brute force."""
+    rng = np.random.default_rng(5)
+    items = [[f"w{n}_{i}" for i in range(n)] for n in (13, 14, 17, 18, 20, 25)]
+    docs = [changed(rng, item, set(rng.choice(len(item), k, replace=False).tolist())) for item in items for k in range(len(item) // 5 + 2) for _ in range(4)]
+    docs += [changed(rng, item, places) for item in items for places in ({0}, {1}, {len(item) - 1}, {len(item) - 2}, {1, len(item) - 2})]
+    compare_leaks(spark, docs, items)
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><ul><li>menu</ul></nav><div class="side-bar sidebar"><p>side</p></div><div class="post-{0}"><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four<p>five<ul><li>six<li>seven</ul><div class="ad x">ad</div><form>f</form><section class="comments"><p>reader</p></section><script>var a="</p>";</script></div><footer>&copy; foot</footer></body></html>'
 
 
