@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import lower_words
 
-#: Fixed masks: 1 looks at a word, 0 ignores it.
-MASKS = ("1101011", "11001101")
+#: Fixed masks: 1 looks at a word, 0 ignores it. One of them fits wherever 8 words or more have the share (by enumeration; tested).
+MASKS = ("1101011", "11001101", "11111")
 #: An overlap counts from so many words (all of a shorter item), of which this share is equal.
 MIN_WORDS, MIN_SHARE = 13, 0.8
 #: Rows of a join's smaller side up to which it is broadcast (under 50 bytes each); beyond, both sides are shuffled.
@@ -27,13 +29,24 @@ def _hashed(h: Column, k: int, offsets: list[int]) -> Callable[[Column], Column]
     return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(h, i + j) for j in offsets)).alias("seed"))
 
 
-def _seeds(h: Column, masks: tuple[str, ...], whole: list[int]) -> Column:
-    """An array of (at, seed) for each mask at each word where it fits; whole: lengths of items that no mask fits, all of whose words count."""
+def _share() -> Fraction:
+    return Fraction(MIN_SHARE).limit_denominator(1000)
+
+
+def _short_masks(n: int) -> list[str]:
+    """Masks over all of an item of n words: one for each largest set of words that may differ and that no fixed mask gets around."""
+    masks = ("".join("0" if i in differ else "1" for i in range(n)) for differ in combinations(range(n), n - ceil(_share() * n)))
+    return [whole for whole in masks if not any(all(c <= w for c, w in zip(mask, whole[at:], strict=False)) for mask in MASKS for at in range(n - len(mask) + 1))]
+
+
+def _seeds(h: Column, short: list[str], whole: bool) -> Column:
+    """An array of (at, seed) for each mask at each word where it fits; whole: short masks are for all words of h or none."""
     found = []
-    for k, mask in enumerate([*masks, *("1" * n for n in whole)]):
+    for k, mask in enumerate([*MASKS, *short]):
         offsets = [j for j, c in enumerate(mask) if c == "1"]
         last = F.size(h) - len(mask)
-        found.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), _hashed(h, k, offsets))).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>")))
+        fits = last == 0 if whole and k >= len(MASKS) else last >= 0
+        found.append(F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), _hashed(h, k, offsets))).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>")))
     return F.concat(*found)
 
 
@@ -44,7 +57,7 @@ def _best_run(doc: Column, item: Column, diagonal: Column) -> Column:
     """
     low, high = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(doc) - diagonal) - 1
     least = F.least(F.lit(MIN_WORDS), F.size(item))
-    share = Fraction(MIN_SHARE).limit_denominator(1000)
+    share = _share()
     equal = lambda p: (F.get(doc, p + diagonal) == F.get(item, p)).cast("int")
     total = lambda same, words: share.denominator * same - share.numerator * words
     # same: equal words so far; from_same: those before the last start that leaves enough words; low_*: the start of the least sum up to there.
@@ -80,12 +93,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_col), F.col(item_text)).alias("item_key"), hashes(F.col(item_text)).alias("item_words"))
     items = items.where(F.size("item_words") > 0).dropDuplicates(["item_key"])
-    shortest = min(map(len, MASKS))
-    lengths = [r[0] for r in items.where(F.size("item_words") < shortest).select(F.size("item_words")).distinct().collect()]  # under the shortest mask: a few numbers
-    targets = items.select("item_key", F.explode(_seeds(F.col("item_words"), MASKS, sorted(lengths))).alias("s")).select("item_key", F.col("s.at").alias("item_at"), "s.seed")
+    lengths = [r[0] for r in items.where(F.size("item_words") < MIN_WORDS).select(F.size("item_words")).distinct().collect()]  # a few numbers
+    short = [mask for n in sorted(lengths) for mask in _short_masks(n)]
+    targets = items.select("item_key", F.explode(_seeds(F.col("item_words"), short, True)).alias("s")).select("item_key", F.col("s.at").alias("item_at"), "s.seed")
     if targets.count() <= broadcast_rows:
         targets = F.broadcast(targets)
-    seeds = texts.select("key", hashes(F.col("text")).alias("h")).select("key", F.explode(_seeds(F.col("h"), MASKS, sorted(lengths))).alias("s"))
+    seeds = texts.select("key", hashes(F.col("text")).alias("h")).select("key", F.explode(_seeds(F.col("h"), short, False)).alias("s"))
     hits = seeds.select("key", F.col("s.at").alias("at"), "s.seed").join(targets, "seed").groupBy("key", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     hits = hits.persist()
     found = hits.select("key").distinct()

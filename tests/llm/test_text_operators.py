@@ -175,6 +175,26 @@ def test_decontamination_substitutions(spark):
     compare_leaks(spark, docs, items)
 
 
+@pytest.mark.parametrize("n", range(1, 26))
+def test_decontamination_seeds(n):
+    """Whichever words of n differ, as many as the share allows, some mask gets around them; longer stretches hold one of these."""
+    from itertools import combinations
+
+    masks = [*decontamination.MASKS, *(decontamination._short_masks(n) if n < decontamination.MIN_WORDS else [])]
+    places = [{at + j for j, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    assert all(any(p.isdisjoint(differ) for p in places) for differ in combinations(range(n), n // 5))
+
+
+def test_decontamination_short_items(spark):
+    """Items of 5 to 12 words, with every set of words changed that the share allows, and one word more."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    items = [[f"w{n}_{i}" for i in range(n)] for n in range(5, 13)]
+    docs = [changed(rng, item, set(differ)) for item in items for k in range(len(item) // 5 + 2) for differ in list(combinations(range(len(item)), k))[: 66 if k <= len(item) // 5 else 3]]
+    compare_leaks(spark, docs, items)
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><ul><li>menu</ul></nav><div class="side-bar sidebar"><p>side</p></div><div class="post-{0}"><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four<p>five<ul><li>six<li>seven</ul><div class="ad x">ad</div><form>f</form><section class="comments"><p>reader</p></section><script>var a="</p>";</script></div><footer>&copy; foot</footer></body></html>'
 
 
