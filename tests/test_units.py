@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from helpers import DATA
 from hypothesis import given, settings
@@ -95,3 +96,25 @@ def test_prune_and_draws(spark):
     assert 1 <= kept <= 6
     assert all(0 <= r.value <= 1 and r.k >= 0 for r in models.m24_sampled_sets(spark, SF).collect())
     assert {r.country for r in models.m25_count_matched_shift(spark, SF).collect()} == {"US", "India", "France"}
+
+
+def test_sampled_sets(spark, monkeypatch):
+    """Sets are as large as the record allows, pairs below the least score are misses, and blocks change nothing but the draws."""
+    k, value = models.best_set(1, np.full(50, 0.99))
+    assert k == 50 and value > 0.97
+    assert models.best_set(2, np.full(6, 0.29))[0] > 0
+    alone, among = (models.best_set(3, np.array([0.7, *[0.04] * n])) for n in (0, 100))
+    assert alone[0] == 1 and among[1] < 0.8 * alone[1]
+    p = np.round(np.random.default_rng(4).random(300), 3)
+    whole = models.best_set(5, p)
+    monkeypatch.setattr(models, "DRAWN", 7)
+    parts = models.best_set(5, p)
+    assert abs(whole[0] - parts[0]) <= 15 and abs(whole[1] - parts[1]) < 0.02
+    listed = np.sort(p[p >= 0.05])[::-1]
+    rng = np.random.default_rng(6)
+    hit = rng.random((4000, len(listed))) < listed
+    true = hit.sum(axis=1) + rng.poisson(p[p < 0.05].sum(), 4000)
+    f = (1.25 * np.cumsum(hit, axis=1) / (0.25 * true[:, None] + np.arange(1, len(listed) + 1))).mean(axis=0)
+    assert abs(whole[1] - f.max()) < 0.02
+    rows = {r.s1_id: r.k for r in models.m24_sampled_sets(spark, SF).collect()}
+    assert len(rows) == models.scored_pairs(spark, SF).select("s1_id").distinct().count() and max(rows.values()) > 20
