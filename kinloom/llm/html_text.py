@@ -1,17 +1,20 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored and the best one's generalised tag-class path is the page's vote. Spark counts votes by host, and
-every page is extracted again with the path its host prefers among those it has.
+Each page's containers are scored and the best one's generalised tag-class path is the page's vote. Spark counts votes by host, joins them
+to the paths of each form (the set of paths that pages of a host have), and every page is read again with the path of most votes that it has.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -36,10 +39,8 @@ CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td
 SCOPES = frozenset("html body table div article section main ul ol dl blockquote td nav aside form footer header".split())
 #: Nesting from which on containers count as part of the one above.
 DEPTH = 64
-#: Paths kept for a host, best first; a page that has none of them uses its own best.
-PATHS_A_HOST = 8
-#: Hosts up to which their paths are broadcast (about a kilobyte each); beyond, pages are joined by shuffle, where AQE splits hot hosts.
-BROADCAST_HOSTS = 10_000
+#: Rows of votes or forms up to which they are broadcast (some hundred bytes each); beyond, both sides are shuffled, where AQE splits hot hosts.
+BROADCAST_ROWS = 50_000
 
 
 class Page:
@@ -144,33 +145,55 @@ class Page:
             links[self.parent[i]] += links[i]
         return max(range(len(chars)), key=lambda i: (self.prior[i] * max(0, chars[i] - links[i]), i))
 
-    def text(self, paths: list[str]) -> str:
-        """The text under the first of the paths that the page has, else under its best container."""
-        have = set(self.path)
-        path = next((p for p in paths if p in have), None)
-        chosen = [p == path for p in self.path] if path is not None else [i == self.best() for i in range(len(self.path))]
-        for i in range(1, len(chosen)):
-            chosen[i] |= chosen[self.parent[i]]
-        return " ".join(t for i, t in self.blocks if chosen[i])
+    def paths(self) -> tuple[list[str], bytes]:
+        """The page's different paths in order, and their digest."""
+        found = sorted(set(self.path))
+        return found, hashlib.blake2b("\0".join(found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
+    def pieces(self) -> list[tuple[list[int], str]]:
+        """The text in page order, cut where the container changes, each with the places among paths() of the paths it is under."""
+        place = {p: i for i, p in enumerate(self.paths()[0])}
+        over = [{place[self.path[0]]}]
+        for i in range(1, len(self.path)):
+            over.append(over[self.parent[i]] | {place[self.path[i]]})
+        return [(sorted(over[i]), " ".join(t for _, t in group)) for i, group in groupby(self.blocks, lambda x: x[0])]
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): what the pages of each host vote for, most votes first, ties by path; at most PATHS_A_HOST of them."""
+
+def host_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, form, paths, vote, votes): how many of a host's pages with the same paths vote for each path; pages without text do not vote."""
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            votes = []
-            for source in batch["html"]:
+            counts: Counter = Counter()
+            paths = {}
+            for host, source in zip(batch["host"].to_pylist(), batch["html"], strict=True):
                 page = Page(source.as_py())
-                votes.append(page.path[page.best()] if page.blocks else None)
-            yield pa.RecordBatch.from_arrays([batch["host"], pa.array(votes, pa.string())], ["host", "path"])
+                if page.blocks:
+                    found, form = page.paths()
+                    paths[form] = found
+                    counts[host, form, page.path[page.best()]] += 1
+            hosts, forms, votes = zip(*counts, strict=True) if counts else ((), (), ())
+            columns = [pa.array(hosts, pa.string()), pa.array(forms, pa.binary()), pa.array([paths[f] for f in forms], pa.list_(pa.string())), pa.array(votes, pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "form", "paths", "vote", "votes"])
 
         return step
 
     source = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    votes = map_batches(source, make, "host string, path string").where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))).where(F.col("rank") <= PATHS_A_HOST)
-    return ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    counted = map_batches(source, make, "host string, form binary, paths array<string>, vote string, votes long")
+    return counted.groupBy("host", "form", "paths", "vote").agg(F.sum("votes").alias("votes"))
+
+
+def favourites(forms: DataFrame) -> DataFrame:
+    """(host, form, place): of the paths of a form the one that most pages of its host vote for, ties by path, as its place in paths."""
+    votes = forms.groupBy("host", F.col("vote").alias("path")).agg(F.sum("votes").alias("votes"))
+    own = forms.dropDuplicates(["host", "form"]).select("host", "form", F.posexplode("paths").alias("place", "path"))
+    return own.join(_small(votes), ["host", "path"]).groupBy("host", "form").agg(F.min_by("place", F.struct(-F.col("votes"), "path")).alias("place"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows to be joined, broadcast if they are few."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _host(url_col: str):
@@ -183,16 +206,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty html have no text; pages with null or odd URLs vote together as the host without a name; repeated rows come back
     as often as they came; other columns are dropped. Truncated markup is read as far as it goes.
     """
-    paths = host_paths(pages, url_col, html_col).persist(StorageLevel.MEMORY_AND_DISK)
-    side = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _host(url_col).alias("host")).join(side, "host", "left").drop("host")
+    best = _small(favourites(host_forms(pages, url_col, html_col).persist(StorageLevel.MEMORY_AND_DISK)))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _host(url_col).alias("host"))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = [Page(h.as_py()).text(p or []) for h, p in zip(batch["html"], batch["paths"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
+            forms, pieces = [], []
+            for source in batch["html"]:
+                page = Page(source.as_py())
+                forms.append(page.paths()[1])
+                pieces.append([{"over": over, "text": text} for over, text in page.pieces()])
+            kind = pa.list_(pa.struct([("over", pa.list_(pa.int32())), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], batch["host"], pa.array(forms, pa.binary()), pa.array(pieces, kind)], ["id", "url", "host", "form", "pieces"])
 
         return step
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows.select("id", "url", "html", "paths"), make, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    cut = map_batches(rows, make, f"id {kind}, url string, host string, form binary, pieces array<struct<over:array<int>,text:string>>")
+    chosen = F.transform(F.filter("pieces", lambda x: F.array_contains(x["over"], F.col("place"))), lambda x: x["text"])
+    texts = cut.join(best, ["host", "form"], "left").select("id", "url", F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("text"))
+    return texts.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -210,6 +210,18 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, html_text.BROADCAST_ROWS])
+def test_html_many_templates(spark, monkeypatch, broadcast):
+    """On a host of 30 templates the vote for each holds, also on its pages whose own best container is another one."""
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", broadcast)
+    names = [a + b for a in "abcdef" for b in "klmno"]
+    page = '<html><body><div class="t{0}"><p>main text of {0}</div><div class="more{0}"><p>{1}</div></body></html>'
+    rows = [(i * 10 + j, None if i % 2 else "odd", page.format(n, "x" if j < 3 else "a much longer text than the main text has")) for i, n in enumerate(names) for j in range(4)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i * 10 + j: f"main text of {n}" for i, n in enumerate(names) for j in range(4)}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 def test_html_pages(spark):
     for r in QUERIES["op7_html_text"](spark, SF).join(table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         import html
