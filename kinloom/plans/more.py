@@ -58,14 +58,20 @@ def b12_view_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @q()
 def b18_minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate neighbours among part names by MinHash; every pair returned is within the distance."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
+    """Approximate neighbours among part names by MinHash; every pair returned is within the distance.
 
-    e = parts_entities(spark, sf).where("num <= 5").select("entity_id", "side", arrays.char_ngrams(F.col("name_core"), 3).alias("grams"))
-    vectors = CountVectorizer(inputCol="grams", outputCol="v", binary=True).fit(e).transform(e)
+    Each different name is hashed once and records are joined back by name. Terms are numbered in their own order, so runs agree.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, MinHashLSH
+
+    e = parts_entities(spark, sf).select("entity_id", "side", "name_core")
+    names = e.select("name_core").distinct().withColumn("grams", arrays.char_ngrams(F.col("name_core"), 3))
+    terms = [r[0] for r in names.select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
+    vectors = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="v").setBinary(True).transform(names)
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=4, seed=7).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors.where("side > 1"), vectors.where("side = 1"), 0.5, "d")
-    return pairs.select(F.col("datasetA.entity_id").alias("q_id"), F.col("datasetB.entity_id").alias("s1_id"), F.round("d", 6).alias("distance"))
+    close = model.approxSimilarityJoin(vectors, vectors, 0.5, "d").select(F.col("datasetA.name_core").alias("nq"), F.col("datasetB.name_core").alias("n1"), F.round("d", 6).alias("distance"))
+    pairs = close.join(e.where("side > 1").select(F.col("entity_id").alias("q_id"), F.col("name_core").alias("nq")), "nq").join(e.where("side = 1").select(F.col("entity_id").alias("s1_id"), F.col("name_core").alias("n1")), "n1")
+    return pairs.select("q_id", "s1_id", "distance")
 
 
 @q(f"WITH {TOKENS}, i AS (SELECT country, tok, count(*) AS n_in, avg(CAST(same AS DOUBLE)) AS in_same FROM dt WHERE side = 'xq' GROUP BY 1, 2), o AS (SELECT country, tok, count(*) AS n_out, avg(CAST(same AS DOUBLE)) AS out_same FROM dt WHERE side = 'x1' GROUP BY 1, 2) SELECT coalesce(i.country, o.country) AS country, coalesce(i.tok, o.tok) AS tok, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, round((coalesce(n_in, 0) + 1) / CAST(coalesce(n_out, 0) + 1 AS DOUBLE), 6) AS in_out, round(in_same, 6) AS in_same, round(out_same, 6) AS out_same FROM i FULL JOIN o ON i.country = o.country AND i.tok = o.tok")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import similarity as sim
 from kinloom.functions import text
 from kinloom.operators import metrics, windows
-from kinloom.plans import models
+from kinloom.plans import models, more
 from kinloom.sources import tables
 
 SF = f"{DATA}/sf0.001"
@@ -118,3 +118,15 @@ def test_sampled_sets(spark, monkeypatch):
     assert abs(whole[1] - f.max()) < 0.02
     rows = {r.s1_id: r.k for r in models.m24_sampled_sets(spark, SF).collect()}
     assert len(rows) == models.scored_pairs(spark, SF).select("s1_id").distinct().count() and max(rows.values()) > 20
+
+
+def test_minhash_candidates(spark):
+    """Over all records, against brute force: equal names always meet, others mostly, and distances are exact."""
+    rows = more.parts_entities(spark, SF).select("entity_id", "side", "name_core").collect()
+    grams = {r.name_core: {f" {w} "[i : i + 3] for w in r.name_core.split(" ") for i in range(max(1, len(w)))} for r in rows}
+    apart = {(a, b): 1 - len(x & y) / len(x | y) for a, x in grams.items() for b, y in grams.items()}
+    want = {(q.entity_id, s.entity_id): d for q in rows if q.side > 1 for s in rows if s.side == 1 and (d := apart[q.name_core, s.name_core]) <= 0.5}
+    found = more.b18_minhash_candidates(spark, SF).collect()
+    got = {(r.q_id, r.s1_id): r.distance for r in found}
+    assert len(found) == len(got) and all(abs(d - want[k]) < 1e-5 for k, d in got.items())
+    assert {k for k, d in want.items() if d == 0} <= set(got) and len(got) >= 0.8 * len(want)
