@@ -7,8 +7,7 @@ discounted probability and one for the weight that it passes to shorter contexts
 written to the shared folder and memory-mapped by the tasks that score; only the pages in use are read.
 
 The model interpolates absolute discounting: p(w|uv) = max(c - D, 0) / c(uv) + g(uv) p(w|v), and so on down to single words, where what is
-discounted goes to unknown words. Trigrams count from MIN_TRIGRAM occurrences on; counts are of all training texts, and each shard has the D that
-its own counts of one and two ask.
+discounted goes to unknown words. Counts are of all training texts, and each shard has the D that its own counts of one and two ask.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from kinloom.llm.common import fresh_path, map_batches
 U64 = np.uint64
 #: Token of a text's end, told from the word hashes by its own number.
 END = 0x5D0C_E4D0_0000_0001
-MIN_TRIGRAM = 2
 #: Tokens a task counts or scores at a time, tokens a shard is made for, words whose hashes a task remembers.
 BATCH_TOKENS, SHARD_TOKENS, CACHE = 1_000_000, 2_500_000, 300_000
 #: Bytes stand for log10 from 0 down to this, evenly.
@@ -393,16 +391,14 @@ def _build_bigrams(path: str, words: int, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _count_trigrams(model: Model):
-    """Only trigrams whose two bigrams are frequent enough can be so themselves; the others need no count."""
     words = _Words()
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batch["text"]):
             hashes, ends = tokens(group, words)
             ids = model.ids(hashes)[0]
-            place, often, _, _ = _bigrams_at(model, ids, ends)
+            place = _bigrams_at(model, ids, ends)[0]
             at = _positions(ids, ends, 2)
-            at = at[(often[at] >= MIN_TRIGRAM) & (often[at - 1] >= MIN_TRIGRAM)]
             if not len(at):
                 continue
             shard = ids[at - 2] % model.shards
@@ -419,7 +415,6 @@ def _build_trigrams(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _summed(pdf)
     shard = int(pdf["shard"].iloc[0])
     d = _discount(int((counts == 1).sum()), int((counts == 2).sum()))
-    keys, counts = keys[counts >= MIN_TRIGRAM], counts[counts >= MIN_TRIGRAM]
     two = model.level("bigrams", shard)
     seen = two["often"].astype(np.int64)
     seen[two["large"]] = two["large_count"]

@@ -132,3 +132,15 @@ def test_lm_sums_to_one_and_edges(spark, monkeypatch):
     assert ngram_lm.score(docs.limit(0), model, ["doc_id"]).count() == 0
     blank = ngram_lm.score(docs, ngram_lm.train(docs.limit(0)), ["doc_id"]).collect()
     assert all(r.score == 0 and r.n_known == 0 and r.base_score == 0 for r in blank)
+
+
+def test_lm_counts_every_trigram(spark, monkeypatch):
+    """Trigrams seen once are in the model and make their last word likelier than its bigram does."""
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
+    texts = ["a b c", "x b d", "x b d", "y b d", "y b d e", "p q r s t"]
+    model = ngram_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {(*w[i : i + 3],) for t in texts for w in [[*t.split(), None]] for i in range(len(w) - 2)}
+    assert sum(len(model.level("trigrams", s)["p"]) for s in range(model.shards)) == len(want)
+    hashes, ends = ngram_lm.tokens(["a b c", "x b c"], ngram_lm._Words())
+    logs = ngram_lm.log10_probabilities(model, hashes, ends)[0]
+    assert logs[2] > logs[ends[0] + 2] + 0.3
