@@ -43,6 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns and their types as map_batches takes them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z only; other letters stay, as the contracts ask."""
     return F.translate(col, UPPER, LOWER)

@@ -1,9 +1,10 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, bit counts as an upper bound, exact sorted-array intersection.
 
 Equal sets are one class from the start. Two linked sets of sizes a <= b differ in at most d = (a + b) * (1 - t) / (1 + t) shingles. The sizes
-are cut into bands; a tile holds what a band's sets can link with, and splits shingles by hash into d + 1 segments, of which linked sets
-share one whole. So sets meet in a tile through a segment's hash, never all with all. There, bitmaps bound the overlap from above: each
-bit in which two differ is a shingle in one of them only. What passes is intersected exactly.
+are cut into bands; a tile holds what a band's sets can link with, and splits shingles by hash into m > d segments, of which linked sets share
+m - d whole. Ordered by what they hold, most shingles first, the first d + 1 segments of either set then have a shared one among them, so only these
+stand for a set and the emptiest, which unrelated sets share, do not. Sets meet in a tile through a segment's hash, never all with all. There,
+bitmaps bound the overlap from above: each bit in which two differ is a shingle in one of them only. What passes is intersected exactly.
 
 A segment's sets first compare with one of them, the one that meets most others, and components form; only sets still apart are compared among
 each other. Groups of copies therefore cost a comparison for each, not for each pair. Sets are compared by 64-bit hashes of shingles.
@@ -20,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import map_batches, materialize
+from kinloom.llm.common import map_batches, materialize, schema_of, unused
 
 #: Upper bound of a band's sizes over its lower bound.
 BAND = 1.4
+#: Segments of a tile: this many times those that stand for a set, and so many more; and the least similarity that leaves no empty one among these.
+SPARE, MORE, LEAST_SHARE = 1.25, 6, 0.7
 #: Bits of a bitmap: a power of two, this many for each shingle at least, and so many at least.
 BITS_A_SHINGLE, LEAST_BITS = 4, 1024
 #: Sets of a segment that one task compares with each other; larger segments are dealt out as pairs of such blocks.
@@ -43,6 +46,14 @@ class Likeness:
     num: int = 4
     den: int = 5
 
+    def __post_init__(self) -> None:
+        if not LEAST_SHARE * self.den <= self.num <= self.den or self.width < 1:
+            raise ValueError(f"links need a similarity from {LEAST_SHARE} to 1 and a width of a word at least")
+
+    def differing(self, a: int, b: int) -> int:
+        """In how many shingles linked sets of these sizes differ at most."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _B
@@ -98,36 +109,36 @@ def bands(most: int) -> list[int]:
     return found
 
 
-def segments(upper: int, how: Likeness) -> int:
-    """How many segments a tile has whose smaller sets are below upper: one more than linked sets can differ in."""
-    a = upper - 1
-    b = a * how.den // how.num
-    return (a + b) * (how.den - how.num) // (how.den + how.num) + 1
+def tiles(n: int, how: Likeness) -> list[tuple[int, int, int]]:
+    """(tile, segments, how many of them stand for it) where a set of n shingles is: its own band's tile, and those of bands below that its partners reach.
 
-
-def tiles(n: int, how: Likeness) -> list[tuple[int, int]]:
-    """(tile, segments) where a set of n shingles stands: its own band's, and that of the band below if its partners reach there."""
+    A tile is of the smaller set's band. Its segments follow from the band; those that stand for a set are one more than it and a partner there can differ in.
+    """
     lows = bands(n)
-    k = len(lows) - 2
-    found = [(k, segments(lows[k + 1], how))]
-    if k and how.num * n <= how.den * (lows[k] - 1):
-        found.append((k - 1, segments(lows[k], how)))
+    found = []
+    for k in range(len(lows) - 2, -1, -1):
+        upper = lows[k + 1] - 1
+        if n > upper and how.num * n > how.den * upper:
+            break
+        most = how.differing(upper, upper * how.den // how.num) + 1
+        own = how.differing(n, n * how.den // how.num if n <= upper else upper) + 1
+        found.append((k, int(np.ceil(most * SPARE)) + MORE, own))
     return found
 
 
 def signatures(hashes: np.ndarray, how: Likeness) -> np.ndarray:
-    """A number for each segment of each tile that a set stands in: equal where the sets' parts in the segment are equal."""
+    """Numbers for the segments that stand for a set in each of its tiles: equal where the sets' parts in the segment are equal."""
     sums = np.zeros(len(hashes) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_mix(hashes + _A), out=sums[1:])
         found = []
-        for tile, m in tiles(len(hashes), how):
+        for tile, m, own in tiles(len(hashes), how):
             # the hashes are sorted, so a segment is a run of them
             place = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             edges = np.searchsorted(place, np.arange(m + 1, dtype=np.uint64))
-            part = sums[edges[1:]] - sums[edges[:-1]]
-            count = (edges[1:] - edges[:-1]).astype(np.uint64)
-            found.append(_mix(_mix(part * _A + count) + np.arange(m, dtype=np.uint64) * _B + np.uint64(tile) * _C))
+            part, count = sums[edges[1:]] - sums[edges[:-1]], np.diff(edges)
+            all_ = _mix(_mix(part * _A + count.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * _B + np.full(1, tile, np.uint64) * _C)
+            found.append(all_[np.lexsort((all_, -count))[:own]])
     return np.concatenate(found)
 
 
@@ -364,13 +375,14 @@ def linked_components(docs: DataFrame, how: Likeness, id_col: str = "doc_id", te
 
 
 def one_of_each(docs: DataFrame, how: Likeness, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """docs with one row of each component, that of the least id (nulls last); rows without shingles all stay."""
-    rows = materialize(classes(docs, how, id_col, text_col), "classes")
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "key")
+    """docs with one row of each component, that of the least id (nulls last); rows without shingles all stay, and so do all other columns, whatever their names."""
+    rows = materialize(classes(docs.select(id_col, text_col), how, id_col, text_col).withColumnRenamed(id_col, "id"), "classes")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     best = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("best"))
     judged = rows.where(F.col("label").isNotNull()).join(best, "label")
-    out = judged.where(~(F.col(id_col).eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")))).select(F.col(id_col).alias("gone"), F.col("key").alias("gone_key")).distinct()
-    twice = judged.groupBy(id_col, "key").count().where("count > 1").select(id_col).distinct()
+    gone_id, gone_key, set_key = (unused(docs.columns, c) for c in ("gone", "gone_key", "set_key"))
+    out = judged.where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")))).select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    twice = judged.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(gone_id)).distinct()
     out, twice = materialize(out, "gone"), materialize(twice, "twice")
 
     def with_key(batch_docs: DataFrame) -> DataFrame:
@@ -381,21 +393,19 @@ def one_of_each(docs: DataFrame, how: Likeness, id_col: str = "doc_id", text_col
 
             def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 found = [shingle_set(t.as_py(), how.width, words) for t in batch[text_col]]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_key(s) if len(s) else None for s in found], pa.int64())], [*columns, "__key"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_key(s) if len(s) else None for s in found], pa.int64())], [*columns, set_key])
 
             return step
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch_docs.schema) + ", __key long"
-        return map_batches(batch_docs, make, schema)
+        return map_batches(batch_docs, make, f"{schema_of(batch_docs)}, {set_key} long")
 
     gone = F.broadcast(out) if out.count() <= broadcast_ids else out
-    repeated = not twice.isEmpty()
     # rows whose id has no row to drop pass without their sets being made again
-    suspects = out.select("gone").unionByName(twice.select(F.col(id_col).alias("gone"))).distinct()
-    suspects = F.broadcast(suspects) if out.count() <= broadcast_ids else suspects
-    same_id = F.col(id_col).eqNullSafe(F.col("gone"))
+    suspects = out.select(gone_id).unionByName(twice).distinct()
+    suspects = F.broadcast(suspects) if suspects.count() <= broadcast_ids else suspects
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id))
     clear, doubtful = docs.join(suspects, same_id, "left_anti"), docs.join(suspects, same_id, "left_semi")
-    kept = with_key(doubtful).join(gone, same_id & F.col("__key").eqNullSafe(F.col("gone_key")), "left_anti")
-    if repeated:
-        kept = kept.where(F.col("__key").isNotNull()).dropDuplicates([id_col, "__key"]).unionByName(kept.where(F.col("__key").isNull()))
-    return clear.unionByName(kept.drop("__key"))
+    kept = with_key(doubtful).join(gone, same_id & F.col(set_key).eqNullSafe(F.col(gone_key)), "left_anti")
+    if not twice.isEmpty():
+        kept = kept.where(F.col(set_key).isNotNull()).dropDuplicates([id_col, set_key]).unionByName(kept.where(F.col(set_key).isNull()))
+    return clear.unionByName(kept.drop(set_key))

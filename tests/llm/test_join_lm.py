@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import DATA
+from pyspark.sql import functions as F
 
 from kinloom.llm import ngram_join, ngram_lm
 from kinloom.llm.common import table
@@ -59,7 +60,7 @@ def made():
 def test_join(spark, monkeypatch, how, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = made()
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, label int")
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, label int").withColumns({c: F.lit(1) for c in ("gone", "gone_key", "__key", "set_key", "id", "a b")})
     want = brute(rows, how)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked_components(docs, how).collect()), key=str) == want
     kept = ngram_join.one_of_each(docs, how, broadcast_ids=0 if block == 40 else ngram_join.BROADCAST_IDS).collect()
@@ -77,15 +78,25 @@ def test_join_query(spark):
 
 
 def test_segments_hold_what_links():
-    """Sets that link share a segment of a tile."""
+    """Sets that link share a segment that stands for both, and sets of a few shingles or more have no empty one among these."""
     rng = np.random.default_rng(2)
-    for how in (ngram_join.Likeness(3, 90, 100), ngram_join.Likeness(5, 4, 5)):
+    for how in (ngram_join.Likeness(3, 90, 100), ngram_join.Likeness(5, 4, 5), ngram_join.Likeness(5, 7, 10)):
         for n in [*range(1, 60), 200, 333, 1000]:
             a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
-            for extra in range(0, n // 4 + 2):
+            for extra in range(0, n // 2 + 2):
                 b = np.unique(np.concatenate([a[: len(a) - extra // 2], rng.integers(0, 1 << 64, (extra + 1) // 2, np.uint64)]))
                 if len(b) and ngram_join._linked(a, b, how):
                     assert set(ngram_join.signatures(a, how).tolist()) & set(ngram_join.signatures(b, how).tolist())
+    for share in ((1, 2), (6, 10), (5, 4)):
+        with pytest.raises(ValueError):
+            ngram_join.Likeness(5, *share)
+
+
+def test_unrelated_sets_do_not_meet():
+    rng = np.random.default_rng(3)
+    for how in (ngram_join.Likeness(3, 90, 100), ngram_join.Likeness()):
+        found = collections.Counter(x for n in rng.integers(8, 400, 3000) for x in set(ngram_join.signatures(np.unique(rng.integers(0, 1 << 64, n, np.uint64)), how).tolist()))
+        assert sum(c > 1 for c in found.values()) < 5
 
 
 def test_elias_fano():
