@@ -4,17 +4,19 @@ Every level is a monotone sequence, coded by Elias and Fano: the word hashes, th
 the n-gram one shorter) times the vocabulary's size plus the last word's id. So the upper bits of a level are also the pointers from contexts
 to their continuations, and an n-gram is found by one successor search from where its context begins. Beside each n-gram lie one byte for its
 discounted probability and one for the weight that it passes to shorter contexts. Levels are split by the first word into shards, built by one task each,
-written to the shared folder and memory-mapped by the tasks that score; only the pages in use are read.
+written to the shared folder and memory-mapped by the tasks that score; only the pages in use are read. The n-grams of a word that would fill
+a shard by itself are dealt out by their second word.
 
 The model interpolates absolute discounting: p(w|uv) = max(c - D, 0) / c(uv) + g(uv) p(w|v), and so on down to single words, where what is
 discounted goes to unknown words. Counts are of all training texts, and each shard has the D that its own counts of one and two ask.
+Rounding is finest near 1, and what it adds above 1 is cut off.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 import numpy as np
@@ -25,15 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import fresh_path, map_batches
+from kinloom.llm.common import fresh_path, map_batches, schema_of
 
 U64 = np.uint64
-#: Token of a text's end, told from the word hashes by its own number.
+#: Stands for the hash of a text's end.
 END = 0x5D0C_E4D0_0000_0001
-#: Tokens a task counts or scores at a time, tokens a shard is made for, words whose hashes a task remembers.
-BATCH_TOKENS, SHARD_TOKENS, CACHE = 1_000_000, 2_500_000, 300_000
-#: Bytes stand for log10 from 0 down to this, evenly.
-FLOOR = -10.0
+#: Tokens a task counts or scores at a time, tokens a shard is made for, words that a task remembers, levels that it keeps open.
+BATCH_TOKENS, SHARD_TOKENS, CACHE, OPEN = 1_000_000, 5_000_000, 300_000, 400
+#: A word seen so often has its n-grams dealt out, to one shard for each so many.
+HOT_TOKENS = 1_000_000
+#: Bytes stand for log10 from 0 down to this, in steps that grow from 0 on; what is less likely is left to shorter contexts.
+FLOOR = -8.0
 
 
 # ---- Elias-Fano
@@ -51,77 +55,93 @@ def _select_table() -> np.ndarray:
 _IN_BYTE = _select_table()
 
 
+def _planes(low_bits: int) -> list[tuple[str, np.dtype, int]]:
+    """Arrays of 4, 2 and 1 bytes that the lower bits of an entry fill, and the bits below each."""
+    found, below = [], 0
+    for size in (4, 2, 1):
+        while low_bits - below >= 8 * size:
+            found.append((f"low{below}", np.dtype(f"u{size}"), below))
+            below += 8 * size
+    return found
+
+
 def ef_encode(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays that hold sorted distinct unsigned 64-bit keys: lower bits packed, upper bits in unary, zeros counted each 512 bits."""
+    """Arrays that hold sorted distinct unsigned 64-bit keys: whole bytes of lower bits, upper bits in unary, zeros counted each 512 bits."""
     n = len(keys)
-    span = int(keys[-1]) // max(1, n) if n else 0
-    low_bits = max(0, span.bit_length() - 1)
+    top = int(keys[-1]) if n else 0
+    low_bits = min(range(0, 64, 8), key=lambda b: b * n + n + (top >> b))
     high = (keys >> U64(low_bits)).astype(np.int64)
-    size = (n + (int(high[-1]) if n else 0) + 1 + 511) // 512 * 512
+    size = (n + (top >> low_bits) + 1 + 511) // 512 * 512
     upper = np.zeros(size, np.uint8)
     upper[high + np.arange(n)] = 1
     words = np.packbits(upper, bitorder="little").view(U64)
     zeros = 512 - np.bitwise_count(words).reshape(-1, 8).sum(axis=1, dtype=np.int64)
-    low = np.zeros(0, np.uint8)
-    if low_bits and n:
-        step = 1 << 16
-        # each step's bits fill whole bytes, as the step is a multiple of 8
-        parts = [np.packbits(((keys[i : i + step, None] >> np.arange(low_bits, dtype=U64)) & U64(1)).astype(np.uint8).reshape(-1), bitorder="little") for i in range(0, n, step)]
-        low = np.concatenate(parts)
-    low = np.concatenate([low, np.zeros(16 + -len(low) % 8, np.uint8)]).view(U64)
-    return {"meta": np.array([n, low_bits], np.int64), "upper": words, "zeros": np.concatenate([[0], np.cumsum(zeros)[:-1]]).astype(np.int64), "low": low}
+    low = {name: ((keys >> U64(below)) & U64((1 << 8 * kind.itemsize) - 1)).astype(kind) for name, kind, below in _planes(low_bits)}
+    # a word of zeros more, as searches read the word behind
+    return {"meta": np.array([n, low_bits], np.int64), "upper": np.append(words, U64(0)), "zeros": np.concatenate([[0], np.cumsum(zeros)[:-1]]).astype(np.int64)} | low
 
 
 def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The position of each key, or -1: select finds the run of entries with its upper bits, a search in the run its successor."""
+    """The position of each key, or -1: select finds the run of entries with its upper bits, a search in the run its successor. Sorted keys are faster."""
     n, low_bits = (int(x) for x in ef["meta"])
     found = np.full(len(keys), -1, np.int64)
     if not n:
         return found
-    upper, zeros, low = ef["upper"], ef["zeros"], ef["low"]
+    upper, zeros = ef["upper"], ef["zeros"]
+    low = [(ef[name], U64(below)) for name, _, below in _planes(low_bits)]
     high = (keys >> U64(low_bits)).astype(np.int64)
     # the last entry's upper bits are the number of zeros before its one; beyond them nothing is
-    live = np.flatnonzero((high >= 0) & (high < len(upper) * 64 - n))
+    live = np.flatnonzero((high >= 0) & (high < (len(upper) - 1) * 64 - n))
     high = high[live]
-    begin, end = _select0(upper, zeros, high - 1) + 1 - high, _select0(upper, zeros, high) - high
-    mask = (U64(1) << U64(low_bits)) - U64(1)
-    target = keys[live] & mask
-    some = begin < end
-    live, begin, end, target = live[some], begin[some], end[some], target[some]
+    bit = _select0(upper, zeros, high - 1) + 1
+    begin = bit - high
+    # the ones from there on are the run
+    word, shift = bit >> 6, (bit & 63).astype(U64)
+    ones = upper[word] >> shift
+    ones |= np.where(shift > 0, upper[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
+    rest = ~ones
+    with np.errstate(over="ignore"):
+        run = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+    long = np.flatnonzero(run == 64)
+    if len(long):
+        run[long] = _select0(upper, zeros, high[long]) - high[long] - begin[long]
+    some = np.flatnonzero(run)
+    live, begin, run = live[some], begin[some], run[some]
+    target = keys[live] & U64((1 << low_bits) - 1)
     while len(live):
-        at = (begin + end) >> 1
-        if low_bits:
-            offset = at * low_bits
-            shift = (offset & 63).astype(U64)
-            value = low[offset >> 6] >> shift
-            value |= np.where(shift > 0, low[(offset >> 6) + 1] << ((U64(64) - shift) & U64(63)), U64(0))
-            value &= mask
+        half = run >> 1
+        at = begin + half
+        if low:
+            value = low[0][0][at].astype(U64)
+            for plane, below in low[1:]:
+                value |= plane[at].astype(U64) << below
         else:
             value = np.zeros(len(at), U64)
         hit = value == target
         found[live[hit]] = at[hit]
         above = value < target
-        begin, end = np.where(above, at + 1, begin), np.where(above, end, at)
-        go = (begin < end) & ~hit
-        live, begin, end, target = live[go], begin[go], end[go], target[go]
+        run = np.where(above, run - half - 1, half)
+        begin = np.where(above, at + 1, begin)
+        go = np.flatnonzero((run > 0) & ~hit)
+        live, begin, run, target = live[go], begin[go], run[go], target[go]
     return found
 
 
 def _select0(upper: np.ndarray, zeros: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The bit of the k-th zero, from 0; -1 for k = -1."""
     out = np.full(len(k), -1, np.int64)
-    for start in range(0, len(k), 1 << 16):
-        part = np.flatnonzero(k[start : start + (1 << 16)] >= 0) + start
+    for start in range(0, len(k), 1 << 15):  # what fits a core's cache
+        part = np.flatnonzero(k[start : start + (1 << 15)] >= 0) + start
         want = k[part]
         block = np.searchsorted(zeros, want, "right") - 1
         left = want - zeros[block]
         words = ~upper[block[:, None] * 8 + np.arange(8)]
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
         word = np.minimum((sums <= left[:, None]).sum(axis=1), 7)
         rows = np.arange(len(part))
         left -= np.where(word > 0, sums[rows, word - 1], 0)
         octets = np.ascontiguousarray(words[rows, word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
+        sums = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int16)
         octet = np.minimum((sums <= left[:, None]).sum(axis=1), 7)
         left -= np.where(octet > 0, sums[rows, octet - 1], 0)
         out[part] = block * 512 + word * 64 + octet * 8 + _IN_BYTE[octets[rows, octet], np.clip(left, 0, 7)]
@@ -131,13 +151,15 @@ def _select0(upper: np.ndarray, zeros: np.ndarray, k: np.ndarray) -> np.ndarray:
 def quantise(p: np.ndarray) -> np.ndarray:
     """A byte for each probability or weight: 0 for none, 1 to 255 for log10 from FLOOR up to 0."""
     with np.errstate(divide="ignore"):
-        level = np.rint((np.log10(p) - FLOOR) / -FLOOR * 254)
-    return np.where(p > 0, np.clip(level, 0, 254) + 1, 0).astype(np.uint8)
+        down = np.log10(p) / FLOOR
+    return np.where(down <= 1, np.rint(254 * (1 - np.sqrt(np.clip(down, 0, 1)))) + 1, 0).astype(np.uint8)
+
+
+_RESTORED = np.concatenate([[0.0], 10 ** (FLOOR * (1 - np.arange(255) / 254) ** 2)])
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    table = np.concatenate([[0.0], 10 ** (FLOOR + np.arange(255) / 254 * -FLOOR)])
-    return table[codes]
+    return _RESTORED[codes]
 
 
 # ---- files
@@ -166,15 +188,16 @@ def _put(uri: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _map(uri: str) -> dict[str, np.ndarray]:
-    """A file's arrays, memory-mapped; a file that is not on a mounted path is copied to an unnamed local one first."""
+    """A file's arrays, memory-mapped; a file that is not on a mounted path is copied, block by block, to an unnamed local one first."""
     fs, path = _filesystem(uri)
     if fs.type_name == "local":
         raw = np.memmap(path, np.uint8, "r")
     else:
+        import shutil
         import tempfile
 
-        with tempfile.TemporaryFile() as f:
-            f.write(fs.open_input_file(path).readall())
+        with tempfile.TemporaryFile() as f, fs.open_input_stream(path) as source:
+            shutil.copyfileobj(source, f, 1 << 22)
             f.flush()
             raw = np.memmap(f, np.uint8, "r")
     raw = np.asarray(raw)
@@ -187,26 +210,51 @@ def _map(uri: str) -> dict[str, np.ndarray]:
 # ---- tokens
 
 
-class _Words(dict):
+class _Numbers(dict):
+    """Numbers that a task gives to words as it meets them; 0 is a text's end. fresh: the hashes of the last ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh = [END]
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        n = self[word] = len(self) + 1
+        self.fresh.append(xxhash.xxh64_intdigest(word))
+        return n
 
 
-def tokens(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all texts' tokens, and where each text ends."""
+def _numbers(texts: list[str | None], words: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts' tokens, each text with its end, and where each text ends."""
     parts, ends, at = [], [], 0
     for text in texts:
         split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.empty(len(split) + 1, U64)
-        h[:-1] = np.fromiter(map(words.__getitem__, split), U64, len(split))
-        h[-1] = END
-        parts.append(h)
-        at += len(h)
+        n = np.zeros(len(split) + 1, np.int64)
+        n[:-1] = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+        parts.append(n)
+        at += len(n)
         ends.append(at)
-    return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.array(ends, np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(ends, np.int64)
+
+
+class Reader:
+    """Texts as numbers, and by number what the model says of the word: id (-1: unknown), count, probability alone, weight that it passes."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.words = model, _Numbers()
+        self.ids, self.counts, self.alone, self.passed = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > CACHE:
+            self.__init__(self.model)
+        numbers, ends = _numbers(texts, self.words)
+        if self.words.fresh:
+            m = self.model
+            ids, counts = m.ids(np.array(self.words.fresh, U64))
+            self.words.fresh.clear()
+            alone = np.where(counts > 0, (counts - m.discount) / max(1, m.total), m.discount * m.words / max(1, m.total))
+            for name, new in (("ids", ids), ("counts", counts), ("alone", alone), ("passed", m.passed_by_words(ids))):
+                setattr(self, name, np.concatenate([getattr(self, name), new]))
+        return numbers, ends
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -243,14 +291,27 @@ def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts.astype(np.int64), first)
 
 
+def _by_shard(shards: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order by shard and key."""
+    bits = int(keys.max()).bit_length() if len(keys) else 0
+    if bits + (int(shards.max()).bit_length() if len(shards) else 0) <= 64:
+        return np.argsort((shards.astype(U64) << U64(min(bits, 63))) | keys)
+    return np.lexsort((keys, shards))
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The stretches of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(0, np.int64)
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def _dealt(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard; keys are sorted within each."""
     if not len(keys):
         return
-    order = np.argsort(shards, kind="stable")
+    order = _by_shard(shards, keys)
     shards, keys, counts = shards[order], keys[order], counts[order]
-    edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]]))
-    s, k, c = zip(*((int(shards[a]), *_pack(keys[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True)
+    s, k, c = zip(*((int(shards[a]), *_pack(keys[a:b], counts[a:b])) for a, b in _runs(shards)), strict=True)
     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["shard", "keys", "counts"])
 
 
@@ -260,16 +321,28 @@ _DEALT = "shard int, keys binary, counts binary"
 # ---- the model
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
-    """Where the levels are and the corpus's figures; offsets: the first word id of each vocabulary shard; present: the shards that have bigrams."""
+    """Where the levels are and the corpus's figures.
+
+    offsets: the first word id of each vocabulary shard; hot, hot_counts, hot_passed: ids of the words whose n-grams are dealt out, their
+    counts and the weights that they pass; bigrams, trigrams: the shards that have some.
+    """
 
     path: str
     offsets: list[int] = field(default_factory=lambda: [0])
     total: int = 0
     shards: int = 1
     discount: float = 0.5
-    present: frozenset[int] = frozenset()
+    hot: np.ndarray = field(default_factory=_none)
+    hot_counts: np.ndarray = field(default_factory=_none)
+    hot_passed: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bigrams: frozenset[int] = frozenset()
+    trigrams: frozenset[int] = frozenset()
     _open: dict[str, dict[str, np.ndarray]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -279,47 +352,102 @@ class Model:
     def words(self) -> int:
         return self.offsets[-1]
 
+    @property
+    def own(self) -> int:
+        """Contexts of one word that a shard has; from there on they are hot ones, the same in all."""
+        return -(-self.words // self.shards)
+
     def level(self, name: str, shard: int) -> dict[str, np.ndarray]:
         key = f"{name}-{shard}"
         if key not in self._open:
+            if len(self._open) >= OPEN:
+                del self._open[next(iter(self._open))]
             self._open[key] = _map(f"{self.path}/{key}")
         return self._open[key]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and counts of hashes."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         n = len(self.offsets) - 1
-        shard = _hash_shard(distinct, n) if n else np.zeros(0, np.int64)
-        edges = np.searchsorted(shard, np.arange(n + 1))  # the hashes are sorted, and so are their shards
-        for s in range(n):
-            a, b = edges[s], edges[s + 1]
-            if a < b and self.offsets[s] < self.offsets[s + 1]:
+        if not n:
+            return ids, counts
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        shard = _hash_shard(hashes, n)  # in the hashes' order
+        for a, b in _runs(shard):
+            s = int(shard[a])
+            if self.offsets[s] < self.offsets[s + 1]:
                 level = self.level("words", s)
-                at = ef_find(level, distinct[a:b] - level["base"][0])
-                known = at >= 0
-                ids[a:b][known] = at[known] + self.offsets[s]
-                counts[a:b][known] = level["count"][at[known]]
-        return ids[back], counts[back]
-
-    def find(self, name: str, shard: np.ndarray, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """Positions (-1: none) of keys in their shards' level, and the named columns there (0: none)."""
-        out = [np.full(len(keys), -1, np.int64), *(np.zeros(len(keys), np.uint8) for _ in columns)]
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            if int(shard[rows[0]]) not in self.present:
-                continue
-            level = self.level(name, int(shard[rows[0]]))
-            at = ef_find(level, keys[rows])
-            hit = at >= 0
-            out[0][rows] = at
-            for i, c in enumerate(columns):
-                if c in level:
-                    out[i + 1][rows[hit]] = level[c][at[hit]]
+                at = ef_find(level, hashes[a:b] - level["base"][0])
+                known = np.flatnonzero(at >= 0)
+                ids[order[a + known]] = at[known] + self.offsets[s]
+                counts[order[a + known]] = level["count"][at[known]]
+        return ids, counts
+
+    def _hot_place(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand among the hot ones, and whether they do."""
+        place = np.minimum(np.searchsorted(self.hot, u), max(0, len(self.hot) - 1))
+        return place, (self.hot[place] == u if len(self.hot) else np.zeros(len(u), bool))
+
+    def home(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of bigrams (word ids) and their keys in it."""
+        shard, context = u % self.shards, u // self.shards
+        place, hot = self._hot_place(u)
+        if hot.any():
+            over = np.maximum(1, self.hot_counts[place[hot]] // HOT_TOKENS)
+            spread = ((w[hot].astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64)
+            shard[hot] = (shard[hot] + spread % over) % self.shards
+            context[hot] = self.own + place[hot]
+        return shard, context.astype(U64) * U64(self.words) + w.astype(U64)
+
+    def passed_by_words(self, u: np.ndarray) -> np.ndarray:
+        """The weight that each word (id, -1: unknown) passes to words alone; all of it where nothing follows the word."""
+        out = np.ones(len(u))
+        place, hot = self._hot_place(u)
+        if len(self.hot_passed):
+            out[hot] = self.hot_passed[place[hot]]
+        rest = np.flatnonzero((u >= 0) & ~hot)
+        rest = rest[np.argsort(u[rest] % self.shards, kind="stable")]
+        shard = u[rest] % self.shards
+        for a, b in _runs(shard):
+            if int(shard[a]) in self.bigrams:
+                out[rest[a:b]] = restore(self.level("bigrams", int(shard[a]))["pass_one"][u[rest[a:b]] // self.shards])
         return out
 
+    def find_bigrams(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, place there (-1: none) and probability of bigrams of word ids (-1: unknown)."""
+        shard, place, p = np.zeros(len(u), np.int64), np.full(len(u), -1, np.int64), np.zeros(len(u))
+        known = np.flatnonzero((u >= 0) & (w >= 0))
+        home, keys = self.home(u[known], w[known])
+        order = _by_shard(home, keys)
+        known, home, keys = known[order], home[order], keys[order]
+        shard[known] = home
+        for a, b in _runs(home):
+            if int(home[a]) in self.bigrams:
+                level = self.level("bigrams", int(home[a]))
+                at = ef_find(level, keys[a:b])
+                hit = np.flatnonzero(at >= 0)
+                place[known[a + hit]] = at[hit]
+                p[known[a + hit]] = restore(level["p"][at[hit]])
+        return shard, place, p
+
+    def find_trigrams(self, shard: np.ndarray, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight that contexts (bigrams' shards and places) pass on, and the probability of words (ids, -1: none such) behind them."""
+        passed, p = np.ones(len(w)), np.zeros(len(w))
+        keys = context.astype(U64) * U64(self.words) + np.maximum(w, 0).astype(U64)
+        order = _by_shard(shard, keys)
+        home, keys = shard[order], keys[order]
+        for a, b in _runs(home):
+            if int(home[a]) in self.trigrams:
+                level = self.level("trigrams", int(home[a]))
+                rows = order[a:b]
+                passed[rows] = weight = restore(level["pass_two"][context[rows]])
+                some = np.flatnonzero((w[rows] >= 0) & (weight < 1))
+                at = ef_find(level, keys[a:b][some])
+                hit = np.flatnonzero(at >= 0)
+                p[rows[some[hit]]] = restore(level["p"][at[hit]])
+        return passed, p
+
 
 def _hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
@@ -329,84 +457,98 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def _positions(ids: np.ndarray, ends: np.ndarray, back: int) -> np.ndarray:
-    """Positions that have back tokens before them in their text, all of them and the one there known."""
-    starts = np.concatenate([[0], ends[:-1]])
-    rank = np.arange(len(ids)) - np.repeat(starts, ends - starts)
-    keep = rank >= back
-    for j in range(back + 1):
-        keep[j:] &= ids[: len(ids) - j] >= 0
-    return np.flatnonzero(keep)
+def _pairs(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a token has one before it in its text, and both as one code."""
+    at = np.flatnonzero(numbers[:-1]) + 1
+    return at, (numbers[at - 1] << bits) | numbers[at]
 
 
-def _count_words(shards: int):
-    words = _Words()
+def _count_words(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, hashes, counts = _Numbers(), [], np.zeros(0, np.int64)
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batch["text"]):
-            keys, counts = np.unique(tokens(group, words)[0], return_counts=True)
-            yield from _dealt(_hash_shard(keys, shards), keys, counts)
+    def counted() -> Iterator[pa.RecordBatch]:
+        keys = np.array(hashes, U64)
+        some = np.flatnonzero(counts)
+        yield from _dealt(_hash_shard(keys[some], shards), keys[some], counts[some])
 
-    return step
+    for batch in batches:
+        for _, group in _groups(batch["text"]):
+            if len(words) > CACHE:
+                yield from counted()
+                words, hashes, counts = _Numbers(), [], np.zeros(0, np.int64)
+            numbers = _numbers(group, words)[0]
+            hashes += words.fresh
+            words.fresh.clear()
+            new = np.bincount(numbers, minlength=len(hashes))
+            new[: len(counts)] += counts
+            counts = new
+    if hashes:
+        yield from counted()
 
 
 def _build_words(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _summed(pdf)
     shard = int(pdf["shard"].iloc[0])
     _put(f"{path}/words-{shard}", ef_encode(keys - keys[0]) | {"base": keys[:1], "count": counts})
-    return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "ones": [int((counts == 1).sum())], "twos": [int((counts == 2).sum())]})
+    hot = np.flatnonzero((counts >= HOT_TOKENS) & (keys != U64(END)))
+    return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "ones": [int((counts == 1).sum())], "twos": [int((counts == 2).sum())], "hot": [hot.tolist()], "hot_counts": [counts[hot].tolist()]})
 
 
 def _count_bigrams(model: Model):
-    words = _Words()
+    reader = Reader(model)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batch["text"]):
-            hashes, ends = tokens(group, words)
-            ids = model.ids(hashes)[0]
-            at = _positions(ids, ends, 1)
-            pairs, counts = np.unique((ids[at - 1].astype(U64) << U64(32)) | ids[at].astype(U64), return_counts=True)
-            u, w = (pairs >> U64(32)).astype(np.int64), pairs & U64(0xFFFFFFFF)
-            yield from _dealt(u % model.shards, (u // model.shards).astype(U64) * U64(model.words) + w, counts)
+            numbers, _ = reader.read(group)
+            bits = len(reader.ids).bit_length()
+            codes, counts = np.unique(_pairs(numbers, bits)[1], return_counts=True)
+            shard, keys = model.home(reader.ids[codes >> bits], reader.ids[codes & ((1 << bits) - 1)])
+            yield from _dealt(shard, keys, counts)
 
     return step
 
 
-def _build_bigrams(path: str, words: int, pdf: pd.DataFrame) -> pd.DataFrame:
+def _passed(taken: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The bytes of the weights that contexts pass, of what was taken of their counts; all where nothing follows, a little at least."""
+    return np.maximum(quantise(np.where(total > 0, taken / np.maximum(total, 1), 1.0)), 1)
+
+
+def _build_bigrams(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard's bigrams, discounted as its own counts of one and two ask; counts are one byte each, the large ones apart."""
     keys, counts = _summed(pdf)
     shard = int(pdf["shard"].iloc[0])
     d = _discount(int((counts == 1).sum()), int((counts == 2).sum()))
-    context = (keys // U64(words)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    total, kinds = np.add.reduceat(counts, edges), np.diff(np.append(edges, len(keys)))
-    passed = np.zeros(int(context[-1]) + 1)
-    passed[context[edges]] = d * kinds / total
+    context = (keys // U64(model.words)).astype(np.int64)
+    total = np.bincount(context, counts, model.own + len(model.hot))
+    total[model.own :] = model.hot_counts
+    taken = d * np.bincount(context, minlength=len(total))
     large = np.flatnonzero(counts >= 255)
     _put(
-        f"{path}/bigrams-{shard}",
-        ef_encode(keys) | {"p": quantise((counts - d) / np.repeat(total, kinds)), "often": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_count": counts[large], "pass_one": quantise(passed)},
+        f"{model.path}/bigrams-{shard}",
+        ef_encode(keys)
+        | {"p": quantise((counts - d) / total[context]), "often": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_count": counts[large], "pass_one": _passed(taken[: model.own], total[: model.own])},
     )
-    return pd.DataFrame({"shard": [shard], "n": [len(keys)]})
+    hot = np.flatnonzero(taken[model.own :])
+    return pd.DataFrame({"shard": [shard], "hot": [hot.tolist()], "taken": [taken[model.own + hot].tolist()]})
 
 
 def _count_trigrams(model: Model):
-    words = _Words()
+    reader = Reader(model)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batch["text"]):
-            hashes, ends = tokens(group, words)
-            ids = model.ids(hashes)[0]
-            place = _bigrams_at(model, ids, ends)[0]
-            at = _positions(ids, ends, 2)
-            if not len(at):
-                continue
-            shard = ids[at - 2] % model.shards
-            keys = place[at - 1].astype(U64) * U64(model.words) + ids[at].astype(U64)
-            order = np.lexsort((keys, shard))
-            shard, keys = shard[order], keys[order]
-            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])]))
-            yield from _dealt(shard[first], keys[first], np.diff(np.append(first, len(keys))))
+            numbers, _ = reader.read(group)
+            bits = len(reader.ids).bit_length()
+            low = (1 << bits) - 1
+            at, codes = _pairs(numbers, bits)
+            pair, bigrams = pd.factorize(codes)
+            shard, place, _ = model.find_bigrams(reader.ids[bigrams >> bits], reader.ids[bigrams & low])
+            of = np.full(len(numbers), -1, np.int64)
+            of[at] = pair
+            at = at[of[at - 1] >= 0]
+            codes, counts = np.unique((of[at - 1] << bits) | numbers[at], return_counts=True)
+            context = codes >> bits
+            yield from _dealt(shard[context], place[context].astype(U64) * U64(model.words) + reader.ids[codes & low].astype(U64), counts)
 
     return step
 
@@ -419,35 +561,23 @@ def _build_trigrams(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
     seen = two["often"].astype(np.int64)
     seen[two["large"]] = two["large_count"]
     context = (keys // U64(model.words)).astype(np.int64)
-    share = (counts - d) / seen[context]
-    passed = 1 - np.bincount(context, share, len(seen))
-    _put(f"{model.path}/trigrams-{shard}", ef_encode(keys) | {"p": quantise(share), "pass_two": quantise(np.maximum(passed, 1e-9))})
-    return pd.DataFrame({"shard": [shard], "n": [len(keys)]})
-
-
-def _bigrams_at(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each position the place of the bigram that ends there (-1: none), how often it was seen (up to 255), its byte, and the positions with a known word before them."""
-    place, often, p = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.uint8), np.zeros(len(ids), np.uint8)
-    at = _positions(ids, ends, 1)
-    pairs, back = np.unique((ids[at - 1].astype(U64) << U64(32)) | ids[at].astype(U64), return_inverse=True)
-    u = (pairs >> U64(32)).astype(np.int64)
-    found = model.find("bigrams", u % model.shards, (u // model.shards).astype(U64) * U64(model.words) + (pairs & U64(0xFFFFFFFF)), "often", "p")
-    place[at], often[at], p[at] = (x[back] for x in found)
-    return place, often, p, at
+    kinds = np.bincount(context, minlength=len(seen))
+    _put(f"{model.path}/trigrams-{shard}", ef_encode(keys) | {"p": quantise((counts - d) / seen[context]), "pass_two": _passed(d * kinds, np.where(kinds > 0, seen, 0))})
+    return pd.DataFrame({"shard": [shard]})
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the texts and build the levels in the shared folder.
 
-    Null texts are empty, repeated rows count again, an empty table gives a model without words. The driver gets a few numbers for each
-    shard. Word ids have 32 bits.
+    Null texts are empty, repeated rows count again, an empty table gives a model without words; other columns are not read. The driver gets a few numbers
+    for each shard and for each word that fills a shard. Word ids have 32 bits.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "lm")
     texts = docs.select(F.col(text_col).alias("text"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stats = "shard int, n long, total long, ones long, twos long"
-    got = map_batches(texts, partial(_count_words, shards), _DEALT).groupBy("shard").applyInPandas(partial(_build_words, path), stats).collect()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    stats = "shard int, n long, total long, ones long, twos long, hot array<long>, hot_counts array<long>"
+    got = texts.mapInArrow(partial(_count_words, shards), _DEALT).groupBy("shard").applyInPandas(partial(_build_words, path), stats).collect()
     sizes = {r["shard"]: r["n"] for r in got}
     model = Model(path, np.cumsum([0, *(sizes.get(s, 0) for s in range(shards))]).tolist(), sum(r["total"] for r in got))
     if not model.total:
@@ -456,67 +586,46 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         raise ValueError("more than 2 ** 32 different words")
     model.shards = max(1, -(-model.total // SHARD_TOKENS))
     model.discount = _discount(sum(r["ones"] for r in got), sum(r["twos"] for r in got))
-    got = map_batches(texts, partial(_count_bigrams, model), _DEALT).groupBy("shard").applyInPandas(partial(_build_bigrams, path, model.words), "shard int, n long").collect()
-    model.present = frozenset(r["shard"] for r in got)
-
-    def blank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in pdf["shard"]:
-                _put(f"{path}/trigrams-{int(s)}", ef_encode(np.zeros(0, U64)) | {"p": np.zeros(0, np.uint8), "pass_two": np.zeros(0, np.uint8)})
-            yield pdf
-
-    got = map_batches(texts, partial(_count_trigrams, model), _DEALT).groupBy("shard").applyInPandas(partial(_build_trigrams, model), "shard int, n long").collect()
-    empty = sorted(model.present - {r["shard"] for r in got})
-    if empty:
-        numbers = spark.createDataFrame([(s,) for s in empty], "shard int").repartition(max(1, min(len(empty), shards)), "shard")
-        numbers.mapInPandas(blank, "shard int").count()
+    hot = sorted((model.offsets[r["shard"]] + at, n) for r in got for at, n in zip(r["hot"], r["hot_counts"], strict=True))
+    model.hot, model.hot_counts = np.array([u for u, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+    got = map_batches(texts, partial(_count_bigrams, replace(model)), _DEALT).groupBy("shard").applyInPandas(partial(_build_bigrams, replace(model)), "shard int, hot array<long>, taken array<double>").collect()
+    model.bigrams = frozenset(r["shard"] for r in got)
+    taken = np.zeros(len(hot))
+    for r in got:
+        taken[r["hot"]] += r["taken"]
+    model.hot_passed = taken / model.hot_counts
+    got = map_batches(texts, partial(_count_trigrams, replace(model)), _DEALT).groupBy("shard").applyInPandas(partial(_build_trigrams, replace(model)), "shard int").collect()
+    model.trigrams = frozenset(r["shard"] for r in got)
     return model
 
 
-def log10_probabilities(model: Model, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The model's log10 probability of each token, and the training count of each."""
-    ids, counts = model.ids(hashes)
-    n, one = model.total, model.discount
-    if not n:
-        return np.zeros(len(ids)), counts
-    p = np.where(counts > 0, (counts - one) / n, one * model.words / n)
-    place, _, code, at = _bigrams_at(model, ids, ends)
-    starts = np.concatenate([[0], ends[:-1]])
-    rank = np.arange(len(ids)) - np.repeat(starts, ends - starts)
-    # one word before: its weight passes to single words; words never followed by another pass all
-    before = np.full(len(ids), -1, np.int64)
-    before[1:] = ids[:-1]
-    known = np.flatnonzero((rank >= 1) & (before >= 0))
-    weight = np.ones(len(ids))
-    distinct, back = np.unique(before[known], return_inverse=True)
-    passed = np.ones(len(distinct))
-    for s in np.unique(distinct % model.shards):
-        rows = np.flatnonzero(distinct % model.shards == s)
-        if int(s) not in model.present:
-            continue
-        table = model.level("bigrams", int(s))["pass_one"]
-        local = distinct[rows] // model.shards
-        inside = local < len(table)
-        codes = table[local[inside]]
-        passed[rows[inside]] = np.where(codes > 0, restore(codes), 1.0)
-    weight[known] = passed[back]
-    p = restore(code) + weight * p
-    # two words before, where their bigram is known and was followed
-    two = np.flatnonzero(rank >= 2)
-    two = two[place[two - 1] >= 0]
-    shard, context = ids[two - 2] % model.shards, place[two - 1]
-    passed = np.ones(len(two))
-    for s in np.unique(shard):
-        rows = np.flatnonzero(shard == s)
-        table = model.level("trigrams", int(s))["pass_two"]
-        if len(table):
-            passed[rows] = restore(table[context[rows]])
-    followed = np.flatnonzero((passed < 0.999) & (ids[two] >= 0))
-    extra = np.zeros(len(two))
-    keys = context[followed].astype(U64) * U64(model.words) + ids[two[followed]].astype(U64)
-    extra[followed] = restore(model.find("trigrams", shard[followed], keys, "p")[1])
-    p[two] = extra + passed * p[two]
-    return np.log10(p), counts
+def log10_probabilities(reader: Reader, numbers: np.ndarray) -> np.ndarray:
+    """The model's log10 probability of each token; equal n-grams are looked up once."""
+    model = reader.model
+    if not model.total:
+        return np.zeros(len(numbers))
+    logs = np.log10(reader.alone)[numbers]
+    bits = len(reader.ids).bit_length()
+    low = (1 << bits) - 1
+    at, codes = _pairs(numbers, bits)
+    pair, bigrams = pd.factorize(codes)
+    first, last = bigrams >> bits, bigrams & low
+    shard, place, p = model.find_bigrams(reader.ids[first], reader.ids[last])
+    two = p + reader.passed[first] * reader.alone[last]
+    logs[at] = np.log10(np.minimum(two, 1))[pair]
+    of = np.full(len(numbers), -1, np.int64)
+    of[at] = pair
+    # two words before, whose bigram is known
+    at = at[of[at - 1] >= 0]
+    at = at[place[of[at - 1]] >= 0]
+    triple, trigrams = pd.factorize((of[at - 1] << bits) | numbers[at])
+    context = trigrams >> bits
+    ending = np.zeros(len(trigrams), np.int64)
+    ending[triple] = of[at]
+    # no trigram ends with a bigram that is not known
+    passed, p = model.find_trigrams(shard[context], place[context], np.where(place[ending] >= 0, reader.ids[trigrams & low], -1))
+    logs[at] = np.log10(np.minimum(p + passed * two[ending], 1))[triple]
+    return logs
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -527,21 +636,22 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
     """
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in columns if c not in results]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"{schema_of(docs.select(*kept))}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def make():
-        words = _Words()
+        reader = Reader(model)
         size = model.total + 0.1 * (model.words + 1)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for first, group in _groups(batch[text_col]):
-                hashes, ends = tokens(group, words)
-                logs, counts = log10_probabilities(model, hashes, ends)
+                numbers, ends = reader.read(group)
+                logs = log10_probabilities(reader, numbers)
                 starts = np.concatenate([[0], ends[:-1]])
                 add = lambda x: np.add.reduceat(x, starts)
                 part = batch.slice(first, len(group))
+                known, base = (reader.counts > 0).astype(np.int64), np.log10((reader.counts + 0.1) / size)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in kept), pa.array(ends - starts), pa.array(add((counts > 0).astype(np.int64))), pa.array(np.full(len(group), model.total, np.int64)), pa.array(add(np.log10((counts + 0.1) / size))), pa.array(add(logs))],
+                    [*(part[c] for c in kept), pa.array(ends - starts), pa.array(add(known[numbers])), pa.array(np.full(len(group), model.total, np.int64)), pa.array(add(base[numbers])), pa.array(add(logs))],
                     [*kept, *results],
                 )
 

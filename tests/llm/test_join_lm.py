@@ -126,6 +126,60 @@ def test_lm_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def plain_model(texts):
+    """The model by dictionaries and without rounding: log10 probabilities of a text's tokens."""
+    grams = [collections.Counter() for _ in range(3)]
+    for t in texts:
+        w = [*t.lower().split(), None]
+        for n in range(3):
+            grams[n].update(tuple(w[i : i + n + 1]) for i in range(len(w) - n))
+    d = [ngram_lm._discount(sum(c == 1 for c in g.values()), sum(c == 2 for c in g.values())) for g in grams]
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    after = [collections.Counter(), collections.Counter()]
+    mass = [collections.Counter(), collections.Counter()]
+    for n in (1, 2):
+        for g, c in grams[n].items():
+            after[n - 1][g[:-1]] += c
+            mass[n - 1][g[:-1]] += d[n]
+
+    def p(gram):
+        if len(gram) == 1:
+            c = grams[0][gram]
+            return (c - d[0]) / total if c else d[0] * kinds / total
+        n, context = len(gram) - 1, gram[:-1]
+        below = p(gram[1:])
+        if not after[n - 1][context]:
+            return below
+        return max(grams[n][gram] - d[n], 0) / after[n - 1][context] * (grams[n][gram] > 0) + mass[n - 1][context] / after[n - 1][context] * below
+
+    return lambda t: [math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for w in [[*t.lower().split(), None]] for i in range(len(w))]
+
+
+def logs(model, texts):
+    reader = ngram_lm.Reader(model)
+    numbers, ends = reader.read(texts)
+    return np.split(ngram_lm.log10_probabilities(reader, numbers), ends[:-1])
+
+
+@pytest.mark.parametrize("hot", [1 << 40, 40])
+def test_lm_against_plain_model(spark, monkeypatch, hot):
+    """Each token's log10 probability is that of the plain model but for rounding: half a step, 0.02 on average, in each of up to two weights and a probability. hot: most words are dealt out."""
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["a b " * 50] * 2
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 1 << 40 if hot > 1000 else 900)
+    monkeypatch.setattr(ngram_lm, "HOT_TOKENS", hot)
+    model = ngram_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert (len(model.hot) > 20) == (model.shards > 1) == (hot == 40)
+    plain = plain_model(texts)
+    asked = [*texts, "zz w1 w1 zz", "w1 zz w1 w1 w1", "b a b"]
+    for text, got in zip(asked, logs(model, asked), strict=True):
+        want = plain(text)
+        assert (got <= 0).all()
+        # shards discount by their own counts
+        assert len(got) == len(want) and np.abs(got - want).max() < (0.08 if hot > 1000 else 0.6)
+
+
 def test_lm_sums_to_one_and_edges(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
     rows = [(1, "a b a b c a b d a b a b c", 0), (2, None, 0), (3, "", 0), (4, "A B a  \n b c", 0), (4, "A B a  \n b c", 0), (None, "e f", 0)]
@@ -133,25 +187,33 @@ def test_lm_sums_to_one_and_edges(spark, monkeypatch):
     model = ngram_lm.train(docs)
     vocabulary = [*"abcdef", "unknown"]
     for context in ("a b", "b a", "x a", "a x", "x y", "e f", "c a"):
-        seen = ngram_lm._Words()
-        hashes, ends = ngram_lm.tokens([f"{context} {w}" for w in vocabulary] + [context], seen)
-        logs = ngram_lm.log10_probabilities(model, hashes, ends)[0]
-        starts = np.concatenate([[0], ends[:-1]])
-        assert abs((10 ** logs[starts + 2]).sum() - 1) < 0.05
+        got = logs(model, [f"{context} {w}" for w in vocabulary] + [context])
+        assert abs(sum(10 ** x[2] for x in got) - 1) < 0.03
     out = ngram_lm.score(docs, model, ["doc_id", "score"]).collect()
-    assert len(out) == len(rows) and all(np.isfinite(r.score) for r in out)
+    assert len(out) == len(rows) and all(np.isfinite(r.score) and r.score < 0 for r in out)
     assert ngram_lm.score(docs.limit(0), model, ["doc_id"]).count() == 0
     blank = ngram_lm.score(docs, ngram_lm.train(docs.limit(0)), ["doc_id"]).collect()
     assert all(r.score == 0 and r.n_known == 0 and r.base_score == 0 for r in blank)
 
 
+def test_lm_long_text_and_full_memory(spark, monkeypatch):
+    """A text beyond a batch and more words than a task remembers: the same scores."""
+    rng = random.Random(8)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(n)) for n in (20_000, 5, 400, 0, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r.score for r in ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id"]).collect()}
+    monkeypatch.setattr(ngram_lm, "BATCH_TOKENS", 500)
+    monkeypatch.setattr(ngram_lm, "CACHE", 700)
+    got = {r.doc_id: r.score for r in ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
 def test_lm_counts_every_trigram(spark, monkeypatch):
     """Trigrams seen once are in the model and make their last word likelier than its bigram does."""
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
     texts = ["a b c", "x b d", "x b d", "y b d", "y b d e", "p q r s t"]
     model = ngram_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     want = {(*w[i : i + 3],) for t in texts for w in [[*t.split(), None]] for i in range(len(w) - 2)}
-    assert sum(len(model.level("trigrams", s)["p"]) for s in range(model.shards)) == len(want)
-    hashes, ends = ngram_lm.tokens(["a b c", "x b c"], ngram_lm._Words())
-    logs = ngram_lm.log10_probabilities(model, hashes, ends)[0]
-    assert logs[2] > logs[ends[0] + 2] + 0.3
+    assert sum(len(model.level("trigrams", s)["p"]) for s in model.trigrams) == len(want)
+    known, unknown = logs(model, ["a b c", "x b c"])
+    assert known[2] > unknown[2] + 0.3
