@@ -34,7 +34,7 @@ BLOCK = 2000
 #: Ids up to which a list is broadcast (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 #: Words whose hashes a task remembers, and keys whose signatures it has given out.
-CACHE = 400_000
+CACHE = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

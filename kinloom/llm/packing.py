@@ -27,7 +27,7 @@ GAP, COLUMNS = 2e-4, 3000
 #: Rows that one task ranks, about.
 ROWS_A_RANK = 200_000
 #: Chunks whose ids a task remembers.
-CACHE = 250_000
+CACHE = 150_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.llm import subword
 
 #: Case stays: shouting is a sign of quality.
-BAG = subword.Bag(sizes=(2, 3, 4), words=True, fold=False, bits=17)
+BAG = subword.Bag(sizes=(2, 3, 4), words=2, fold=False, bits=18)
 TRAINING = subword.Training()
 #: Scores from here on are good.
 THRESHOLD = 0.3

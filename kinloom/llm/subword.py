@@ -1,6 +1,6 @@
 """Text classifiers over bags of hashed character n-grams and words: learned embeddings, averaged, under a linear softmax.
 
-Each n-gram (a word's ends count as a character) and, if asked, each word has an embedding, found by its hash. A document's vector is the mean
+Each n-gram (a word's ends count as a character) and, if asked, each word and each run of words has an embedding, found by its hash. A document's vector is the mean
 of them, and a softmax layer over it gives the label. Embeddings and layer are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled rows. The mean and the layer are linear, so that for scoring an embedding shrinks to one number.
 """
@@ -15,30 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import map_batches
+from kinloom.llm.common import map_batches, materialize, schema_of
 
 _PRIME, _MIX = np.uint32(16777619), np.uint32(2654435769)
 #: Code points worked on at once: what fits a core's cache; longer texts go through in pieces of this size.
 PIECE = 1 << 17
-#: With words, a word that stood so many words before gives one more feature, the same for all words.
-REPEATS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
 class Bag:
-    """What a text's bag holds: character n-grams of these sizes, whole words (and their repeats), case folded or not; hashed to 2 ** bits embeddings."""
+    """What a text's bag holds: character n-grams of these sizes, n-grams of up to so many words, case folded or not; hashed to 2 ** bits embeddings."""
 
     sizes: tuple[int, ...] = (3, 4, 5)
-    words: bool = False
+    words: int = 0
     fold: bool = True
     bits: int = 17
 
 
 @dataclass(frozen=True)
 class Training:
-    """rows_a_class bounds the labelled rows of each class that are learned from; the loss weighs classes as they are in all rows."""
+    """rows_a_class bounds the labelled rows of each class that are learned from, and megabytes the bags of all; the loss weighs classes as they are in all labels."""
 
     rows_a_class: int = 3000
+    megabytes: int = 64
     width: int = 8
     epochs: int = 12
     rate: float = 0.5
@@ -73,12 +72,12 @@ def _features(codes: np.ndarray, bag: Bag, at: int, end: int) -> Iterator[tuple[
             yield keep + at, (((g ^ (g >> np.uint32(15))) * _MIX) >> shift)
 
 
-def _word_features(codes: np.ndarray, bag: Bag) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, buckets) of the whole words."""
+def _word_features(codes: np.ndarray, bag: Bag, owner) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, buckets) of the n-grams of words, which do not reach from text to text."""
     space = _space(codes)
     begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not len(begins):
-        return begins, np.zeros(0, np.uint32)
+        return
     place = np.arange(len(codes), dtype=np.uint32)
     start = np.zeros(len(codes), np.uint32)
     start[begins] = begins
@@ -86,8 +85,13 @@ def _word_features(codes: np.ndarray, bag: Bag) -> tuple[np.ndarray, np.ndarray]
     mixed = (codes + _PRIME) * ((place - start + np.uint32(1)) * _MIX | np.uint32(1))
     mixed ^= mixed >> np.uint32(13)
     mixed[space] = 0
-    h = np.add.reduceat(mixed * _PRIME, begins, dtype=np.uint32)
-    return begins, ((h ^ (h >> np.uint32(16))) * _MIX) >> np.uint32(32 - bag.bits)
+    word = np.add.reduceat(mixed * _PRIME, begins, dtype=np.uint32)
+    whose, h = owner(begins), word
+    for n in range(1, bag.words + 1):
+        inside = whose[n - 1 :] == whose[: len(whose) - n + 1]
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX + word[n - 1 :]
+        yield whose[n - 1 :][inside], (((h ^ (h >> np.uint32(16))) * _MIX) >> np.uint32(32 - bag.bits))[inside]
 
 
 def bags(texts: list[str | None], bag: Bag) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,12 +111,8 @@ def bags(texts: list[str | None], bag: Bag) -> Iterator[tuple[int, np.ndarray, n
             for at, buckets in _features(codes, bag, a, min(len(codes), a + PIECE)):
                 yield i, owner(at), buckets
         if bag.words:
-            at, buckets = _word_features(codes, bag)
-            whose = owner(at)
-            yield i, whose, buckets
-            for back in REPEATS:
-                again = np.flatnonzero((buckets[back:] == buckets[:-back]) & (whose[back:] == whose[:-back]))
-                yield i, whose[again], np.full(len(again), back, np.uint32)
+            for whose, buckets in _word_features(codes, bag, owner):
+                yield i, whose, buckets
         i += len(group)
 
 
@@ -157,34 +157,56 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bag: Bag, how:
 def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, float]:
     """Learn from labels (id, label 0 or 1; others and nulls are ignored) of docs.
 
-    The rows_a_class ids of least hash are taken of each class, so the sample depends on the ids alone. Their texts are counted where they lie; only distinct buckets and
-    counts come to the driver, at most 2 ** bits for a text. Without rows of both classes every score is the share of label 1 (0.5 if there are none).
+    An id with both labels is not learned from; equal rows of docs are one, and different texts of one id are rows of their own. Of each class the rows_a_class
+    rows of least id hash are taken, ties by id and text hash, so the sample depends on ids and texts alone. Their texts are counted where they lie. Only distinct
+    buckets and counts come to the driver, 6 bytes each, those of the first rows that megabytes hold, a row of each class by turns. Without
+    rows of both classes every score is 0 or 1, as the class that there is says, or 0.5 if there is none.
     """
-    clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).dropDuplicates(["id"])
+    both = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    clean = both.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     sizes = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return np.zeros(1 << bag.bits, np.float32), (30.0 if 1 in sizes else -30.0) if sizes else 0.0
-    picked = [clean.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(how.rows_a_class) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_a_class rows at most
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    first = lambda df, *more: [df.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", *more).limit(how.rows_a_class) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    mark = F.xxhash64("text")
+    # the ids first, at most 2 * rows_a_class of them, then as many of their rows
+    chosen = F.broadcast(DataFrame.unionByName(*first(clean)))
+    rows = texts.join(chosen, "id").select("id", "y", mark.alias("mark")).distinct()
+    rows = F.broadcast(materialize(DataFrame.unionByName(*first(rows, "mark")), "labelled"))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for i, text, y in zip(batch["id"].to_pylist(), batch["text"], batch["y"].to_pylist(), strict=True):
-                b, c = counted(text.as_py(), bag)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([b.astype(np.uint32).tobytes()], pa.binary()), pa.array([c.astype(np.uint32).tobytes()], pa.binary())], ["id", "y", "b", "c"])
+            for i in range(batch.num_rows):
+                b, c = counted(batch["text"][i].as_py(), bag)
+                one = batch.slice(i, 1)
+                # counts of 65,535 and more are so many
+                data = b.astype(np.uint32).tobytes() + np.minimum(c, 65535).astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([one["id"], one["mark"], one["y"], pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["id", "mark", "y", "size", "data"])
 
         return step
 
-    got = map_batches(texts.select(F.col("id").cast("long").alias("id"), "text", "y"), make, "id long, y int, b binary, c binary").toArrow()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the driver's JVM has held the same bytes
-    total = sum(sizes.values())
-    taken = {y: min(n, how.rows_a_class) for y, n in sizes.items()}
-    weight = {y: (sizes[y] / total) / (taken[y] / sum(taken.values())) for y in sizes}
-    # views of the Arrow buffers, not copies
-    rows = sorted(((i, y, k) for k, (i, y) in enumerate(zip(got["id"].to_pylist(), got["y"].to_pylist(), strict=True))))
-    columns = [[np.frombuffer(x.as_buffer(), np.uint32) for x in got[c]] for c in ("b", "c")]
-    return train([(columns[0][k], columns[1][k], y, weight[y]) for _, y, k in rows], bag, how)
+    named = texts.withColumn("mark", mark).join(rows, ["id", "mark"]).select("id", "mark", "y", "text")
+    kind = clean.schema["id"].dataType.simpleString()
+    counted_rows = map_batches(named, make, f"id {kind}, mark long, y int, size long, data binary").groupBy("id", "mark").agg(*(F.first(c).alias(c) for c in ("y", "size", "data")))
+    kept = materialize(counted_rows.withColumn("place", F.xxhash64("id")), "bags")
+    order: dict[int, list] = {0: [], 1: []}
+    for r in kept.select("place", "id", "mark", "y", "size").orderBy("place", "id", "mark").collect():  # 2 * rows_a_class rows
+        order[r["y"]].append((r["id"], r["mark"], r["size"]))
+    turns = sorted((i, y, *r) for y in (0, 1) for i, r in enumerate(order[y]))
+    fits = np.cumsum([size for *_, size in turns]) <= how.megabytes << 20
+    wanted = {(i, mark): (n, y) for n, ((_, y, i, mark, _), ok) in enumerate(zip(turns, fits, strict=True)) if ok}
+    taken = {y: sum(v[1] == y for v in wanted.values()) for y in (0, 1)}
+    if not all(taken.values()):
+        return np.zeros(1 << bag.bits, np.float32), float(np.log(sizes[1] / sizes[0]))
+    weight = {y: (sizes[y] / sum(sizes.values())) / (taken[y] / len(wanted)) for y in (0, 1)}
+    found: list = [None] * len(turns)
+    # those that fit, partition by partition: the driver's JVM never holds all of them
+    for r in kept.select("id", "mark", "data").toLocalIterator():
+        if (at := wanted.get((r["id"], r["mark"]))) is not None:
+            n = len(r["data"]) // 6
+            found[at[0]] = (np.frombuffer(r["data"], np.uint32, n), np.frombuffer(r["data"], np.uint16, n, 4 * n), at[1], weight[at[1]])
+    return train([x for x in found if x is not None], bag, how)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bag: Bag, columns: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -192,7 +214,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bag: Bag, columns: l
     values = docs.sparkSession.sparkContext.broadcast(model[0])  # 4 << bits bytes
     bias = model[1]
     kept = [c for c in columns if c != score_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{score_col}` double"
+    schema = f"{schema_of(docs.select(*kept))}, `{score_col}` double"
     source = docs.select(*kept, *([] if text_col in kept else [text_col]))
 
     def make():

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import subword
 
-BAG = subword.Bag(sizes=(3, 4, 5), words=False, fold=True, bits=17)
-TRAINING = subword.Training(rows_a_class=4000)
+BAG = subword.Bag(sizes=(3, 4, 5), words=0, fold=True, bits=17)
+TRAINING = subword.Training()
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
 
