@@ -7,7 +7,6 @@ the words are compared one by one around the hits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
 from itertools import combinations
 from math import ceil
@@ -15,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import lower_words
+from kinloom.llm.common import lower_words, materialize
 
 #: Fixed masks: 1 looks at a word, 0 ignores it. One of them fits wherever 8 words or more have the share (by enumeration; tested).
 MASKS = ("1101011", "11001101", "11111")
@@ -25,10 +24,6 @@ MIN_WORDS, MIN_SHARE = 13, 0.8
 BROADCAST_ROWS = 500_000
 
 
-def _hashed(h: Column, k: int, offsets: list[int]) -> Callable[[Column], Column]:
-    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(h, i + j) for j in offsets)).alias("seed"))
-
-
 def _share() -> Fraction:
     return Fraction(MIN_SHARE).limit_denominator(1000)
 
@@ -39,15 +34,19 @@ def _short_masks(n: int) -> list[str]:
     return [whole for whole in masks if not any(all(c <= w for c, w in zip(mask, whole[at:], strict=False)) for mask in MASKS for at in range(n - len(mask) + 1))]
 
 
-def _seeds(h: Column, short: list[str], whole: bool) -> Column:
-    """An array of (at, seed) for each mask at each word where it fits; whole: short masks are for all words of h or none."""
+def _seeds(rows: DataFrame, id_col: str, words: str, short: list[str], whole: bool) -> DataFrame:
+    """(id, at, seed) for each mask at each word where it fits; whole: short masks are for all words of a row or none.
+
+    Words are exploded first and masks look ahead in the array, so that all of this is compiled code and not a function called for each word.
+    """
+    at, n = F.col("at"), F.size(words)
     found = []
     for k, mask in enumerate([*MASKS, *short]):
-        offsets = [j for j, c in enumerate(mask) if c == "1"]
-        last = F.size(h) - len(mask)
-        fits = last == 0 if whole and k >= len(MASKS) else last >= 0
-        found.append(F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), _hashed(h, k, offsets))).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>")))
-    return F.concat(*found)
+        looks = [F.get(F.col(words), at + j) for j, c in enumerate(mask) if c == "1"]
+        fits = (at == 0) & (n == len(mask)) if whole and k >= len(MASKS) else at <= n - len(mask)
+        found.append(F.when(fits, F.xxhash64(F.lit(k), *looks)))
+    each = rows.select(id_col, words, F.posexplode(words).alias("at", "word"))
+    return each.select(id_col, "at", F.explode(F.array(*found)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def _best_run(doc: Column, item: Column, diagonal: Column) -> Column:
@@ -95,12 +94,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = items.where(F.size("item_words") > 0).dropDuplicates(["item_key"])
     lengths = [r[0] for r in items.where(F.size("item_words") < MIN_WORDS).select(F.size("item_words")).distinct().collect()]  # a few numbers
     short = [mask for n in sorted(lengths) for mask in _short_masks(n)]
-    targets = items.select("item_key", F.explode(_seeds(F.col("item_words"), short, True)).alias("s")).select("item_key", F.col("s.at").alias("item_at"), "s.seed")
+    targets = _seeds(items, "item_key", "item_words", short, True).withColumnRenamed("at", "item_at")
     if targets.count() <= broadcast_rows:
         targets = F.broadcast(targets)
-    seeds = texts.select("key", hashes(F.col("text")).alias("h")).select("key", F.explode(_seeds(F.col("h"), short, False)).alias("s"))
-    hits = seeds.select("key", F.col("s.at").alias("at"), "s.seed").join(targets, "seed").groupBy("key", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
-    hits = hits.persist()
+    seeds = _seeds(texts.select("key", hashes(F.col("text")).alias("h")), "key", "h", short, False)
+    hits = materialize(seeds.join(targets, "seed").groupBy("key", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals")), "hits")
     found = hits.select("key").distinct()
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
@@ -114,7 +112,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that overlap with no benchmark item, as they came."""
-    bad = leaks(docs, benchmark, id_col, text_col).select("key").distinct()
-    return docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(bad.withColumnRenamed("key", "__key"), "__key", "left_anti").drop("__key")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents that overlap with no benchmark item, as they came, with all their columns."""
+    bad = materialize(leaks(docs.select(id_col, text_col), benchmark, id_col, text_col, broadcast_rows=broadcast_rows).select("key").distinct(), "leaks")
+    if bad.count() <= broadcast_rows:
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == bad["key"], "left_anti")
