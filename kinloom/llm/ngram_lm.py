@@ -18,10 +18,12 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +34,8 @@ from kinloom.llm.common import fresh_path, map_batches, schema_of
 U64 = np.uint64
 #: Stands for the hash of a text's end.
 END = 0x5D0C_E4D0_0000_0001
-#: Tokens a task counts or scores at a time, tokens a shard is made for, words that a task remembers, levels that it keeps open.
-BATCH_TOKENS, SHARD_TOKENS, CACHE, OPEN = 1_000_000, 5_000_000, 300_000, 400
+#: Tokens a task counts or scores at a time, tokens a shard is made for, word counts that a task holds, levels that it keeps open.
+BATCH_TOKENS, SHARD_TOKENS, HELD, OPEN = 1_000_000, 5_000_000, 2_000_000, 400
 #: A word seen so often has its n-grams dealt out, to one shard for each so many.
 HOT_TOKENS = 1_000_000
 #: Bytes stand for log10 from 0 down to this, in steps that grow from 0 on; what is less likely is left to shorter contexts.
@@ -44,6 +46,7 @@ FLOOR = -8.0
 
 
 def _select_table() -> np.ndarray:
+    """For each byte the places of its ones."""
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
     table = np.zeros((256, 8), np.uint8)
     for b in range(256):
@@ -53,6 +56,7 @@ def _select_table() -> np.ndarray:
 
 
 _IN_BYTE = _select_table()
+_L8, _H8 = U64(0x0101010101010101), U64(0x8080808080808080)
 
 
 def _planes(low_bits: int) -> list[tuple[str, np.dtype, int]]:
@@ -66,19 +70,19 @@ def _planes(low_bits: int) -> list[tuple[str, np.dtype, int]]:
 
 
 def ef_encode(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays that hold sorted distinct unsigned 64-bit keys: whole bytes of lower bits, upper bits in unary, zeros counted each 512 bits."""
+    """Arrays that hold sorted distinct unsigned 64-bit keys: whole bytes of lower bits, upper bits in unary, zeros counted up to each 64 bits."""
     n = len(keys)
     top = int(keys[-1]) if n else 0
     low_bits = min(range(0, 64, 8), key=lambda b: b * n + n + (top >> b))
     high = (keys >> U64(low_bits)).astype(np.int64)
-    size = (n + (top >> low_bits) + 1 + 511) // 512 * 512
+    size = (n + (top >> low_bits) + 1 + 63) // 64 * 64
     upper = np.zeros(size, np.uint8)
     upper[high + np.arange(n)] = 1
     words = np.packbits(upper, bitorder="little").view(U64)
-    zeros = 512 - np.bitwise_count(words).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+    zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))[:-1]])
     low = {name: ((keys >> U64(below)) & U64((1 << 8 * kind.itemsize) - 1)).astype(kind) for name, kind, below in _planes(low_bits)}
     # a word of zeros more, as searches read the word behind
-    return {"meta": np.array([n, low_bits], np.int64), "upper": np.append(words, U64(0)), "zeros": np.concatenate([[0], np.cumsum(zeros)[:-1]]).astype(np.int64)} | low
+    return {"meta": np.array([n, low_bits], np.int64), "upper": np.append(words, U64(0)), "zeros": zeros.astype(np.uint32 if size < 1 << 32 else np.int64)} | low
 
 
 def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -129,23 +133,19 @@ def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 def _select0(upper: np.ndarray, zeros: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The bit of the k-th zero, from 0; -1 for k = -1."""
-    out = np.full(len(k), -1, np.int64)
-    for start in range(0, len(k), 1 << 15):  # what fits a core's cache
-        part = np.flatnonzero(k[start : start + (1 << 15)] >= 0) + start
-        want = k[part]
-        block = np.searchsorted(zeros, want, "right") - 1
-        left = want - zeros[block]
-        words = ~upper[block[:, None] * 8 + np.arange(8)]
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
-        word = np.minimum((sums <= left[:, None]).sum(axis=1), 7)
-        rows = np.arange(len(part))
-        left -= np.where(word > 0, sums[rows, word - 1], 0)
-        octets = np.ascontiguousarray(words[rows, word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int16)
-        octet = np.minimum((sums <= left[:, None]).sum(axis=1), 7)
-        left -= np.where(octet > 0, sums[rows, octet - 1], 0)
-        out[part] = block * 512 + word * 64 + octet * 8 + _IN_BYTE[octets[rows, octet], np.clip(left, 0, 7)]
-    return out
+    some = np.maximum(k, 0)
+    word = np.searchsorted(zeros, some.astype(zeros.dtype), "right") - 1
+    left = (some - zeros[word]).astype(U64)
+    x = ~upper[word]
+    # ones of each byte, then of each byte and those below it
+    sums = x - ((x >> U64(1)) & U64(0x5555555555555555))
+    sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+    with np.errstate(over="ignore"):
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _L8
+        # bytes up to whose end there are no more ones than are skipped
+        below = np.bitwise_count(((left * _L8 | _H8) - sums) & _H8).astype(U64) * U64(8)
+    left -= ((sums << U64(8)) >> below) & U64(255)
+    return np.where(k < 0, -1, word * 64 + below.astype(np.int64) + _IN_BYTE[((x >> below) & U64(255)).astype(np.intp), left.astype(np.intp)])
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -210,65 +210,50 @@ def _map(uri: str) -> dict[str, np.ndarray]:
 # ---- tokens
 
 
-class _Numbers(dict):
-    """Numbers that a task gives to words as it meets them; 0 is a text's end. fresh: the hashes of the last ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh = [END]
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        self.fresh.append(xxhash.xxh64_intdigest(word))
-        return n
-
-
-def _numbers(texts: list[str | None], words: _Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all texts' tokens, each text with its end, and where each text ends."""
-    parts, ends, at = [], [], 0
-    for text in texts:
-        split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n = np.zeros(len(split) + 1, np.int64)
-        n[:-1] = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
-        parts.append(n)
-        at += len(n)
-        ends.append(at)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(ends, np.int64)
+def _numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' tokens as numbers, 0 for the end of each, where each text ends, and the words' hashes by number; nulls are empty texts."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    numbers = coded.indices.to_numpy().astype(np.int64) + 1
+    if b"" in words:  # an empty text's only part
+        none = words.index(b"") + 1
+        blank = numbers == none
+        counts[np.repeat(np.arange(len(counts)), counts)[blank]] = 0
+        numbers = numbers[~blank]
+    ends = np.cumsum(counts + 1)
+    out = np.zeros(len(numbers) + len(counts), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = numbers
+    return out, ends, np.fromiter(chain([END], map(xxhash.xxh64_intdigest, words)), U64, len(words) + 1)
 
 
 class Reader:
-    """Texts as numbers, and by number what the model says of the word: id (-1: unknown), count, probability alone, weight that it passes."""
+    """Texts as numbers, and by number what the model says of the words of the last texts: id (-1: unknown), count, probability alone, weight that it passes."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.words = model, _Numbers()
-        self.ids, self.counts, self.alone, self.passed = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > CACHE:
-            self.__init__(self.model)
-        numbers, ends = _numbers(texts, self.words)
-        if self.words.fresh:
-            m = self.model
-            ids, counts = m.ids(np.array(self.words.fresh, U64))
-            self.words.fresh.clear()
-            alone = np.where(counts > 0, (counts - m.discount) / max(1, m.total), m.discount * m.words / max(1, m.total))
-            for name, new in (("ids", ids), ("counts", counts), ("alone", alone), ("passed", m.passed_by_words(ids))):
-                setattr(self, name, np.concatenate([getattr(self, name), new]))
+        self.model = model
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        m = self.model
+        numbers, ends, hashes = _numbers(texts)
+        self.ids, self.counts = m.ids(hashes)
+        self.alone = np.where(self.counts > 0, (self.counts - m.discount) / max(1, m.total), m.discount * m.words / max(1, m.total))
+        self.passed = m.passed_by_words(self.ids)
         return numbers, ends
 
 
-def _groups(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+def _groups(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """The texts in groups of about BATCH_TOKENS tokens at most, and where each group begins."""
-    first, group, size = 0, [], 0
-    for i, text in enumerate(column):
-        t = text.as_py()
-        group.append(t)
-        size += len(t or "")
-        if size > 6 * BATCH_TOKENS:
-            yield first, group
-            first, group, size = i + 1, [], 0
-    if group:
-        yield first, group
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(column):
+        before = int(sizes[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(sizes, before + 6 * BATCH_TOKENS, "right")))
+        yield first, column.slice(first, end - first)
+        first = end
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -282,8 +267,8 @@ def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=U64), np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpack(k, c) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)]
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sums of their counts."""
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -291,6 +276,10 @@ def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts.astype(np.int64), first)
 
 
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return _merged([_unpack(k, c) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
+
+
 def _by_shard(shards: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The order by shard and key."""
     bits = int(keys.max()).bit_length() if len(keys) else 0
@@ -464,25 +453,20 @@ def _pairs(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, hashes, counts = _Numbers(), [], np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def counted() -> Iterator[pa.RecordBatch]:
-        keys = np.array(hashes, U64)
-        some = np.flatnonzero(counts)
-        yield from _dealt(_hash_shard(keys[some], shards), keys[some], counts[some])
+        keys, counts = _merged(held)
+        yield from _dealt(_hash_shard(keys, shards), keys, counts)
 
     for batch in batches:
         for _, group in _groups(batch["text"]):
-            if len(words) > CACHE:
+            numbers, _, hashes = _numbers(group)
+            held.append((hashes, np.bincount(numbers, minlength=len(hashes))))
+            if sum(len(k) for k, _ in held) > HELD:
                 yield from counted()
-                words, hashes, counts = _Numbers(), [], np.zeros(0, np.int64)
-            numbers = _numbers(group, words)[0]
-            hashes += words.fresh
-            words.fresh.clear()
-            new = np.bincount(numbers, minlength=len(hashes))
-            new[: len(counts)] += counts
-            counts = new
-    if hashes:
+                held.clear()
+    if held:
         yield from counted()
 
 

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
@@ -157,7 +158,7 @@ def plain_model(texts):
 
 def logs(model, texts):
     reader = ngram_lm.Reader(model)
-    numbers, ends = reader.read(texts)
+    numbers, ends = reader.read(pa.array(texts))
     return np.split(ngram_lm.log10_probabilities(reader, numbers), ends[:-1])
 
 
@@ -199,11 +200,11 @@ def test_lm_sums_to_one_and_edges(spark, monkeypatch):
 def test_lm_long_text_and_full_memory(spark, monkeypatch):
     """A text beyond a batch and more words than a task remembers: the same scores."""
     rng = random.Random(8)
-    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(n)) for n in (20_000, 5, 400, 0, 9000)]
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(n)) for n in (20_000, 5, 400, 0, 9000)] + [" \t\x0b ", None, "\x1f\x85 a\u2003b A"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     want = {r.doc_id: r.score for r in ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id"]).collect()}
     monkeypatch.setattr(ngram_lm, "BATCH_TOKENS", 500)
-    monkeypatch.setattr(ngram_lm, "CACHE", 700)
+    monkeypatch.setattr(ngram_lm, "HELD", 700)
     got = {r.doc_id: r.score for r in ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id"]).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
