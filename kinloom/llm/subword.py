@@ -2,7 +2,7 @@
 
 Each n-gram (a word's ends count as a character) and, if asked, each word and each run of words has an embedding, found by its hash. A document's vector is the mean
 of them, and a softmax layer over it gives the label. Embeddings and layer are trained together by stochastic gradient descent in
-numpy on a bounded sample of labelled rows. The mean and the layer are linear, so that for scoring an embedding shrinks to one number.
+numpy, in one task, on a bounded sample of labelled rows. The mean and the layer are linear, so that for scoring an embedding shrinks to one number.
 """
 
 from __future__ import annotations
@@ -158,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
     """Learn from labels (id, label 0 or 1; others and nulls are ignored) of docs.
 
     An id with both labels is not learned from; equal rows of docs are one, and different texts of one id are rows of their own. Of each class the rows_a_class
-    rows of least id hash are taken, ties by id and text hash, so the sample depends on ids and texts alone. Their texts are counted where they lie. Only distinct
-    buckets and counts come to the driver, 6 bytes each, those of the first rows that megabytes hold, a row of each class by turns. Without
-    rows of both classes every score is 0 or 1, as the class that there is says, or 0.5 if there is none.
+    rows of least id hash are taken, ties by id and text hash, so the sample depends on ids and texts alone. Their texts are counted where they lie. Distinct
+    buckets and counts, 6 bytes each, of the first rows that megabytes hold, a row of each class by turns, go to one task, which learns; the driver gets numbers
+    and the finished model. Without rows of both classes every score is 0 or 1, as the class that there is says, or 0.5 if there is none.
     """
     both = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     clean = both.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
@@ -192,21 +192,30 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
     kept = materialize(counted_rows.withColumn("place", F.xxhash64("id")), "bags")
     order: dict[int, list] = {0: [], 1: []}
     for r in kept.select("place", "id", "mark", "y", "size").orderBy("place", "id", "mark").collect():  # 2 * rows_a_class rows
-        order[r["y"]].append((r["id"], r["mark"], r["size"]))
-    turns = sorted((i, y, *r) for y in (0, 1) for i, r in enumerate(order[y]))
-    fits = np.cumsum([size for *_, size in turns]) <= how.megabytes << 20
-    wanted = {(i, mark): (n, y) for n, ((_, y, i, mark, _), ok) in enumerate(zip(turns, fits, strict=True)) if ok}
-    taken = {y: sum(v[1] == y for v in wanted.values()) for y in (0, 1)}
+        order[r["y"]].append(r)
+    turns = sorted((i, y) for y in (0, 1) for i in range(len(order[y])))
+    fits = np.cumsum([order[y][i]["size"] for i, y in turns]) <= how.megabytes << 20
+    taken = {y: sum(1 for (_, x), ok in zip(turns, fits, strict=True) if ok and x == y) for y in (0, 1)}
     if not all(taken.values()):
         return np.zeros(1 << bag.bits, np.float32), float(np.log(sizes[1] / sizes[0]))
-    weight = {y: (sizes[y] / sum(sizes.values())) / (taken[y] / len(wanted)) for y in (0, 1)}
-    found: list = [None] * len(turns)
-    # those that fit, partition by partition: the driver's JVM never holds all of them
-    for r in kept.select("id", "mark", "data").toLocalIterator():
-        if (at := wanted.get((r["id"], r["mark"]))) is not None:
-            n = len(r["data"]) // 6
-            found[at[0]] = (np.frombuffer(r["data"], np.uint32, n), np.frombuffer(r["data"], np.uint16, n, 4 * n), at[1], weight[at[1]])
-    return train([x for x in found if x is not None], bag, how)
+    weight = {y: (sizes[y] / sum(sizes.values())) / (taken[y] / sum(taken.values())) for y in (0, 1)}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for place, i, mark, y, data in zip(*(batch[c].to_pylist() for c in ("place", "id", "mark", "y", "data")), strict=True):
+                n = len(data) // 6
+                rows.append(((place, i, mark), (np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n), y, weight[y])))
+        if rows:
+            # the order of learning follows from ids and texts
+            values, bias = train([x for _, x in sorted(rows, key=lambda r: r[0])], bag, how)
+            yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["values", "bias"])
+
+    # at most megabytes of bags go to one task, and 4 << bits bytes come from it
+    ends = {y: order[y][n - 1] for y, n in taken.items()}
+    upto = [(F.col("y") == y) & (F.struct("place", "id", "mark") <= F.struct(F.lit(e["place"]).alias("place"), F.lit(e["id"]).alias("id"), F.lit(e["mark"]).alias("mark"))) for y, e in ends.items()]
+    learned = kept.where(upto[0] | upto[1]).select("place", "id", "mark", "y", "data").repartition(1).mapInArrow(learn, "values binary, bias double").first()
+    return np.frombuffer(learned["values"], np.float32), learned["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bag: Bag, columns: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
