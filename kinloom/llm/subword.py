@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import map_batches, materialize, schema_of
+from kinloom.llm.common import give_back, map_batches, materialize, schema_of
 
 _PRIME, _MIX = np.uint32(16777619), np.uint32(2654435769)
 #: Code points worked on at once: what fits a core's cache; longer texts go through in pieces of this size.
@@ -210,6 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
             # the order of learning follows from ids and texts
             values, bias = train([x for _, x in sorted(rows, key=lambda r: r[0])], bag, how)
             yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["values", "bias"])
+        rows.clear()
+        give_back()
 
     # at most megabytes of bags go to one task, and 4 << bits bytes come from it
     ends = {y: order[y][n - 1] for y, n in taken.items()}
