@@ -111,6 +111,24 @@ def price(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, dict
     return float(best[room]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss and Jordan with row pivots. Plain array arithmetic, as the driver has forked and threaded linear algebra may then wait for ever."""
+    n = len(a)
+    work = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        k = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= np.outer(factor, work[i])
+    return work[:, n:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (a * x).sum(axis=1)
+
+
 def plan(demand: dict[int, int], room: int = CLASSES) -> list[tuple[dict[int, int], int]]:
     """Patterns {class: pieces} and how many sequences have each; together they hold the demand {class: pieces} exactly."""
     sizes = np.array(sorted(k for k, n in demand.items() if n > 0 and k < room), np.int64)
@@ -121,7 +139,7 @@ def plan(demand: dict[int, int], room: int = CLASSES) -> list[tuple[dict[int, in
         columns = [{i: int(room // s)} for i, s in enumerate(sizes)]
         basis = np.diag([float(room // s) for s in sizes])
         inverse = np.diag(1 / np.diag(basis))
-        x = inverse @ d
+        x = _times(inverse, d)
         for turn in range(COLUMNS):
             duals = inverse.sum(axis=0)
             worth, pattern = price(sizes, np.maximum(duals, 0), room)
@@ -130,19 +148,19 @@ def plan(demand: dict[int, int], room: int = CLASSES) -> list[tuple[dict[int, in
             a = np.zeros(m)
             for i, n in pattern.items():
                 a[i] = n
-            u = inverse @ a
+            u = _times(inverse, a)
             ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
             out = int(ratio.argmin())
             if not np.isfinite(ratio[out]):
                 break
             basis[:, out], columns[out] = a, pattern
             if turn % 100 == 99:
-                inverse = np.linalg.inv(basis)
+                inverse = _inverse(basis)
             else:
                 row = inverse[out] / u[out]
                 inverse -= np.outer(u, row)
                 inverse[out] = row
-            x = np.maximum(inverse @ d, 0)
+            x = np.maximum(_times(inverse, d), 0)
         for pattern, n in sorted(zip(columns, np.floor(x + 1e-9).astype(int)), key=lambda c: sorted(c[0].items())):
             by_class = {int(sizes[i]): k for i, k in pattern.items()}
             n = min([int(n), *(left[c] // k for c, k in by_class.items())])

@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
     # at most megabytes of bags go to one task, and 4 << bits bytes come from it
     ends = {y: order[y][n - 1] for y, n in taken.items()}
     upto = [(F.col("y") == y) & (F.struct("place", "id", "mark") <= F.struct(F.lit(e["place"]).alias("place"), F.lit(e["id"]).alias("id"), F.lit(e["mark"]).alias("mark"))) for y, e in ends.items()]
-    learned = kept.where(upto[0] | upto[1]).select("place", "id", "mark", "y", "data").repartition(1).mapInArrow(learn, "values binary, bias double").first()
+    learned = kept.where(upto[0] | upto[1]).select("place", "id", "mark", "y", "data").repartition(1).mapInArrow(learn, "values binary, bias double").collect()[0]  # not first(), which would leave the worker amid its rows
     return np.frombuffer(learned["values"], np.float32), learned["bias"]
 
 
