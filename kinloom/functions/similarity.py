@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,6 +99,35 @@ def _paired(f: Callable[[str, str], object], kind: str) -> Callable[[Column, Col
     return scorer
 
 
+#: What pair_scores gives, in order.
+PAIR_SCORES = ["nc_ratio", "nc_tset", "nc_tsort", "nc_partial", "nc_jw", "nf_ratio", "alt_ratio", "nc_nospace", "ac_tset", "ac_ratio", "ac_partial", "ac_tsort"]
+#: Pairs of strings whose scores a task remembers.
+REMEMBERED = 100_000
+
+
+def pair_scores(n1: str, nq: str, f1: str, fq: str, altq: str, a1: str, aq: str, addr_empty: Column) -> Column:
+    """A struct of PAIR_SCORES for the name cores, full names, the query's trade name and the address cores; -1 without a trade name or where either address is empty.
+
+    All of a pair's strings cross to Python once, and each score of two strings is computed once a task while it is remembered.
+    """
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in PAIR_SCORES))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known = {f: lru_cache(REMEMBERED)(f) for f in (ratio, token_set_ratio, partial_ratio, jaro_winkler)}
+        r, ts, pr, jw = known.values()
+        in_order = lambda s: " ".join(sorted(s.split()))
+
+        def one(n1, nq, f1, fq, alt, a1, aq, empty):
+            names = [r(n1, nq), ts(n1, nq), r(in_order(n1), in_order(nq)), pr(n1, nq), jw(n1, nq), r(f1, fq), r(n1, alt) if alt else -1.0, r(n1.replace(" ", ""), nq.replace(" ", ""))]
+            return names + ([-1.0] * 4 if empty else [ts(a1, aq), r(a1, aq), pr(a1, aq), r(in_order(a1), in_order(aq))])
+
+        for columns in batches:
+            rows = [one(*(x or "" for x in row[:7]), row[7]) for row in zip(*columns, strict=True)]
+            yield pd.DataFrame(rows, columns=PAIR_SCORES, dtype=float)
+
+    return score(*(F.col(c) for c in (n1, nq, f1, fq, altq, a1, aq)), addr_empty)
+
+
 def scorer(name: str) -> Callable[[Column, Column], Column]:
     """The named scorer as a function of two columns; nulls count as empty strings."""
     kinds = {"ratio": (ratio, "double"), "partial_ratio": (partial_ratio, "double"), "token_set_ratio": (token_set_ratio, "double"), "jaro_winkler": (jaro_winkler, "double"), "number_edit": (number_edit, "string")}

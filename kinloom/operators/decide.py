@@ -43,14 +43,6 @@ def patched(matches: DataFrame, extra: DataFrame, q: str = "s23_id") -> DataFram
     return matches.unionByName(extra.join(matches.select(q), q, "left_anti"))
 
 
-def shift_cap(top: DataFrame, rates: DataFrame, slack: float = 1.2, z: float = 3.0) -> DataFrame:
-    """Within a cell at most floor(slack R n + z sqrt(R n) + 5) up-shifts keep their score; the lowest beyond fall just under the threshold."""
-    order = Window.partitionBy("country", "dg").orderBy(F.col("p").desc(), "s1_id", "s23_id")
-    cap = F.floor(slack * F.col("r") * F.col("nd") + z * F.sqrt(F.col("r") * F.col("nd")) + 5)
-    ranked = top.join(rates, ["country", "dg"]).withColumn("rank", F.row_number().over(order))
-    return ranked.withColumn("p2", F.when(F.col("rank") > cap, F.least(F.col("p"), F.col("th") - 1e-4)).otherwise(F.col("p"))).drop("rank", "r", "nd")
-
-
 def expected_f_decode(pairs: DataFrame, missing: float = 0.1, s1: str = "s1_id", tie: str = "s23_id", score: str = "p") -> DataFrame:
     """For each reference record the prefix of its candidates, by falling score, that has the best expected F0.5; none if silence expects more."""
     order = Window.partitionBy(s1).orderBy(F.col(score).desc(), F.col(tie))

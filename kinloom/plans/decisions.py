@@ -67,7 +67,7 @@ def swept(spark: SparkSession, sf: str) -> DataFrame:
     """F0.5 at every threshold of the grid, in one pass: a query's best pair does not depend on the threshold below its score."""
     best = windows.best_of(scored_pairs(spark, sf), ["s23_id"], [F.col("p"), -F.col("s1_id")])
     pred = best.withColumn("t", F.explode(F.array(*map(F.lit, GRID)))).where(F.col("p") >= F.col("t"))
-    return metrics.macro_f05(metrics.record_counts(s1_ids(spark, sf), pred, truth_pairs(spark, sf), more=["t"]), ["t"])
+    return metrics.macro_f05(metrics.record_counts(s1_ids(spark, sf), pred, truth_pairs(spark, sf), grid=("t", GRID)), ["t"])
 
 
 SWEEP = f"""grid AS (SELECT unnest({GRID}) AS t), best AS (SELECT s1_id, s23_id, p FROM (SELECT *, row_number() OVER (PARTITION BY s23_id ORDER BY p DESC, s1_id) AS k FROM sp) WHERE k = 1),
@@ -120,22 +120,6 @@ def m7_label_join(spark: SparkSession, sf: str) -> DataFrame:
     return scored_pairs(spark, sf).join(t, ["s1_id", "s23_id"], "left").select("s1_id", "s23_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-@q(f"WITH {SP}, {TP}, m AS (SELECT country, src, count(*) FILTER (WHERE tp.s1_id IS NOT NULL) AS up, count(*) FILTER (WHERE tp.s1_id IS NULL) AS down FROM sp LEFT JOIN tp ON tp.s1_id = sp.s1_id AND tp.s23_id = sp.s23_id WHERE p >= 0.75 GROUP BY GROUPING SETS ((country, src), (src))) SELECT country, src, round(up / CAST(greatest(down, 1) AS DOUBLE), 6) AS r FROM m")
-def m14_shift_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = m7_label_join(spark, sf).join(scored_pairs(spark, sf).where("p >= 0.75"), ["s1_id", "s23_id"])
-    sums = labelled.groupingSets([["country", "src"], ["src"]], "country", "src").agg(F.count_if(F.col("label") == 1).alias("up"), F.count_if(F.col("label") == 0).alias("down"))
-    return sums.select("country", "src", F.round(F.col("up") / F.greatest("down", F.lit(1)), 6).alias("r"))
-
-
-@q(f"""WITH {SP}, {ASSIGNED}, cell AS (SELECT *, 'd' || CAST(1 + s1_id % 3 AS VARCHAR) AS dg, {TH} AS th FROM asg), rates AS (SELECT country, dg, 0.05 AS r, count(*) AS nd FROM cell GROUP BY 1, 2),
-  k AS (SELECT cell.*, row_number() OVER (PARTITION BY cell.country, cell.dg ORDER BY p DESC, s1_id, s23_id) AS rank, floor(1.2 * r * nd + 3 * sqrt(r * nd) + 5) AS cap FROM cell JOIN rates ON rates.country = cell.country AND rates.dg = cell.dg)
-  SELECT s1_id, s23_id, dg, round(CASE WHEN rank > cap THEN least(p, th - 0.0001) ELSE p END, 6) AS p2 FROM k""")
-def m15_shift_cap(spark: SparkSession, sf: str) -> DataFrame:
-    cell = assigned(spark, sf).withColumns({"dg": F.concat(F.lit("d"), (1 + F.col("s1_id") % 3).cast("string")), "th": threshold()})
-    rates = cell.groupBy("country", "dg").agg(F.lit(0.05).alias("r"), F.count("*").alias("nd"))
-    return decide.shift_cap(cell, rates).select("s1_id", "s23_id", "dg", F.round("p2", 6).alias("p2"))
-
-
 @q(f"WITH {SP}, {ASSIGNED}, b AS (SELECT s1_id, s23_id, p FROM (SELECT *, row_number() OVER (PARTITION BY s23_id ORDER BY p DESC, s1_id) AS k FROM sp WHERE p >= 0.6) WHERE k = 1) SELECT * FROM b WHERE s23_id NOT IN (SELECT s23_id FROM asg)")
 def m19_channel_accept(spark: SparkSession, sf: str) -> DataFrame:
     return decide.gated(scored_pairs(spark, sf), assigned(spark, sf), 0.6).select("s1_id", "s23_id", "p")
@@ -161,12 +145,12 @@ def m22_expected_f_decode(spark: SparkSession, sf: str) -> DataFrame:
     return decide.expected_f_decode(assigned(spark, sf))
 
 
-@q(f"""WITH {SP}, d AS (SELECT unnest(range(20)) AS draw), u AS (SELECT draw, s1_id, s23_id, p, ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':' || CAST(s23_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u FROM sp, d WHERE s1_id % 20 = 0),
+@q(f"""WITH {SP}, d AS (SELECT unnest(range(20)) AS draw), u AS (SELECT draw, s1_id, s23_id, p, ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':' || CAST(s23_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u FROM sp, d),
   r AS (SELECT *, sum(p) OVER (PARTITION BY draw, s23_id ORDER BY s1_id ROWS UNBOUNDED PRECEDING) / greatest(sum(p) OVER (PARTITION BY draw, s23_id), 1) AS run FROM u)
   SELECT draw, count(*) AS pairs, sum(CAST(run >= u AND run - p < u AS BIGINT))::BIGINT AS hits FROM r GROUP BY 1""")
 def m23_monte_carlo_truth(spark: SparkSession, sf: str) -> DataFrame:
     """A drawn truth for each query and draw, from uniforms that are hashes."""
-    draws = scored_pairs(spark, sf).where("s1_id % 20 = 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    draws = scored_pairs(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
     key = F.concat(F.col("draw").cast("string"), F.lit(":"), F.col("s23_id").cast("string"))
     u = decide.md5_mod(key, 1 << 32) / F.lit(4294967296.0).cast("double")
     w = Window.partitionBy("draw", "s23_id")

@@ -8,32 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.fixtures import PE, SP, TP, parts_entities, scored_pairs, table, truth_pairs
-from kinloom.functions import arrays, text
+from kinloom.functions import arrays
 from kinloom.operators import blocking, decide, metrics, windows
 from kinloom.plans.retrieval import TOKENS, tfidf_sql, token_diffs
-from kinloom.plans.texts import ADDRS, COMPS, addresses
 from kinloom.registry import REGISTRY
+from kinloom.session import shared_dir
 
 q = REGISTRY.query
 
 
-@q(rf"WITH {ADDRS}, c AS (SELECT id, {COMPS} AS comps FROM ad), e AS (SELECT id, unnest(comps) AS comp, generate_subscripts(comps, 1) AS pos FROM c), s AS (SELECT DISTINCT lower(p_type) AS state FROM part) SELECT id, arg_max(state, pos) AS state FROM e JOIN s ON s.state = e.comp GROUP BY 1")
-def n13_state_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The last address component that is a known state."""
-    states = table(spark, sf, "part").select(F.lower("p_type").alias("state")).distinct()
-    e = addresses(spark, sf).select("id", F.posexplode(text.address_components(F.col("addr"))).alias("pos", "comp"))
-    return e.join(states, F.col("comp") == F.col("state")).groupBy("id").agg(F.max_by("state", "pos").alias("state"))
-
-
-@q(rf"WITH {ADDRS}, c AS (SELECT id, {COMPS} AS comps FROM ad), s AS (SELECT DISTINCT lower(p_type) AS state FROM part) SELECT id, array_to_string(list_filter(comps, lambda c: NOT list_contains(ss, c)), ' ') AS rest FROM c, (SELECT list(state) AS ss FROM s) x")
-def n14_address_rest(spark: SparkSession, sf: str) -> DataFrame:
-    """Components that are no state, in their order."""
-    states = table(spark, sf, "part").select(F.lower("p_type").alias("comp")).distinct()
-    e = addresses(spark, sf).select("id", F.posexplode_outer(text.address_components(F.col("addr"))).alias("pos", "comp")).join(states.withColumn("is_state", F.lit(True)), "comp", "left")
-    kept = F.sort_array(F.collect_list(F.when(F.col("is_state").isNull() & F.col("comp").isNotNull(), F.struct("pos", "comp"))))
-    return e.groupBy("id").agg(F.array_join(F.transform(kept, lambda x: x["comp"]), " ").alias("rest"))
-
-
 WORDS = "va AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, string_split(name_core, ' ') AS terms FROM pe), vb AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, string_split(addr, ' ') AS terms FROM pe)"
 
 
@@ -78,7 +61,7 @@ def b18_minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def p19_token_roles(spark: SparkSession, sf: str) -> DataFrame:
     """How often a word comes in and goes out; both roles from one aggregate instead of a full join."""
     side = lambda s: F.when(F.col("side") == s, F.col("same").cast("double"))
-    g = token_diffs(spark, sf)[0].groupBy("country", "tok").agg(F.count(side("xq")).alias("n_in"), F.count(side("x1")).alias("n_out"), F.round(F.avg(side("xq")), 6).alias("in_same"), F.round(F.avg(side("x1")), 6).alias("out_same"))
+    g = token_diffs(spark, sf).groupBy("country", "tok").agg(F.count(side("xq")).alias("n_in"), F.count(side("x1")).alias("n_out"), F.round(F.avg(side("xq")), 6).alias("in_same"), F.round(F.avg(side("x1")), 6).alias("out_same"))
     return g.withColumn("in_out", F.round((F.col("n_in") + 1) / (F.col("n_out") + 1), 6))
 
 
@@ -97,13 +80,6 @@ def p16_p17_rescue_context(spark: SparkSession, sf: str) -> DataFrame:
     return scored_pairs(spark, sf).select("s1_id", "s23_id", F.round(windows.gap_to_best("s23_id", "p"), 6).alias("gap"), F.count("*").over(w).alias("n_c"), F.count_if(F.col("p") >= 0.9).over(w).alias("n_high"), (F.col("country") == "India").cast("int").alias("is_in"))
 
 
-@q(rf"WITH {ADDRS}, v AS (SELECT id, list_slice(list_transform(regexp_extract_all(addr, '\d+'), lambda x: CAST(x AS BIGINT)), 1, 4) AS v FROM ad) SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.v, b.v)) AS BIGINT) AS shared, CAST(coalesce(a.v[1] = b.v[1], false) AS INTEGER) AS first_eq FROM v a JOIN v b ON b.id = a.id + 4 WHERE len(a.v) > 0 AND len(b.v) > 0")
-def p5_number_feats(spark: SparkSession, sf: str) -> DataFrame:
-    v = addresses(spark, sf).select("id", arrays.numbers(F.col("addr")).alias("v")).where(F.size("v") > 0)
-    j = v.select(F.col("id").alias("a"), F.col("v").alias("x"), (F.col("id") + 4).alias("b")).join(v.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-    return j.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.coalesce(F.get("x", F.lit(0)) == F.get("y", F.lit(0)), F.lit(False)).cast("int").alias("first_eq"))
-
-
 @q(f"WITH {SP}, {TP} SELECT l.s1_id, l.s23_id, l.p AS p_left, r.p AS p_right, r.src AS src_right FROM sp l JOIN sp r ON l.s23_id = r.s23_id AND l.s1_id + 1 = r.s1_id")
 def j9_j10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     """A self-join whose columns are told apart by name, and a key join where frames would be zipped."""
@@ -152,8 +128,7 @@ def io1_tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Records through an unquoted TSV file in the shared folder and back; empty fields stay empty strings."""
     from kinloom.sources.tables import read_tsv, write_tsv
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/kinloom/tsv-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/kinloom/tsv-{uuid.uuid4().hex[:12]}"
     addr = F.when(F.col("num") > 25, "").otherwise(F.col("addr"))
     write_tsv(parts_entities(spark, sf).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("name_core").alias("business_name"), addr.alias("business_address"), "country"), path)
     return read_tsv(spark, path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.fixtures import PE, SP, parts_entities, scored_pairs, table
-from kinloom.functions import arrays, similarity
+from kinloom.functions import arrays
 from kinloom.operators import blocking, windows
 from kinloom.plans.texts import PAIRS, entity_pairs
 from kinloom.registry import REGISTRY
@@ -48,9 +48,9 @@ def b2_tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
 GRAMS = "list_distinct(flatten(list_transform(string_split(name_core, ' '), lambda w: list_transform(range(1, greatest(length(w) + 2 - 3 + 1, 1) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"
 
 
-@q(f"WITH {PE}, ge AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {GRAMS} AS terms FROM pe WHERE num <= 25), {tfidf_sql('ge', 2, 0.5)} SELECT q_id, s1_id, sim, rank FROM rk WHERE rank < 10")
+@q(f"WITH {PE}, ge AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {GRAMS} AS terms FROM pe), {tfidf_sql('ge', 2, 0.5)} SELECT q_id, s1_id, sim, rank FROM rk WHERE rank < 10")
 def b8_char3_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = parts_entities(spark, sf).where("num <= 25").select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), arrays.char_ngrams(F.col("name_core"), 3).alias("terms"))
+    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), arrays.char_ngrams(F.col("name_core"), 3).alias("terms"))
     return blocking.sparse_top_k(blocking.tfidf(e, F.col("is_ref"), "part", "id", "terms", 2, 0.5), "part", "id", 10, 0.01)
 
 
@@ -152,24 +152,6 @@ def p1_blocking_feats(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("s1_id", "s23_id", "tf_sim", "emb_sim", "emb_rank", F.round(windows.gap_to_best("s23_id", "emb_sim"), 6).alias("emb_gap"))
 
 
-@q(f"WITH {PAIRS}, n AS (SELECT name_core, count(*) AS c FROM pe WHERE side = 1 GROUP BY 1) SELECT s1_id, q_id, round(ln(1 + n.c), 6) AS rarity, round(abs(kq - k1) / CAST(greatest(kq, k1, 1) AS DOUBLE), 6) AS num_gap, CAST(k1 = kq AS INTEGER) AS num_eq, CAST(st1 = stq AS INTEGER) AS state_eq, CAST(length(nq) - length(n1) AS BIGINT) AS len_diff FROM pr JOIN n ON n.name_core = pr.n1")
-def p4_pair_feats_nofuzz(spark: SparkSession, sf: str) -> DataFrame:
-    n = parts_entities(spark, sf).where("side = 1").groupBy(F.col("name_core").alias("n1")).agg(F.count("*").alias("c"))
-    return entity_pairs(spark, sf).join(n, "n1").select(
-        "s1_id", "q_id", F.round(F.log1p(F.col("c").cast("double")), 6).alias("rarity"), F.round(F.abs(F.col("kq") - F.col("k1")) / F.greatest("kq", "k1", F.lit(1)), 6).alias("num_gap"),
-        (F.col("k1") == F.col("kq")).cast("int").alias("num_eq"), (F.col("st1") == F.col("stq")).cast("int").alias("state_eq"), (F.length("nq") - F.length("n1")).cast("long").alias("len_diff"),
-    )
-
-
-@q()
-def p3_p15_scored_feats(spark: SparkSession, sf: str) -> DataFrame:
-    """Pair features with the Python scorers; three of them in one pass over the pairs."""
-    a, b = F.col("n1"), F.col("nq")
-    scored = entity_pairs(spark, sf).select("s1_id", "q_id", similarity.scorer("token_set_ratio")(a, b).alias("nc_tset"), similarity.scorer("ratio")(a, b).alias("nc_ratio"), similarity.scorer("jaro_winkler")(a, b).alias("nc_jw"))
-    by_q = Window.partitionBy("q_id")
-    return scored.withColumns({"q_ncand": F.count("*").over(by_q), "r_gap": F.round(F.col("nc_ratio") - F.max("nc_ratio").over(by_q), 6), "r_ntie": F.count_if(F.col("nc_ratio") >= F.lit(97.0)).over(by_q)})
-
-
 @q(f"WITH {PE}, a AS (SELECT country, name_core, count(*) AS s1_name_cnt FROM pe WHERE side = 1 GROUP BY 1, 2), b AS (SELECT country, name_core, state, count(*) AS c FROM pe WHERE side = 1 GROUP BY 1, 2, 3) SELECT q.entity_id AS q_id, coalesce(s1_name_cnt, 0) AS s1_name_cnt, coalesce(c, 0) AS s1_name_state_cnt, CAST(s1_name_cnt IS NOT NULL AS INTEGER) AS q_name_in_s1 FROM pe q LEFT JOIN a ON a.country = q.country AND a.name_core = q.name_core LEFT JOIN b ON b.country = q.country AND b.name_core = q.name_core AND b.state = q.state WHERE q.side > 1")
 def p6_rarity(spark: SparkSession, sf: str) -> DataFrame:
     e = parts_entities(spark, sf)
@@ -179,62 +161,15 @@ def p6_rarity(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(F.col("entity_id").alias("q_id"), F.coalesce("s1_name_cnt", F.lit(0)).alias("s1_name_cnt"), F.coalesce("c", F.lit(0)).alias("s1_name_state_cnt"), F.col("s1_name_cnt").isNotNull().cast("int").alias("q_name_in_s1"))
 
 
-TOKENS = f"{PAIRS}, dt AS (SELECT country, 'xq' AS side, unnest(list_distinct(list_filter(string_split(nq, ' '), lambda t: NOT list_contains(string_split(n1, ' '), t)))) AS tok, s1_id, q_id, k1 = kq AS same FROM pr UNION ALL SELECT country, 'x1', unnest(list_distinct(list_filter(string_split(n1, ' '), lambda t: NOT list_contains(string_split(nq, ' '), t)))), s1_id, q_id, k1 = kq FROM pr), prior AS (SELECT country, avg(CAST(k1 = kq AS DOUBLE)) AS prior FROM pr GROUP BY 1), tt AS (SELECT dt.country, side, tok, count(*) AS k, round((sum(CAST(same AS INTEGER)) + 20 * any_value(prior)) / (count(*) + 20), 6) AS rate, round(ln(1 + count(*)), 6) AS lfreq FROM dt JOIN prior ON prior.country = dt.country GROUP BY 1, 2, 3)"
+TOKENS = f"{PAIRS}, dt AS (SELECT country, 'xq' AS side, unnest(list_distinct(list_filter(string_split(nq, ' '), lambda t: NOT list_contains(string_split(n1, ' '), t)))) AS tok, s1_id, q_id, k1 = kq AS same FROM pr UNION ALL SELECT country, 'x1', unnest(list_distinct(list_filter(string_split(n1, ' '), lambda t: NOT list_contains(string_split(nq, ' '), t)))), s1_id, q_id, k1 = kq FROM pr)"
 
 
-def token_diffs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def token_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """(country, s1_id, q_id, same, side, tok): the words that only the query (xq) or only the record (x1) has, and whether the numbers agree."""
     pairs = entity_pairs(spark, sf).withColumn("same", F.col("k1") == F.col("kq"))
     a, b = F.split("n1", " "), F.split("nq", " ")
     sides = F.array(F.struct(F.lit("xq").alias("side"), F.array_except(b, a).alias("toks")), F.struct(F.lit("x1").alias("side"), F.array_except(a, b).alias("toks")))
-    long = pairs.select("country", "s1_id", "q_id", "same", F.explode(sides).alias("x")).select("country", "s1_id", "q_id", "same", "x.side", F.explode("x.toks").alias("tok"))
-    prior = pairs.groupBy("country").agg(F.avg(F.col("same").cast("double")).alias("prior"))
-    rate = F.round((F.sum(F.col("same").cast("int")) + 20 * F.max("prior")) / (F.count("*") + 20), 6)
-    return long, long.join(prior, "country").groupBy("country", "side", "tok").agg(F.count("*").alias("k"), rate.alias("rate"), F.round(F.log1p(F.count("*").cast("double")), 6).alias("lfreq"))
-
-
-@q(f"WITH {TOKENS} SELECT * FROM tt")
-def p7_token_table(spark: SparkSession, sf: str) -> DataFrame:
-    return token_diffs(spark, sf)[1]
-
-
-@q(f"WITH {TOKENS} SELECT s1_id, q_id, dt.side, count(*) AS n, min(rate) AS rmin, round(avg(rate), 6) AS rmean, max(lfreq) AS fmax FROM dt JOIN tt ON tt.country = dt.country AND tt.side = dt.side AND tt.tok = dt.tok GROUP BY 1, 2, 3")
-def p9_token_feats(spark: SparkSession, sf: str) -> DataFrame:
-    long, stats = token_diffs(spark, sf)
-    return long.join(stats, ["country", "side", "tok"]).groupBy("s1_id", "q_id", "side").agg(F.count("*").alias("n"), F.min("rate").alias("rmin"), F.round(F.avg("rate"), 6).alias("rmean"), F.max("lfreq").alias("fmax"))
-
-
-@q(f"WITH {TOKENS}, c AS (SELECT country, side, tok, CASE WHEN side = 'xq' AND NOT EXISTS (SELECT 1 FROM dt d WHERE d.s1_id = dt.s1_id AND d.q_id = dt.q_id AND d.side = 'x1') THEN 'a' ELSE 's' END AS kind, same FROM dt) SELECT country, side, tok, kind, count(*) AS k, round(avg(CAST(same AS DOUBLE)), 6) AS krate FROM c GROUP BY 1, 2, 3, 4")
-def p8_token_table_ctx(spark: SparkSession, sf: str) -> DataFrame:
-    """Token statistics by kind as well: a for words only added, s for swapped or dropped ones."""
-    long, _ = token_diffs(spark, sf)
-    dropped = F.max((F.col("side") == "x1").cast("int")).over(Window.partitionBy("s1_id", "q_id"))
-    kind = F.when((F.col("side") == "xq") & (F.col("dropped") == 0), "a").otherwise("s")
-    return long.withColumn("dropped", dropped).groupBy("country", "side", "tok", kind.alias("kind")).agg(F.count("*").alias("k"), F.round(F.avg(F.col("same").cast("double")), 6).alias("krate"))
-
-
-@q(f"WITH {SP}, r AS (SELECT *, row_number() OVER (PARTITION BY s23_id ORDER BY p DESC, s1_id) AS k FROM sp) SELECT s1_id, s23_id, k - 1 AS q_rank, count(*) OVER (PARTITION BY s1_id) AS s1_n, count(*) FILTER (WHERE k = 1 AND p >= 0.75) OVER (PARTITION BY s1_id) AS s1_hi, count(*) FILTER (WHERE k = 1 AND p >= 0.75 AND src = 2) OVER (PARTITION BY s1_id) AS s1_hi_2, row_number() OVER (PARTITION BY s1_id, src ORDER BY p DESC, s23_id) - 1 AS s1_src_rank FROM r")
-def p10_collective(spark: SparkSession, sf: str) -> DataFrame:
-    """What the record's other candidates say, as conditional counts over one window instead of joins."""
-    r = scored_pairs(spark, sf).withColumn("q_rank", windows.rank0("s23_id", "p", "s1_id"))
-    by, hi = Window.partitionBy("s1_id"), (F.col("q_rank") == 0) & (F.col("p") >= 0.75)
-    return r.select("s1_id", "s23_id", "q_rank", F.count("*").over(by).alias("s1_n"), F.count_if(hi).over(by).alias("s1_hi"), F.count_if(hi & (F.col("src") == 2)).over(by).alias("s1_hi_2"), windows.rank0(["s1_id", "src"], "p", "s23_id").alias("s1_src_rank"))
-
-
-@q(f"WITH {PAIRS} SELECT s1_id, q_id, CASE WHEN k1 = kq THEN 'same' WHEN kq = k1 + 1 OR kq = k1 - 1 THEN 'step' WHEN kq > k1 THEN 'up' ELSE 'down' END AS nrel, kq - k1 AS ndiff, CAST(len(list_filter(string_split(nq, ' '), lambda t: NOT list_contains(string_split(n1, ' '), t))) AS BIGINT) AS add_n FROM pr")
-def p11_struct(spark: SparkSession, sf: str) -> DataFrame:
-    k1, kq = F.col("k1"), F.col("kq")
-    nrel = F.when(k1 == kq, "same").when((kq == k1 + 1) | (kq == k1 - 1), "step").when(kq > k1, "up").otherwise("down")
-    fresh = F.filter(F.split("nq", " "), lambda t: ~F.array_contains(F.split("n1", " "), t))
-    return entity_pairs(spark, sf).select("s1_id", "q_id", nrel.alias("nrel"), (kq - k1).alias("ndiff"), F.size(fresh).cast("long").alias("add_n"))
-
-
-@q(f"WITH {TOKENS}, s AS (SELECT s1_id, side, tok, count(*) AS n FROM dt GROUP BY 1, 2, 3) SELECT pr.s1_id, pr.q_id, coalesce(min(CASE WHEN s.side = 'xq' THEN s.n - 1 END), -1) AS sib_add_min, coalesce(max(CASE WHEN s.side = 'x1' THEN s.n - 1 END), -1) AS sib_drop_max FROM pr LEFT JOIN dt ON dt.s1_id = pr.s1_id AND dt.q_id = pr.q_id LEFT JOIN s ON s.s1_id = dt.s1_id AND s.side = dt.side AND s.tok = dt.tok GROUP BY 1, 2")
-def p12_siblings(spark: SparkSession, sf: str) -> DataFrame:
-    """How many other queries of the record deviate by the same word."""
-    long, _ = token_diffs(spark, sf)
-    n = long.withColumn("n", F.count("*").over(Window.partitionBy("s1_id", "side", "tok")) - 1)
-    agg = n.groupBy("s1_id", "q_id").agg(F.min(F.when(F.col("side") == "xq", F.col("n"))).alias("a"), F.max(F.when(F.col("side") == "x1", F.col("n"))).alias("d"))
-    return entity_pairs(spark, sf).join(agg, ["s1_id", "q_id"], "left").select("s1_id", "q_id", F.coalesce("a", F.lit(-1)).alias("sib_add_min"), F.coalesce("d", F.lit(-1)).alias("sib_drop_max"))
+    return pairs.select("country", "s1_id", "q_id", "same", F.explode(sides).alias("x")).select("country", "s1_id", "q_id", "same", "x.side", F.explode("x.toks").alias("tok"))
 
 
 @q(f"WITH {SP}, h AS (SELECT *, CASE WHEN p BETWEEN 0.2 AND 0.8 THEN p END AS ce FROM sp) SELECT s1_id, s23_id, ce, CASE WHEN ce IS NOT NULL THEN row_number() OVER (PARTITION BY s23_id ORDER BY ce DESC NULLS LAST, s1_id) - 1 END AS ce_rank, round(ce - max(ce) OVER (PARTITION BY s23_id), 6) AS ce_gap FROM h")
@@ -252,18 +187,10 @@ def p14_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, ["s1_id", "s23_id"], "full_outer").select("s1_id", "s23_id", F.round(both, 6).alias("ce"))
 
 
-@q(f"WITH {PAIRS}, c AS (SELECT s1_id, q_id, country, CASE WHEN kq = k1 THEN 'd0' WHEN abs(kq - k1) = 1 THEN 'd1' WHEN abs(kq - k1) = 2 THEN 'd2' ELSE 'd3' END AS dg, kq > k1 AS up, n1 = nq AS nsame FROM pr) SELECT country, dg, count(*) AS n, count(*) FILTER (WHERE up) AS ups, count(*) FILTER (WHERE nsame) AS same_name FROM c GROUP BY 1, 2")
-def p21_shift_cells(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.abs(F.col("kq") - F.col("k1"))
-    dg = F.when(d == 0, "d0").when(d == 1, "d1").when(d == 2, "d2").otherwise("d3")
-    return entity_pairs(spark, sf).groupBy("country", dg.alias("dg")).agg(F.count("*").alias("n"), F.count_if(F.col("kq") > F.col("k1")).alias("ups"), F.count_if(F.col("n1") == F.col("nq")).alias("same_name"))
-
-
 @q(f"WITH {TOKENS}, g AS (SELECT country, tok, count(*) FILTER (WHERE same) AS eq, count(*) FILTER (WHERE NOT same) AS up FROM dt WHERE side = 'xq' GROUP BY 1, 2), r AS (SELECT country, quantile_cont(eq / CAST(greatest(up, 1) AS DOUBLE), 0.25) AS r FROM g GROUP BY 1) SELECT g.country, tok, round(greatest(least(1 - r * up / greatest(eq, 1), 1), 0), 6) AS share FROM g JOIN r ON r.country = g.country")
 def p20_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The share of true pairs among those that add a word, from how often decoys would keep the number."""
-    long, _ = token_diffs(spark, sf)
-    g = long.where("side = 'xq'").groupBy("country", "tok").agg(F.count_if("same").alias("eq"), F.count_if(~F.col("same")).alias("up"))
+    g = token_diffs(spark, sf).where("side = 'xq'").groupBy("country", "tok").agg(F.count_if("same").alias("eq"), F.count_if(~F.col("same")).alias("up"))
     r = g.groupBy("country").agg(F.percentile(F.col("eq") / F.greatest("up", F.lit(1)), F.lit(0.25)).alias("r"))
     share = F.greatest(F.least(1 - F.col("r") * F.col("up") / F.greatest("eq", F.lit(1)), F.lit(1.0)), F.lit(0.0))
     return g.join(F.broadcast(r), "country").select("country", "tok", F.round(share, 6).alias("share"))
@@ -277,29 +204,5 @@ def p22_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @q(f"WITH {TOKENS} SELECT country, side, tok, n, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, side ORDER BY n DESC, tok) AS k FROM (SELECT country, side, tok, count(*) AS n FROM dt GROUP BY 1, 2, 3)) WHERE k <= 5")
 def e19_token_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    n = token_diffs(spark, sf)[0].groupBy("country", "side", "tok").agg(F.count("*").alias("n"))
-    return windows.top_n(n, ["country", "side"], "n", "tok", 5)
-
-
-@q(f"WITH {TOKENS}, g AS (SELECT tok, count(*) FILTER (WHERE same) * 1000.0 / count(*) AS inr, count(*) AS n FROM dt WHERE side = 'xq' GROUP BY 1), voc AS (SELECT tok FROM g WHERE inr >= 5 AND n >= 3) SELECT pr.s1_id, pr.q_id, any_value(dt.tok) AS word FROM pr JOIN dt ON dt.s1_id = pr.s1_id AND dt.q_id = pr.q_id AND dt.side = 'xq' JOIN voc ON voc.tok = dt.tok WHERE pr.k1 = pr.kq GROUP BY 1, 2 HAVING count(*) = 1")
-def m16_variant_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of equal numbers that differ by one added word of the learned variant vocabulary."""
-    long, _ = token_diffs(spark, sf)
-    added = long.where("side = 'xq'")
-    rate = F.count_if("same") * F.lit(1000.0).cast("double") / F.count("*")
-    voc = added.groupBy("tok").agg(rate.alias("inr"), F.count("*").alias("n")).where("inr >= 5 AND n >= 3").select("tok")
-    return added.where("same").join(voc, "tok").groupBy("s1_id", "q_id").agg(F.count("*").alias("n"), F.max("tok").alias("word")).where("n = 1").drop("n")
-
-
-@q(f"WITH {PAIRS} SELECT s1_id, q_id FROM pr WHERE k1 = kq AND nq <> n1 AND starts_with(nq, split_part(n1, ' ', 1)) AND len(list_intersect(string_split(n1, ' '), string_split(nq, ' '))) / CAST(greatest(len(string_split(n1, ' ')), len(string_split(nq, ' '))) AS DOUBLE) > 0.34")
-def m17_legal_add(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.split("n1", " "), F.split("nq", " ")
-    return entity_pairs(spark, sf).where((F.col("k1") == F.col("kq")) & (F.col("nq") != F.col("n1")) & F.startswith("nq", F.get(a, F.lit(0))) & (arrays.overlap(a, b) > 0.34)).select("s1_id", "q_id")
-
-
-@q(f"WITH {PE}, own AS (SELECT country, name_core, min(entity_id) AS s1_id FROM pe WHERE side = 1 GROUP BY 1, 2 HAVING count(*) = 1) SELECT q.entity_id AS q_id, own.s1_id FROM pe q JOIN own ON own.country = q.country AND own.name_core = q.name_core WHERE q.side > 1 AND q.num > 40")
-def m18_number_missing_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries whose number says nothing (here: above 40) match a name with exactly one owner in the country."""
-    e = parts_entities(spark, sf)
-    own = e.where("side = 1").groupBy("country", "name_core").agg(F.count("*").alias("n"), F.min("entity_id").alias("s1_id")).where("n = 1").drop("n")
-    return e.where("side > 1 AND num > 40").join(own, ["country", "name_core"]).select(F.col("entity_id").alias("q_id"), "s1_id")
+    n = token_diffs(spark, sf).groupBy("country", "side", "tok").agg(F.count("*").alias("n"))
+    return windows.top_n(n, ["country", "side"], "n", "tok", 5)
\ No newline at end of file

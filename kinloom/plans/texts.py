@@ -11,53 +11,63 @@ from kinloom.registry import REGISTRY
 
 q = REGISTRY.query
 # Part names and business-like variants of them; the same in both engines.
-NAMES = "nm AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'The ' || p_name || ' Co.' WHEN 1 THEN p_name || ' & Sons L.L.C.' WHEN 2 THEN p_name || ' Inc dba Bar Shop' WHEN 3 THEN 'Limited' WHEN 4 THEN 'www.' || p_name || '.com #12' ELSE p_name || '  Société S.A.R.L.' END AS name FROM part)"
-ADDRS = "ad AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '00' || p_size || ' Main St., null, ' || p_type WHEN 2 THEN 'St-Denis ' || p_size || '/2 Rd, ' || p_type || ', 0' || (10000 + p_partkey % 500) ELSE p_name || ' Ave, ' || p_type END AS addr FROM part)"
+NAMES = "nm AS (SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'The ' || p_name || ' Co.' WHEN 1 THEN p_name || ' & Sons L.L.C.' WHEN 2 THEN p_name || ' Inc dba Bar Shop' WHEN 3 THEN 'Limited' WHEN 4 THEN 'www.' || p_name || '.co.in #12' WHEN 5 THEN p_name || '  Société S.A.R.L.' WHEN 6 THEN 'Œuvre ' || p_name || ' f k a Old Shree Pvt. Ltd' WHEN 7 THEN 'श्री ' || p_name || ' M/S' ELSE p_name || ' + Straße P.L.L.C t a The End a k a It' END AS name FROM part)"
+ADDRS = "ad AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '00' || p_size || ' Main St., null, ' || p_type WHEN 2 THEN 'St.-Denis ' || p_size || '/2 Rd, ' || p_type || ', 0' || (10000 + p_partkey % 500) WHEN 3 THEN 'N/A, #' || p_size || ' M.G. Rd, ST - Cloud, -' ELSE p_name || ' Ave, ' || p_type END AS addr FROM part)"
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
-    n, k = F.col("p_name"), F.col("p_partkey") % 6
-    c = F.when(k == 0, F.concat(F.lit("The "), n, F.lit(" Co."))).when(k == 1, F.concat(n, F.lit(" & Sons L.L.C."))).when(k == 2, F.concat(n, F.lit(" Inc dba Bar Shop"))).when(k == 3, "Limited").when(k == 4, F.concat(F.lit("www."), n, F.lit(".com #12"))).otherwise(F.concat(n, F.lit("  Société S.A.R.L.")))
+    n, k = F.col("p_name"), F.col("p_partkey") % 9
+    forms = [("The ", " Co."), ("", " & Sons L.L.C."), ("", " Inc dba Bar Shop"), None, ("www.", ".co.in #12"), ("", "  Société S.A.R.L."), ("Œuvre ", " f k a Old Shree Pvt. Ltd"), ("श्री ", " M/S"), ("", " + Straße P.L.L.C t a The End a k a It")]
+    c = F.get(F.array(*(F.concat(F.lit(f[0]), n, F.lit(f[1])) if f else F.lit("Limited") for f in forms)), k.cast("int"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), c.alias("name"))
 
 
 def addresses(spark: SparkSession, sf: str) -> DataFrame:
-    s, t, k = F.col("p_size").cast("string"), F.col("p_type"), F.col("p_partkey") % 4
-    c = F.when(k == 0, "").when(k == 1, F.concat(F.lit("00"), s, F.lit(" Main St., null, "), t)).when(k == 2, F.concat(F.lit("St-Denis "), s, F.lit("/2 Rd, "), t, F.lit(", 0"), (10000 + F.col("p_partkey") % 500).cast("string"))).otherwise(F.concat("p_name", F.lit(" Ave, "), t))
+    s, t, k = F.col("p_size").cast("string"), F.col("p_type"), F.col("p_partkey") % 5
+    c = F.when(k == 0, "").when(k == 1, F.concat(F.lit("00"), s, F.lit(" Main St., null, "), t)).when(k == 2, F.concat(F.lit("St.-Denis "), s, F.lit("/2 Rd, "), t, F.lit(", 0"), (10000 + F.col("p_partkey") % 500).cast("string")))
+    c = c.when(k == 3, F.concat(F.lit("N/A, #"), s, F.lit(" M.G. Rd, ST - Cloud, -"))).otherwise(F.concat("p_name", F.lit(" Ave, "), t))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), c.alias("addr"))
 
 
-def rsql(col: str, pairs: list[tuple[str, str]]) -> str:
+def replace_sql(col: str, pairs: list[tuple[str, str]]) -> str:
     for a, b in pairs:
         col = f"regexp_replace({col}, '{a}', '{b.replace('$1', chr(92) + '1')}', 'g')"
     return col
 
 
-def msql(col: str, mapping: dict[str, str]) -> str:
+def map_sql(col: str, mapping: dict[str, str]) -> str:
     keys, values = str(list(mapping)), str(list(mapping.values()))
     return f"array_to_string(list_transform(string_split({col}, ' '), lambda t: coalesce(list_extract({values}, list_position({keys}, t)), t)), ' ')"
 
 
-def dsql(col: str, drop: list[str]) -> str:
+def drop_sql(col: str, drop: list[str]) -> str:
     return f"array_to_string(list_filter(string_split({col}, ' '), lambda t: t <> '' AND NOT list_contains({drop}, t)), ' ')"
 
 
-def csql(col: str) -> str:
+def collapse_sql(col: str) -> str:
     return f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
 
 
-FOLD = f"translate(name, '{text.ACCENTED}', '{text.PLAIN}')"
-BASIC = rsql(f"lower({FOLD})", [(r"\?", ""), (r"[&+]", " and ")])
-CODES = rsql(BASIC, [(r"#\s*\d+", " "), (r"\bwww\.", " "), (r"\.(com|net|org|in|fr|co)\b", " "), (r"\bm/s\b", " "), ("/", " ")])
-DOTTED = rsql(CODES, [(r"\b([a-z])\.", "$1"), (r"[^a-z0-9 ]", " ")])
-FUSED = rsql(csql(DOTTED), [(rf"\b{x}\b", x.replace(" ", "")) for x in sorted(text.LEGAL_SPACED, key=len, reverse=True)])
-CLEAN = csql(msql(csql(FUSED), text.LEGAL))
-FORMS = sorted(set(text.LEGAL.values()))
-NAMED = rf"""{NAMES}, c AS (SELECT id, {CLEAN} AS clean FROM nm), h AS (SELECT id, regexp_replace(clean, '{text.MARKER}', chr(1)) AS x FROM c),
-  f AS (SELECT id, {csql("replace(x, chr(1), ' ')")} AS name_full, CASE WHEN contains(x, chr(1)) THEN trim(split_part(x, chr(1), 2)) ELSE '' END AS name_alt FROM h)"""
+def fold_sql(col: str, lower: bool = False) -> str:
+    folded = replace_sql(f"translate({col}, '{text.FOLDED_FROM}', '{text.FOLDED_TO}')", text.FOLDED_LONG)
+    return f"lower({folded})" if lower else folded
 
 
-@q(rf"WITH {NAMES} SELECT id, {FOLD} AS folded, {BASIC} AS basic, {csql('name')} AS collapsed, {CODES} AS stripped, {DOTTED} AS dotted, {FUSED} AS fused, {msql(csql(FUSED), text.LEGAL)} AS mapped, {dsql(csql(FUSED), text.NAME_STOP)} AS kept FROM nm")
+def names_sql(view: str, key: str, col: str, out: str) -> str:
+    """SQL of the view out: key, name_full, name_core, name_alt and legal of the view's column; a chain, as each step reads the one before more than once."""
+    dotted = replace_sql(fold_sql(col, lower=True), text.BASIC + text.CODES + text.DOTTED)
+    forms = list(text.LEGAL_FORMS)
+    return rf"""{out}_a AS MATERIALIZED (SELECT {key}, {replace_sql(collapse_sql(dotted), text.FUSED)} AS fused FROM {view}), {out}_b AS MATERIALIZED (SELECT {key}, regexp_replace({map_sql("fused", text.LEGAL)}, '{text.MARKER}', chr(1)) AS x FROM {out}_a),
+    {out}_c AS MATERIALIZED (SELECT {key}, {collapse_sql("replace(x, chr(1), ' ')")} AS name_full, CASE WHEN contains(x, chr(1)) THEN {collapse_sql("split_part(x, chr(1), 2)")} ELSE '' END AS alt FROM {out}_b),
+    {out} AS MATERIALIZED (SELECT {key}, name_full, coalesce(nullif({drop_sql("name_full", text.NAME_DROPPED)}, ''), name_full) AS name_core, {drop_sql("alt", text.NAME_DROPPED)} AS name_alt,
+      array_to_string(list_sort(list_distinct(list_filter(string_split(name_full, ' '), lambda t: list_contains({forms}, t)))), ' ') AS legal FROM {out}_c)"""
+
+
+STEPS = rf"""sa AS MATERIALIZED (SELECT id, name, {fold_sql("name")} AS folded, {collapse_sql("name")} AS collapsed FROM nm), sb AS MATERIALIZED (SELECT *, {replace_sql("lower(folded)", text.BASIC)} AS basic FROM sa), sc AS MATERIALIZED (SELECT *, {replace_sql("basic", text.CODES)} AS stripped FROM sb),
+  sd AS MATERIALIZED (SELECT *, {replace_sql("stripped", text.DOTTED)} AS dotted FROM sc), se AS MATERIALIZED (SELECT *, {replace_sql(collapse_sql("dotted"), text.FUSED)} AS fused FROM sd)"""
+
+
+@q(rf"WITH {NAMES}, {STEPS} SELECT id, folded, basic, collapsed, stripped, dotted, fused, {map_sql('fused', text.LEGAL)} AS mapped, {drop_sql('fused', text.NAME_DROPPED)} AS kept FROM se")
 def n1_n9_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Each step of name cleaning on its own."""
     n = F.col("name")
@@ -65,23 +75,22 @@ def n1_n9_steps(spark: SparkSession, sf: str) -> DataFrame:
     stripped = text.strip_codes(basic)
     dotted = text.dotted(stripped)
     fused = text.fuse_legal(text.collapse(dotted))
-    return names(spark, sf).select("id", text.fold_latin(n).alias("folded"), basic.alias("basic"), text.collapse(n).alias("collapsed"), stripped.alias("stripped"), dotted.alias("dotted"), fused.alias("fused"), text.map_tokens(text.collapse(fused), text.LEGAL).alias("mapped"), text.drop_tokens(text.collapse(fused), text.NAME_STOP).alias("kept"))
+    return names(spark, sf).select("id", text.fold_latin(n).alias("folded"), basic.alias("basic"), text.collapse(n).alias("collapsed"), stripped.alias("stripped"), dotted.alias("dotted"), fused.alias("fused"), text.map_tokens(fused, text.LEGAL).alias("mapped"), text.drop_tokens(fused, text.NAME_DROPPED).alias("kept"))
 
 
-@q(rf"WITH {NAMED} SELECT id, name_full, name_alt FROM f")
+@q(f"WITH {NAMES}, {names_sql('nm', 'id', 'name', 'f')} SELECT id, name_full, name_alt FROM f")
 def n10_trade_name(spark: SparkSession, sf: str) -> DataFrame:
     parts = text.name_parts(F.col("name"))
     return names(spark, sf).select("id", parts["name_full"].alias("name_full"), parts["name_alt"].alias("name_alt"))
 
 
-@q(rf"WITH {NAMED}, k AS (SELECT *, {dsql('name_full', [*text.NAME_STOP, *FORMS])} AS core FROM f) SELECT id, name_full, CASE WHEN core = '' THEN name_full ELSE core END AS name_core, name_alt, array_to_string(list_sort(list_distinct(list_filter(string_split(name_full, ' '), lambda t: list_contains({FORMS}, t)))), ' ') AS legal FROM k")
+@q(f"WITH {NAMES}, {names_sql('nm', 'id', 'name', 'f')} SELECT id, name_full, name_core, name_alt, legal FROM f")
 def n11_names(spark: SparkSession, sf: str) -> DataFrame:
     return names(spark, sf).select("id", *(c.alias(n) for n, c in text.name_parts(F.col("name")).items()))
 
 
-AFOLD = rf"regexp_replace(lower(translate(addr, '{text.ACCENTED}', '{text.PLAIN}')), '\bst-', 'saint-', 'g')"
-COMPS = rf"list_filter(list_transform(string_split({AFOLD}, ','), lambda c: regexp_replace({csql(rsql('c', [('[^a-z0-9/ ]', ' ')]))}, '\b0+(\d)', '\1', 'g')), lambda c: c <> '' AND NOT list_contains({text.NULL_MARKERS}, c))"
-EXPAND = "array_to_string(list_transform(list_filter(string_split(replace(c, '/', ' '), ' '), lambda t: t <> ''), lambda t: coalesce(list_extract({v}, list_position({k}, t)), t)), ' ')".format(v=list(text.ADDRESS_WORDS.values()), k=list(text.ADDRESS_WORDS))
+COMPS = f"list_filter(list_transform(string_split({replace_sql(fold_sql('addr', lower=True), text.BASIC + text.ADDRESS_SAINT)}, ','), lambda c: {collapse_sql(replace_sql('c', text.COMPONENT))}), lambda c: c <> '' AND NOT list_contains({text.NULL_MARKERS}, c))"
+EXPAND = map_sql("replace(c, '/', ' ')", text.ADDRESS_WORDS)
 
 
 @q(rf"WITH {ADDRS} SELECT id, array_to_string({COMPS}, '|') AS comps FROM ad")
@@ -89,31 +98,18 @@ def n12_addr_components(spark: SparkSession, sf: str) -> DataFrame:
     return addresses(spark, sf).select("id", F.array_join(text.address_components(F.col("addr")), "|").alias("comps"))
 
 
-@q(rf"WITH {ADDRS}, c AS (SELECT id, {COMPS} AS comps FROM ad), f AS (SELECT id, comps, array_to_string(list_transform(comps, lambda c: {EXPAND}), ' ') AS addr_full FROM c) SELECT id, addr_full, {dsql('addr_full', text.ADDRESS_STOP)} AS addr_core, array_to_string(regexp_extract_all(addr_full, '\d+'), ' ') AS nums, array_to_string(list_filter(comps, lambda c: NOT regexp_matches(c, '\d')), '|') AS alpha_comps, CAST(addr_full = '' AS INTEGER) AS addr_empty FROM f")
+@q(rf"WITH {ADDRS}, c AS MATERIALIZED (SELECT id, {COMPS} AS comps FROM ad), e AS MATERIALIZED (SELECT id, list_transform(comps, lambda c: {EXPAND}) AS rest FROM c), f AS MATERIALIZED (SELECT id, rest, {collapse_sql("array_to_string(rest, ' ')")} AS addr_full FROM e) SELECT id, addr_full, {drop_sql('addr_full', text.ADDRESS_STOP)} AS addr_core, '' AS state, array_to_string(regexp_extract_all(addr_full, '\d+'), ' ') AS nums, array_to_string(list_filter(rest, lambda c: NOT regexp_matches(c, '\d')), '|') AS alpha_comps, CAST(addr_full = '' AS INTEGER) AS addr_empty FROM f")
 def n15_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of addresses of a country whose states are not known."""
     return addresses(spark, sf).select("id", *(c.alias(n) for n, c in text.address_parts(F.col("addr")).items()))
 
 
-@q(f"WITH {PE}, s AS (SELECT country, state, count(*) AS n FROM pe WHERE side = 1 GROUP BY 1, 2), v AS (SELECT q.country, q.state AS variant, s.state, count(*) AS votes FROM pe q JOIN pe s ON q.country = s.country AND q.name_core = s.name_core WHERE q.side > 1 AND s.side = 1 GROUP BY 1, 2, 3), t AS (SELECT *, sum(votes) OVER (PARTITION BY country, variant) AS total, row_number() OVER (PARTITION BY country, variant ORDER BY votes DESC, state) AS k FROM v) SELECT t.country, variant, t.state, votes, round(votes / CAST(total AS DOUBLE), 6) AS purity, s.n FROM t JOIN s ON s.country = t.country AND s.state = t.state WHERE k = 1 AND votes >= 2")
-def n16_state_map_votes(spark: SparkSession, sf: str) -> DataFrame:
-    """Which canonical state a query's spelling stands for, by votes of records that share a name."""
-    e = parts_entities(spark, sf)
-    s = e.where("side = 1").groupBy("country", "state").agg(F.count("*").alias("n"))
-    ref = e.where("side = 1").select("country", "name_core", "state")
-    votes = e.where("side > 1").select("country", "name_core", F.col("state").alias("variant")).join(ref, ["country", "name_core"]).groupBy("country", "variant", "state").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("country", "variant").agg(F.sum("votes").alias("total"), F.max(F.struct("votes")).alias("m"), F.min_by("state", F.struct(-F.col("votes"), "state")).alias("state"))
-    return best.join(s, ["country", "state"]).select("country", "variant", "state", F.col("m.votes").alias("votes"), F.round(F.col("m.votes") / F.col("total"), 6).alias("purity"), "n").where("votes >= 2")
-
-
-SQUEEZE = [(f"{c}+", c) for c in "fklnprst"]
-
-
-@q(rf"WITH {PE} SELECT entity_id, {rsql('lower(name_core)', text.SKELETON + SQUEEZE)} AS skel FROM pe")
+@q(rf"WITH {PE} SELECT entity_id, trim(regexp_replace({replace_sql('lower(name_core)', text.SKELETON_ALL)}, ' +', ' ', 'g')) AS skel FROM pe")
 def n17_skeleton(spark: SparkSession, sf: str) -> DataFrame:
     return parts_entities(spark, sf).select("entity_id", text.skeleton(F.col("name_core")).alias("skel"))
 
 
-@q(rf"WITH {PE} SELECT entity_id, left(t, 1) || regexp_replace(substr(t, 2), '[aeiou]', '', 'g') AS skel FROM (SELECT entity_id, {rsql('lower(name_core)', [('[^a-z]', ''), ('ph', 'f'), ('th', 't'), ('sh', 's')])} AS t FROM pe)")
+@q(rf"WITH {PE} SELECT entity_id, left(t, 1) || regexp_replace(substr(t, 2), '[aeiou]', '', 'g') AS skel FROM (SELECT entity_id, {replace_sql('lower(name_core)', [('[^a-z]', ''), ('ph', 'f'), ('th', 't'), ('sh', 's')])} AS t FROM pe)")
 def n18_alternate_skeleton(spark: SparkSession, sf: str) -> DataFrame:
     return parts_entities(spark, sf).select("entity_id", text.alternate_skeleton(F.col("name_core")).alias("skel"))
 
@@ -123,30 +119,19 @@ def n19_raw_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(text.raw_key(F.col("text")).cast("binary")).alias("raw_md5"))
 
 
-@q(rf"WITH {PE} SELECT entity_id, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(addr || ' ' || name_core), ' '), lambda t: t <> '' AND NOT regexp_matches(t, '\d') AND NOT list_contains(list_concat(string_split(lower(state), ' '), {text.ADDRESS_STOP}), t)))), ' ') AS street FROM pe")
-def n20_street_name(spark: SparkSession, sf: str) -> DataFrame:
-    return parts_entities(spark, sf).select("entity_id", text.street_name(F.lower(F.concat_ws(" ", "addr", "name_core")), F.lower("state")).alias("street"))
-
-
-@q(f"WITH {PE}, voc AS (SELECT DISTINCT t FROM (SELECT unnest(string_split(name_core, ' ')) AS t FROM pe WHERE side = 1 AND entity_id % 2 = 0)), k AS (SELECT entity_id, i, t FROM (SELECT entity_id, unnest(string_split(name_core, ' ')) AS t, generate_subscripts(string_split(name_core, ' '), 1) AS i FROM pe WHERE side > 1) WHERE t IN (SELECT t FROM voc)) SELECT pe.entity_id, coalesce(string_agg(k.t, ' ' ORDER BY i), any_value(name_core)) AS cleaned FROM pe LEFT JOIN k ON k.entity_id = pe.entity_id WHERE side > 1 GROUP BY 1")
-def n21_vocabulary_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Query names without words that no reference name has; the name itself if nothing is left."""
-    e = parts_entities(spark, sf)
-    voc = e.where("side = 1 AND entity_id % 2 = 0").select(F.explode(F.split("name_core", " ")).alias("t")).distinct()
-    words = e.where("side > 1").select("entity_id", F.posexplode(F.split("name_core", " ")).alias("i", "t")).join(voc, "t", "left_semi")
-    kept = words.groupBy("entity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), " ").alias("kept"))
-    return e.where("side > 1").join(kept, "entity_id", "left").select("entity_id", F.coalesce("kept", "name_core").alias("cleaned"))
-
-
 @q(f"WITH {PE} SELECT entity_id, array_to_string(list_sort(string_split(name_core, ' ')), ' ') AS sorted_name FROM pe")
 def n22_sorted_key(spark: SparkSession, sf: str) -> DataFrame:
     return parts_entities(spark, sf).select("entity_id", text.sorted_key(F.col("name_core")).alias("sorted_name"))
 
 
-@q(r"SELECT page_id, regexp_extract(url, '^(\w+)://', 1) AS scheme, CAST(upper(url) = url AS BOOLEAN) AS caps, CAST(len(string_split(url, '/')) AS BIGINT) AS parts, regexp_matches(url, '\d') AS has_digit, regexp_extract(url, '(\d{2,5})', 1) AS code FROM pages")
-def n23_n24_signature(spark: SparkSession, sf: str) -> DataFrame:
-    u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract(u, r"^(\w+)://", 1).alias("scheme"), (F.upper(u) == u).alias("caps"), F.size(F.split(u, "/")).cast("long").alias("parts"), u.rlike(r"\d").alias("has_digit"), F.regexp_extract(u, r"(\d{2,5})", 1).alias("code"))
+@q(rf"WITH {ADDRS} SELECT id, CASE WHEN regexp_matches(addr, '^\s*([^\d\s]*\s*)\d') THEN trim(regexp_extract(addr, '^\s*([^\d\s]*\s*)\d', 1)) ELSE '~' END AS pre, regexp_matches(addr, '(^|\D)0\d') AS zpad, trim(string_split(addr, ',')[-1]) AS tail, regexp_matches(addr, '^\s*\D*\d') AS numfirst, upper(addr) = addr AS upper, len(string_split(addr, ','))::BIGINT AS ncomp FROM ad")
+def n23_address_signature(spark: SparkSession, sf: str) -> DataFrame:
+    return addresses(spark, sf).select("id", *(c.alias(n) for n, c in text.address_signature(F.col("addr")).items()))
+
+
+@q(r"SELECT page_id, nullif(regexp_extract(url || ' ' || (page_id * 3571), '\b(\d{5})\b', 1), '') AS postcode FROM pages")
+def n24_postcode(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", text.postcode(F.concat("url", F.lit(" "), F.col("page_id") * 3571)).alias("postcode"))
 
 
 @q(r"SELECT lang, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS blank, count(*) FILTER (WHERE regexp_matches(text, '\d')) AS with_digit, count(*) FILTER (WHERE regexp_matches(text, '[^\x00-\x7F]')) AS non_ascii FROM documents GROUP BY 1")
@@ -193,6 +178,14 @@ def l12_token_df(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(d, "tok").groupBy("entity_id").agg(F.min("df").alias("rarest"), F.max("df").alias("commonest"), F.count("*").alias("n"))
 
 
+@q(rf"WITH {ADDRS}, c AS (SELECT id, {COMPS} AS comps FROM ad) SELECT id, end, comp FROM (SELECT id, unnest([comps[1], comps[-1]]) AS comp, unnest(['first', 'last']) AS end FROM c) WHERE comp IS NOT NULL".replace("end", "side"))
+def l13_first_and_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the last entry of a list as one list, a row for each."""
+    comps = addresses(spark, sf).select("id", text.address_components(F.col("addr")).alias("c"))
+    both = F.array(F.struct(F.lit("first").alias("side"), F.try_element_at("c", F.lit(1)).alias("comp")), F.struct(F.lit("last").alias("side"), F.try_element_at("c", F.lit(-1)).alias("comp")))
+    return comps.select("id", F.inline(both)).where("comp IS NOT NULL")
+
+
 @q(f"WITH {PAIRS} SELECT s1_id, q_id, round(1 - levenshtein(n1, nq) / CAST(greatest(length(n1), length(nq)) AS DOUBLE), 6) AS sim FROM pr")
 def f6_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     return entity_pairs(spark, sf).select("s1_id", "q_id", F.round(similarity.levenshtein_similarity(F.col("n1"), F.col("nq")), 6).alias("sim"))
@@ -220,8 +213,12 @@ def f8_typo_or_swap(spark: SparkSession, sf: str) -> DataFrame:
     return best.groupBy("s1_id", "q_id").agg(F.count_if(F.col("best") < 75).alias("swapped"), F.count_if((F.col("best") >= 75) & (F.col("best") < 100)).alias("misspelt"))
 
 
-@q(f"WITH {PAIRS}, n AS (SELECT s1_id, q_id, CAST(k1 * 10 + 1 AS VARCHAR) AS a, CAST(kq * 10 + 1 AS VARCHAR) AS b FROM pr) SELECT s1_id, q_id, CASE WHEN a = b THEN 'same' WHEN length(a) = length(b) AND hamming(a, b) = 1 THEN 'substituted' WHEN abs(CAST(a AS BIGINT) - CAST(b AS BIGINT)) <= 10 THEN 'near' ELSE '-' END AS kind FROM n WHERE (length(a) = length(b) AND hamming(a, b) <= 1) OR a = b".replace("hamming(a, b)", "(CASE WHEN length(a) = length(b) THEN hamming(a, b) ELSE 99 END)"))
+WITHOUT = "len(list_filter(range(1, length({0}) + 1), lambda i: left({0}, i - 1) || substr({0}, i + 1) = {1})) > 0"
+
+
+@q(f"""WITH {PAIRS}, n AS (SELECT s1_id, q_id, CAST(k1 * 9 AS VARCHAR) AS a, CAST(kq * 9 + (q_id % 4) * 27 AS VARCHAR) AS b FROM pr), o AS (SELECT *, CASE WHEN length(a) = length(b) THEN list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)) ELSE [] END AS off FROM n)
+  SELECT s1_id, q_id, CASE WHEN a = b THEN 'same' WHEN a = '' OR b = '' THEN 'missing' WHEN len(off) = 1 THEN 'substituted' WHEN len(off) = 2 AND off[2] = off[1] + 1 AND substr(a, off[1], 1) = substr(b, off[2], 1) AND substr(a, off[2], 1) = substr(b, off[1], 1) THEN 'transposed'
+    WHEN length(b) = length(a) + 1 AND {WITHOUT.format("b", "a")} THEN 'inserted' WHEN length(a) = length(b) + 1 AND {WITHOUT.format("a", "b")} THEN 'dropped' WHEN abs(CAST(a AS BIGINT) - CAST(b AS BIGINT)) <= 10 THEN 'near' ELSE 'far' END AS kind FROM o""")
 def f9_number_edit(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (F.col("k1") * 10 + 1).cast("string"), (F.col("kq") * 10 + 1).cast("string")
-    edits = entity_pairs(spark, sf).select("s1_id", "q_id", similarity.scorer("number_edit")(a, b).alias("kind"))
-    return edits.where(F.col("kind").isin("same", "substituted"))
+    a, b = (F.col("k1") * 9).cast("string"), (F.col("kq") * 9 + (F.col("q_id") % 4) * 27).cast("string")
+    return entity_pairs(spark, sf).select("s1_id", "q_id", similarity.scorer("number_edit")(a, b).alias("kind"))

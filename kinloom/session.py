@@ -19,3 +19,12 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", *
     spark = SparkSession.builder.master(master).appName("kinloom").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, local sessions get one of their own; a cluster without it is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return "file:///tmp/checkpoints"

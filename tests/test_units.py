@@ -40,7 +40,7 @@ def test_scorer_cases():
 
 
 def test_names_and_addresses(spark):
-    cases = {"The Acme Co.": ("the acme co", "acme", "co", ""), "Smith & Sons L.L.C.": ("smith and sons llc", "smith sons", "llc", ""), "Foo Inc dba Bar Shop": ("foo inc bar shop", "foo bar shop", "inc", "bar shop"), "Limited": ("ltd", "ltd", "ltd", ""), "": ("", "", "", "")}
+    cases = {"The Acme Co.": ("the acme co", "acme", "co", ""), "Smith & Sons L.L.C.": ("smith and sons llc", "smith sons", "llc", ""), "Foo Inc dba Bar Shop": ("foo inc bar shop", "foo bar shop", "inc", "bar shop"), "Limited": ("limited", "limited", "limited", ""), "": ("", "", "", "")}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "name string")
     got = {r.name: (r.name_full, r.name_core, r.legal, r.name_alt) for r in df.select("name", *(c.alias(n) for n, c in text.name_parts(F.col("name")).items())).collect()}
     assert {k: got[k] for k in cases} == cases and got[None] == ("", "", "", "")
