@@ -63,9 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE:  # the frequent ones come first
+            self[word] = h
         return h
 
 

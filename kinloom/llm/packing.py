@@ -27,7 +27,7 @@ GAP, COLUMNS = 2e-4, 3000
 #: Rows that one task ranks, about.
 ROWS_A_RANK = 200_000
 #: Chunks whose ids a task remembers.
-CACHE = 150_000
+CACHE = 250_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -52,9 +52,9 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
 
     class Chunks(dict):
         def __missing__(self, chunk: str) -> bytes:
-            if len(self) > CACHE:
-                self.clear()
-            ids = self[chunk] = pack(quick(" " + chunk))
+            ids = pack(quick(" " + chunk))
+            if len(self) < CACHE:  # the frequent ones come first
+                self[chunk] = ids
             return ids
 
     known = Chunks()
