@@ -255,8 +255,8 @@ def check_packing(rows, texts, encode):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary()[0])
-    encode = lambda t: whole.encode(t, add_special_tokens=False).ids
+    tokenizer = Tokenizer.from_file(vocabulary()[0])
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     texts = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     whole = check_packing(QUERIES["op3_packing"](spark, SF).collect(), texts, encode)
     used = [sum(r.length for r in g) for g in whole.values()]
