@@ -52,7 +52,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COMPS = f"list_filter(list_transform(string_split({replace_sql(fold_sql('business_address', lower=True), text.BASIC + text.ADDRESS_SAINT)}, ','), lambda c: {collapse_sql(replace_sql('c', text.COMPONENT))}), lambda c: c <> '' AND NOT list_contains({text.NULL_MARKERS}, c))"
-REC = rf"""{RAW}, {STATES}, {names_sql("raw", "entity_id", "business_name", "nn")},
+REC = rf"""{RAW}, {STATES}, {names_sql("raw", "entity_id", "business_name", "rn")},
   ac AS MATERIALIZED (SELECT entity_id, country, {COMPS} AS comps FROM raw), ae AS (SELECT entity_id, country, unnest(comps) AS comp, generate_subscripts(comps, 1) AS pos FROM ac),
   aj AS MATERIALIZED (SELECT ae.*, smap.state FROM ae LEFT JOIN smap ON smap.country = ae.country AND smap.comp = ae.comp),
   ast AS (SELECT entity_id, arg_max(state, struct_pack(own := comp = state, pos := pos)) AS state FROM aj WHERE state IS NOT NULL GROUP BY 1),
@@ -60,7 +60,7 @@ REC = rf"""{RAW}, {STATES}, {names_sql("raw", "entity_id", "business_name", "nn"
   ad AS (SELECT raw.entity_id, {collapse_sql("coalesce(array_to_string(rest, ' '), '')")} AS addr_full, coalesce(state, '') AS state, coalesce(array_to_string(list_filter(rest, lambda c: NOT regexp_matches(c, '\d')), '|'), '') AS alpha_comps
     FROM raw LEFT JOIN ast ON ast.entity_id = raw.entity_id LEFT JOIN art ON art.entity_id = raw.entity_id),
   rec AS MATERIALIZED (SELECT raw.*, name_full, name_core, name_alt, legal, addr_full, {drop_sql("addr_full", text.ADDRESS_STOP)} AS addr_core, state, array_to_string(regexp_extract_all(addr_full, '\d+'), ' ') AS nums, alpha_comps,
-    CAST(addr_full = '' AND state = '' AS INTEGER) AS addr_empty FROM raw JOIN nn ON nn.entity_id = raw.entity_id JOIN ad ON ad.entity_id = raw.entity_id)"""
+    CAST(addr_full = '' AND state = '' AS INTEGER) AS addr_empty FROM raw JOIN rn ON rn.entity_id = raw.entity_id JOIN ad ON ad.entity_id = raw.entity_id)"""
 
 
 @q(f"WITH {REC} SELECT entity_id, name_full, name_core, name_alt, legal FROM rec")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when they are imported.
-MODULES = ["kinloom.plans.matching", "kinloom.plans.pairs", "kinloom.plans.decisions", "kinloom.plans.texts", "kinloom.plans.retrieval", "kinloom.plans.models", "kinloom.plans.more", "kinloom.plans.records"]
+MODULES = ["kinloom.plans.matching", "kinloom.plans.pairs", "kinloom.plans.decisions", "kinloom.plans.texts", "kinloom.plans.retrieval", "kinloom.plans.models", "kinloom.plans.more", "kinloom.plans.records", "kinloom.plans.rescue"]
 
 
 @dataclass
