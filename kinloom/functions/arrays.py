@@ -33,7 +33,7 @@ def least_relative_gap(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """Distinct n-grams within words, a space standing at either end of each."""
+    """The n-grams within words, a space standing at either end of each, as often as they occur; a word too short for one gives itself."""
     padded = F.transform(F.filter(F.split(text, " "), lambda t: t != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.transform(padded, grams)))
+    return F.flatten(F.transform(padded, grams))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,22 +9,31 @@ from pyspark.sql import functions as F
 
 
 def tfidf(docs: DataFrame, fit_on: Column, part: str, doc: str, terms: str, min_df: int = 2, max_share: float = 0.02) -> DataFrame:
-    """(part, doc, term, w): L2-normalised (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), df and n from the rows where fit_on holds.
+    """(part, doc, fit, term, df, w): L2-normalised (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), df and n from the rows where fit_on holds.
 
-    Terms outside [min_df, max_share of n] are dropped, which also bounds the postings that one key of the join brings together.
+    Terms outside [min_df, max_share of n] are dropped.
     """
     tf = docs.select(part, doc, fit_on.alias("fit"), F.explode(terms).alias("term")).groupBy(part, doc, "fit", "term").agg(F.count("*").alias("tf"))
     n = docs.where(fit_on).groupBy(part).agg(F.count("*").alias("n"))
     df = tf.where("fit").groupBy(part, "term").agg(F.count("*").alias("df")).join(n, part).where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(float(min_df)), max_share * F.col("n"))))
     raw = tf.join(df, [part, "term"]).withColumn("raw", (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return raw.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(part, doc)))).select(part, doc, "fit", "term", "w")
+    return raw.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(part, doc)))).select(part, doc, "fit", "term", "df", "w")
+
+
+#: Reference documents of a term that one key of the postings join brings together.
+POSTINGS = 10_000
 
 
-def sparse_top_k(weights: DataFrame, part: str, doc: str, k: int, least: float) -> DataFrame:
-    """(q_id, s1_id, sim, rank): each query's k best reference documents by cosine, from an equi-join of postings and a partial sum."""
-    s = weights.where("fit").select(part, "term", F.col(doc).alias("s1_id"), F.col("w").alias("ws"))
-    q = weights.where("NOT fit").select(part, "term", F.col(doc).alias("q_id"), F.col("w").alias("wq"))
-    sims = q.join(s, [part, "term"]).groupBy("q_id", "s1_id").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias("sim")).where(F.col("sim") > least)
+def sparse_top_k(weights: DataFrame, part: str, doc: str, k: int, least: float, postings: int = POSTINGS) -> DataFrame:
+    """(q_id, s1_id, sim, rank): each query's k best reference documents by cosine, from an equi-join of postings and a partial sum.
+
+    A term that more than postings reference documents have is dealt out to several keys by document, and queries that have it meet
+    each of them; both sides know how many from the term's df.
+    """
+    deals = F.ceil(F.col("df") / postings).cast("int")
+    s = weights.where("fit").select(part, "term", F.pmod(F.xxhash64(doc), deals).cast("int").alias("deal"), F.col(doc).alias("s1_id"), F.col("w").alias("ws"))
+    q = weights.where("NOT fit").select(part, "term", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col(doc).alias("q_id"), F.col("w").alias("wq"))
+    sims = q.join(s, [part, "term", "deal"]).groupBy("q_id", "s1_id").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias("sim")).where(F.col("sim") > least)
     order = Window.partitionBy("q_id").orderBy(F.col("sim").desc(), "s1_id")
     return sims.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
@@ -34,27 +41,27 @@ def sparse_top_k(weights: DataFrame, part: str, doc: str, k: int, least: float)
 def dense_top_k(q: DataFrame, s: DataFrame, k: int, q_id: str = "q_id", s_id: str = "s1_id", part: str | None = None, block: int = 1000) -> DataFrame:
     """Exact top k by inner product, block against block: (q_id, s_id, sim, rank), ties to the lesser id.
 
-    Both sides are dealt into blocks of about block vectors (within part, if given); a task multiplies two blocks and keeps k rows for each
-    query, and a second top-k merges the blocks' rows.
+    Both sides are dealt into blocks of about block vectors (within part, if given). Every pair of blocks is a key of its own, and so is what
+    Python gets at once: it multiplies two blocks and keeps k rows for each query, and a second top-k merges the blocks' rows.
     """
-
-    def dealt(df: DataFrame, key: str, vec: str, side: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        group = [c for c in (part,) if c]
-        return df.groupBy(*group, F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{side}_block")).agg(F.collect_list(key).alias(f"{side}_ids"), F.collect_list(vec).alias(f"{side}_vecs"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids, refs = np.array(r.q_ids), np.array(r.s_ids)
-                order = np.argsort(refs, kind="stable")
-                sims = np.round(np.stack(r.q_vecs).astype(float) @ np.stack(r.s_vecs).astype(float)[order].T, 6)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({q_id: np.repeat(ids, top.shape[1]), s_id: refs[order][top].ravel(), "sim": np.take_along_axis(sims, top, axis=1).ravel()})
-
-    left, right = dealt(q, q_id, "qv", "q"), dealt(s, s_id, "sv", "s")
-    pairs = left.join(right, part) if part else left.crossJoin(right)
-    found = pairs.select("q_ids", "q_vecs", "s_ids", "s_vecs").mapInPandas(best, f"{q_id} long, {s_id} long, sim double")
+    group = [c for c in (part,) if c]
+    blocks = {"q": max(1, -(-q.count() // block)), "s": max(1, -(-s.count() // block))}
+    keys = [*group, "q_block", "s_block"]
+
+    def dealt(df: DataFrame, key: str, vec: str, side: str, other: str) -> DataFrame:
+        own = df.groupBy(*group, F.pmod(F.xxhash64(key), F.lit(blocks[side])).cast("int").alias(f"{side}_block")).agg(F.collect_list(key).alias(f"{side}_ids"), F.collect_list(vec).alias(f"{side}_vecs"))
+        return own.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))))
+
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        r = pair.iloc[0]
+        ids, refs = np.array(r.q_ids), np.array(r.s_ids)
+        order = np.argsort(refs, kind="stable")
+        sims = np.round(np.stack(r.q_vecs).astype(float) @ np.stack(r.s_vecs).astype(float)[order].T, 6)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({q_id: np.repeat(ids, top.shape[1]), s_id: refs[order][top].ravel(), "sim": np.take_along_axis(sims, top, axis=1).ravel()})
+
+    pairs = dealt(q, q_id, "qv", "q", "s").join(dealt(s, s_id, "sv", "s", "q"), keys)
+    found = pairs.groupBy(*keys).applyInPandas(best, f"{q_id} long, {s_id} long, sim double")
     order = Window.partitionBy(q_id).orderBy(F.col("sim").desc(), s_id)
     return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 

@@ -17,26 +17,7 @@ from kinloom.session import shared_dir
 q = REGISTRY.query
 
 
-WORDS = "va AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, string_split(name_core, ' ') AS terms FROM pe), vb AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, string_split(addr, ' ') AS terms FROM pe)"
-
-
-def views(spark: SparkSession, sf: str) -> list[DataFrame]:
-    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), "name_core", "addr")
-    return [blocking.sparse_top_k(blocking.tfidf(e.withColumn("terms", F.split(c, " ")), F.col("is_ref"), "part", "id", "terms", 1, 1.0), "part", "id", 5, 0.01) for c in ("name_core", "addr")]
-
-
-def _view_sql(view: str, prefix: str) -> str:
-    out = tfidf_sql(view, 1, 1.0)
-    for name in ("tf", "nn", "df", "rw", "wt", "sims", "rk"):
-        out = out.replace(f"{name} AS (", f"{prefix}{name} AS (").replace(f"FROM {name} ", f"FROM {prefix}{name} {name} ").replace(f"JOIN {name} ON", f"JOIN {prefix}{name} {name} ON").replace(f"FROM {name})", f"FROM {prefix}{name})").replace(f"FROM {name} a JOIN {name} b", f"FROM {prefix}{name} a JOIN {prefix}{name} b")
-    return out.replace(f"FROM {prefix}wt wt a JOIN wt b", f"FROM {prefix}wt a JOIN {prefix}wt b")
-
-
-@q(f"WITH {PE}, {WORDS}, {_view_sql('va', 'a_')}, {_view_sql('vb', 'b_')} SELECT q_id, s1_id FROM a_rk WHERE rank < 5 UNION SELECT q_id, s1_id FROM b_rk WHERE rank < 5")
-def b12_view_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of either view, each with its own weights."""
-    a, b = views(spark, sf)
-    return a.select("q_id", "s1_id").union(b.select("q_id", "s1_id")).distinct()
+WORDS = "va AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, string_split(name_core, ' ') AS terms FROM pe)"
 
 
 @q()
@@ -65,15 +46,6 @@ def p19_token_roles(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("in_out", F.round((F.col("n_in") + 1) / (F.col("n_out") + 1), 6))
 
 
-@q(f"WITH {SP}, m AS (SELECT s1_id, s23_id AS member, p AS mp FROM sp WHERE p >= 0.95) SELECT sp.s1_id, sp.s23_id, count(m.member) AS members, round(coalesce(max(mp), -1), 6) AS best, round(coalesce(avg(abs(sp.p - mp)), -1), 6) AS mean_gap FROM sp LEFT JOIN m ON m.s1_id = sp.s1_id AND m.member <> sp.s23_id GROUP BY 1, 2")
-def p18_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """A pair against the record's confident members other than itself."""
-    sp = scored_pairs(spark, sf)
-    m = sp.where("p >= 0.95").select("s1_id", F.col("s23_id").alias("member"), F.col("p").alias("mp"))
-    met = sp.join(m, "s1_id").where("member <> s23_id").groupBy("s1_id", "s23_id").agg(F.count("*").alias("members"), F.max("mp").alias("best"), F.avg(F.abs(F.col("p") - F.col("mp"))).alias("gap"))
-    return sp.join(met, ["s1_id", "s23_id"], "left").select("s1_id", "s23_id", F.coalesce("members", F.lit(0)).alias("members"), F.round(F.coalesce("best", F.lit(-1.0)), 6).alias("best"), F.round(F.coalesce("gap", F.lit(-1.0)), 6).alias("mean_gap"))
-
-
 @q(f"WITH {SP} SELECT s1_id, s23_id, round(p - max(p) OVER w, 6) AS gap, count(*) OVER w AS n_c, count(*) FILTER (WHERE p >= 0.9) OVER w AS n_high, CAST(country = 'India' AS INTEGER) AS is_in FROM sp WINDOW w AS (PARTITION BY s23_id)")
 def p16_p17_rescue_context(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("s23_id")

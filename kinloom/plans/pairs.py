@@ -210,10 +210,10 @@ def x12_unique_in_group(spark: SparkSession, sf: str) -> DataFrame:
     return scored_pairs(spark, sf).select("s1_id", "s23_id", (hit & (F.count_if(hit).over(Window.partitionBy("s23_id")) == 1)).alias("alone"))
 
 
-@q(f"WITH {SP} SELECT country, s1_id, s23_id, p, row_number() OVER (PARTITION BY country ORDER BY p DESC, s1_id, s23_id) AS pos FROM sp QUALIFY pos <= 100")
+@q(f"WITH {SP} SELECT country, s1_id, s23_id, p FROM sp ORDER BY country, p DESC, s1_id, s23_id")
 def s1_mixed_sort(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("country").orderBy(F.col("p").desc(), "s1_id", "s23_id")
-    return scored_pairs(spark, sf).withColumn("pos", F.row_number().over(w).cast("long")).where("pos <= 100").select("country", "s1_id", "s23_id", "p", "pos")
+    """All pairs in order, dealt out by ranges; no country is sorted by one task."""
+    return scored_pairs(spark, sf).select("country", "s1_id", "s23_id", "p").orderBy("country", F.col("p").desc(), "s1_id", "s23_id")
 
 
 @q(f"WITH {SP} SELECT s1_id, s23_id, p FROM sp ORDER BY md5(CAST(s1_id AS VARCHAR) || ':' || CAST(s23_id AS VARCHAR)), s1_id, s23_id LIMIT 500")
@@ -271,12 +271,14 @@ def c3_country_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return scored_pairs(spark, sf).where(F.col("p") >= decide.by_country(F.col("country"), decide.THRESHOLDS, decide.DEFAULT_THRESHOLD)).select("s1_id", "s23_id", "p")
 
 
-@q(f"WITH {SP} SELECT s1_id, s23_id, nullif(country, 'US') AS other, greatest(least(p, 0.9), 0.1) AS clipped, round(ln(1 + p) + sqrt(p) + abs(p - 0.5), 6) AS mixed, greatest(p, p * p) AS most, least(p, 1 - p) AS fewest FROM sp WHERE p BETWEEN 0.05 AND 0.95")
+@q(f"WITH {SP} SELECT s1_id, s23_id, nullif(country, 'US') AS other, greatest(least(p, 0.9), 0.1) AS clipped, round(ln(1 + p) + sqrt(p) + abs(p - 0.5), 6) AS mixed, greatest(p, p * p) AS most, least(p, 1 - p) AS fewest, coalesce(nullif(country, 'US'), 'home') AS place, least(nullif(p, 0.5), CASE WHEN src = 2 THEN 0.4 END) AS fewest_known, round(coalesce(CASE WHEN src = 2 THEN p END, 0) + coalesce(CASE WHEN country = 'India' THEN p END, 0) + p, 6) AS total FROM sp WHERE p BETWEEN 0.05 AND 0.95")
 def c4_c9_scalars(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p")
     return scored_pairs(spark, sf).where(p.between(0.05, 0.95)).select(
         "s1_id", "s23_id", F.nullif(F.col("country"), F.lit("US")).alias("other"), F.greatest(F.least(p, F.lit(0.9)), F.lit(0.1)).alias("clipped"),
         F.round(F.log1p(p) + F.sqrt(p) + F.abs(p - 0.5), 6).alias("mixed"), F.greatest(p, p * p).alias("most"), F.least(p, 1 - p).alias("fewest"),
+        F.coalesce(F.nullif(F.col("country"), F.lit("US")), F.lit("home")).alias("place"), F.least(F.nullif(p, F.lit(0.5)), F.when(F.col("src") == 2, 0.4)).alias("fewest_known"),
+        F.round(F.coalesce(F.when(F.col("src") == 2, p), F.lit(0.0)) + F.coalesce(F.when(F.col("country") == "India", p), F.lit(0.0)) + p, 6).alias("total"),
     )
 
 

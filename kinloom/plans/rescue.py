@@ -1,14 +1,16 @@
-"""Features of pruning candidates, and of name-only candidates for queries without an address."""
+"""Features of pruning candidates and of name-only candidates, retrieval by several views of a record, members' profiles, and what records lack."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.functions import arrays, similarity
-from kinloom.operators import blocking, features
-from kinloom.plans.records import REC, record_pairs, records, unknown_sql
-from kinloom.plans.retrieval import GRAMS, tfidf_sql
+from kinloom.fixtures import PE, parts_entities
+from kinloom.functions import arrays, similarity, text
+from kinloom.operators import blocking, features, windows
+from kinloom.plans.records import REC, RP, record_pairs, records, unknown_sql
+from kinloom.plans.retrieval import GRAMS, grams_sql, tfidf_sql
+from kinloom.plans.texts import replace_sql
 from kinloom.registry import REGISTRY
 
 q = REGISTRY.query
@@ -62,3 +64,110 @@ def p15_rescue_ratios(spark: SparkSession, sf: str) -> DataFrame:
     a, b, by_q = F.col("n1"), F.col("nq"), Window.partitionBy("q_id")
     d = name_candidates(spark, sf).select("s1_id", "q_id", F.round(similarity.scorer("ratio")(a, b), 6).alias("r"), F.round(similarity.scorer("token_set_ratio")(a, b), 6).alias("ts"))
     return d.withColumn("top", F.max("r").over(by_q)).select("s1_id", "q_id", "r", "ts", F.round(F.col("r") - F.col("top"), 6).alias("r_gap"), F.count_if(F.col("r") >= F.col("top") - 3).over(by_q).alias("r_ntie"))
+
+
+def view_sql(view: str, prefix: str, least: int, share: float) -> str:
+    """tfidf_sql over a view, its steps named with a prefix, so that one statement can hold several."""
+    out = tfidf_sql(view, least, share)
+    for name in ("tf", "nn", "df", "rw", "wt", "sims", "rk"):
+        out = out.replace(f"{name} AS (", f"{prefix}{name} AS (").replace(f"FROM {name} ", f"FROM {prefix}{name} {name} ").replace(f"JOIN {name} ON", f"JOIN {prefix}{name} {name} ON").replace(f"FROM {name})", f"FROM {prefix}{name})")
+    return out.replace(f"FROM {prefix}wt wt a JOIN wt b", f"FROM {prefix}wt a JOIN {prefix}wt b")
+
+
+#: Least document frequency, greatest share of documents and terms of the views by name, and how many candidates each of them gives.
+VIEWS, VIEW_K, VIEW_LEAST = {"c": (2, 0.5), "k": (2, 0.5), "w": (1, 0.3)}, 15, 0.05
+
+
+@q(f"""WITH {REC}, vw AS (SELECT DISTINCT country, unnest(string_split(name_core, ' ')) AS tok FROM rec WHERE side = 1),
+  asked AS MATERIALIZED (SELECT *, array_to_string(list_filter(string_split(name_core, ' '), lambda t: list_contains(known, t)), ' ') AS cleaned FROM rec JOIN (SELECT country, list(tok) AS known FROM vw GROUP BY 1) v USING (country) WHERE side = 1 OR addr_empty = 1),
+  gc AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {GRAMS} AS terms FROM asked), gk AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {grams_sql("cleaned", 3)} AS terms FROM asked), gw AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, list_filter(string_split(cleaned, ' '), lambda t: t <> '') AS terms FROM asked),
+  {", ".join(view_sql(f"g{v}", f"{v}_", *VIEWS[v]) for v in VIEWS)} {" UNION ".join(f"SELECT q_id, s1_id FROM {v}_rk WHERE rank < {VIEW_K} AND sim > {VIEW_LEAST}" for v in VIEWS)}""")
+def b12_view_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of queries without an address by any of three views: grams of the name, grams and words of the name without words that no reference record of the country has."""
+    r = records(spark, sf)
+    asked = r.where((F.col("side") == 1) | (F.col("addr_empty") == 1)).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), "name_core")
+    words = asked.select("id", "part", "is_ref", F.posexplode(F.split("name_core", " ")).alias("at", "tok"))
+    known = words.where("is_ref").select("part", "tok").distinct()
+    kept = words.join(known, ["part", "tok"], "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "tok"))).alias("kept"))
+    asked = asked.join(kept, "id", "left").withColumn("cleaned", F.coalesce(F.array_join(F.col("kept.tok"), " "), F.lit("")))
+    terms = {"c": arrays.char_ngrams(F.col("name_core"), 3), "k": arrays.char_ngrams(F.col("cleaned"), 3), "w": F.filter(F.split("cleaned", " "), lambda t: t != "")}
+    found = [blocking.sparse_top_k(blocking.tfidf(asked.withColumn("terms", terms[v]), F.col("is_ref"), "part", "id", "terms", *VIEWS[v]), "part", "id", VIEW_K, VIEW_LEAST).select("q_id", "s1_id") for v in VIEWS]
+    return found[0].union(found[1]).union(found[2]).distinct()
+
+
+SKELETON_SQL = f"trim(regexp_replace({replace_sql('lower(name_core)', text.SKELETON_ALL)}, ' +', ' ', 'g'))"
+STATE_K = 30
+
+
+@q(f"""WITH {PE}, sk AS (SELECT entity_id AS id, country, state, side = 1 AS fit, addr, {SKELETON_SQL} AS skel FROM pe),
+  ga AS (SELECT id, country AS part, fit, string_split(addr, ' ') AS terms FROM sk), gs AS (SELECT id, country AS part, fit, list_concat({grams_sql("skel", 2)}, {grams_sql("skel", 3)}) AS terms FROM sk),
+  {", ".join(view_sql(f"g{v}", f"{v}_", 1, 1.0) for v in "as")}, {", ".join(f"{v}_in AS (SELECT k.q_id, k.s1_id, row_number() OVER (PARTITION BY k.q_id ORDER BY sim DESC, k.s1_id) AS place FROM {v}_sims k JOIN sk x ON x.id = k.q_id JOIN sk y ON y.id = k.s1_id WHERE x.state = y.state AND sim > 0.01)" for v in "as")}
+  {" UNION ".join(f"SELECT q_id, s1_id FROM {v}_in WHERE place <= {STATE_K}" for v in "as")}""")
+def b9_state_dual_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates within a state by address words or by two- and three-letter grams of the name's skeleton; weights come from the whole country."""
+    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), "state", (F.col("side") == 1).alias("is_ref"), "addr", text.skeleton(F.col("name_core")).alias("skel"))
+    place = e.select("id", F.concat_ws("/", "part", "state").alias("state"))
+
+    def found(terms) -> DataFrame:
+        weights = blocking.tfidf(e.withColumn("terms", terms), F.col("is_ref"), "part", "id", "terms", 1, 1.0).drop("part")
+        return blocking.sparse_top_k(weights.join(place, "id"), "state", "id", STATE_K, 0.01).select("q_id", "s1_id")
+
+    grams = F.concat(arrays.char_ngrams(F.col("skel"), 2), arrays.char_ngrams(F.col("skel"), 3))
+    return found(F.split("addr", " ")).union(found(grams)).distinct()
+
+
+#: Score from which a record's best query is one of its members.
+SURE = 0.9
+
+
+def member_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs, and each pair beside the record's confident members other than its own query."""
+    pairs = record_pairs(spark, sf).select("s1_id", "q_id", "nq", "aq", "fq", "p")
+    best = windows.best_of(pairs, ["q_id"], [F.col("p"), -F.col("s1_id")]).where(F.col("p") >= SURE)
+    members = best.select("s1_id", F.col("q_id").alias("m_id"), F.col("nq").alias("nm"), F.col("aq").alias("am"), F.col("fq").alias("fm"))
+    return pairs, pairs.join(members, "s1_id").where("m_id <> q_id")
+
+
+@q(f"""WITH {RP}, mem AS (SELECT s1_id, q_id AS m_id, nq AS nm, aq AS am, fq AS fm FROM top WHERE p >= {SURE}),
+  g AS (SELECT rp.s1_id, rp.q_id, count(*) AS cl_n, max(CAST(fq = fm AND fq <> '' AS INTEGER)) AS cl_raw_eq, round(max(jaro_winkler_similarity(nq, nm)), 6) AS cl_njw_max, round(avg(jaro_winkler_similarity(nq, nm)), 6) AS cl_njw_mean, max(CAST(aq = am AND aq <> '' AS INTEGER)) AS cl_addr_eq FROM rp JOIN mem ON mem.s1_id = rp.s1_id AND m_id <> rp.q_id GROUP BY 1, 2),
+  f AS (SELECT rp.s1_id, rp.q_id, coalesce(cl_n, 0) AS cl_n, coalesce(cl_raw_eq, -1) AS cl_raw_eq, coalesce(cl_njw_max, -1)::DOUBLE AS cl_njw_max, coalesce(cl_njw_mean, -1)::DOUBLE AS cl_njw_mean, coalesce(cl_addr_eq, -1) AS cl_addr_eq FROM rp LEFT JOIN g ON g.s1_id = rp.s1_id AND g.q_id = rp.q_id)
+  SELECT *, round(cl_njw_max - max(cl_njw_max) OVER w, 6) AS cl_njw_gap, CAST(sum(cl_raw_eq) OVER w AS BIGINT) AS cl_raw_eq_q FROM f WINDOW w AS (PARTITION BY q_id)""")
+def p18_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A pair against the record's confident members: how many, how alike their names, equal names and addresses, and how the query's other candidates do."""
+    (pairs, met), by_q = member_pairs(spark, sf), Window.partitionBy("q_id")
+    alike = similarity.scorer("jaro_winkler")(F.col("nq"), F.col("nm"))
+    same = lambda a, b: F.max(((F.col(a) == F.col(b)) & (F.col(a) != "")).cast("int"))
+    g = met.withColumn("jw", alike).groupBy("s1_id", "q_id").agg(F.count(F.lit(1)).alias("cl_n"), same("fq", "fm").alias("cl_raw_eq"), F.round(F.max("jw"), 6).alias("cl_njw_max"), F.round(F.avg("jw"), 6).alias("cl_njw_mean"), same("aq", "am").alias("cl_addr_eq"))
+    f = pairs.select("s1_id", "q_id").join(g, ["s1_id", "q_id"], "left").na.fill(0, ["cl_n"]).na.fill(-1, ["cl_raw_eq", "cl_njw_max", "cl_njw_mean", "cl_addr_eq"])
+    return f.withColumns({"cl_njw_gap": F.round(F.col("cl_njw_max") - F.max("cl_njw_max").over(by_q), 6), "cl_raw_eq_q": F.sum("cl_raw_eq").over(by_q)})
+
+
+@q()
+def p18_profile_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scorers of a pair against the record's confident members, and the gaps to the query's best candidate; -1 without members."""
+    (pairs, met), by_q = member_pairs(spark, sf), Window.partitionBy("q_id")
+    score = lambda name, a, b: similarity.scorer(name)(F.col(a), F.col(b))
+    s = met.select("s1_id", "q_id", score("token_set_ratio", "nq", "nm").alias("nt"), score("ratio", "nq", "nm").alias("nr"), score("token_set_ratio", "aq", "am").alias("at"))
+    g = s.groupBy("s1_id", "q_id").agg(F.max("nt").alias("cl_ntset_max"), F.avg("nt").alias("cl_ntset_mean"), F.max("nr").alias("cl_nratio_max"), F.max("at").alias("cl_atset_max"), F.max(F.col("nr") * F.col("at") / 100).alias("cl_na_max"))
+    names = [c for c in g.columns if c.startswith("cl_")]
+    f = pairs.select("s1_id", "q_id").join(g, ["s1_id", "q_id"], "left").na.fill(-1, names)
+    gap = lambda c: F.round(F.col(c) - F.max(c).over(by_q), 6)
+    return f.select("s1_id", "q_id", *(F.round(c, 6).alias(c) for c in names), gap("cl_nratio_max").alias("cl_nratio_gap"), gap("cl_na_max").alias("cl_na_gap"))
+
+
+NULL_WORD = r"(^|[ ,])(null|none|nan|n/a)($|[ ,])"
+
+
+@q(rf"""WITH {REC}, t AS (SELECT *, trim(business_address) AS a, trim(business_name) AS b, addr_empty = 0 AS has FROM rec)
+  SELECT cell AS country, side AS src, count(*) AS n, {", ".join(f"round(avg(CAST({c} AS DOUBLE)), 6) AS {n}" for n, c in {
+    "name_empty": "b = ''", "addr_raw_empty": "a = ''", "addr_unusable": "NOT has", "null_token": f"regexp_matches(lower(a), '{NULL_WORD}')", "no_number": "has AND nums = ''", "no_state": "has AND state = ''", "no_alpha_comp": "has AND alpha_comps = ''",
+    "has_5dig": r"regexp_matches(a, '\b[0-9]{5}\b')", "has_6dig": r"regexp_matches(a, '\b[0-9]{6}\b')", "n_comps": "length(a) - length(replace(a, ',', '')) + 1", "name_nonascii": r"regexp_matches(business_name, '[^\x00-\x7F]')", "has_legal": "legal <> ''"}.items())} FROM t GROUP BY 1, 2""")
+def e8_missing_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """What names and addresses lack, by country and source: shares of records, and the mean number of address components."""
+    a, has = F.trim("business_address"), F.col("addr_empty") == 0
+    shares = {
+        "name_empty": F.trim("business_name") == "", "addr_raw_empty": a == "", "addr_unusable": ~has, "null_token": F.lower(a).rlike(NULL_WORD), "no_number": has & (F.col("nums") == ""), "no_state": has & (F.col("state") == ""),
+        "no_alpha_comp": has & (F.col("alpha_comps") == ""), "has_5dig": a.rlike(r"\b[0-9]{5}\b"), "has_6dig": a.rlike(r"\b[0-9]{6}\b"), "n_comps": F.length(a) - F.length(F.replace(a, F.lit(","), F.lit(""))) + 1,
+        "name_nonascii": F.col("business_name").rlike(r"[^\x00-\x7F]"), "has_legal": F.col("legal") != "",
+    }
+    return records(spark, sf).groupBy(F.col("cell").alias("country"), F.col("side").alias("src")).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in shares.items()))

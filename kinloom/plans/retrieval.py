@@ -12,11 +12,11 @@ from kinloom.plans.texts import PAIRS, entity_pairs
 from kinloom.registry import REGISTRY
 
 q = REGISTRY.query
-DE = "de AS (SELECT doc_id AS id, lang AS part, doc_id % 3 = 0 AS fit, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS terms FROM documents)"
+DE = "de AS (SELECT doc_id AS id, lang AS part, doc_id % 3 = 0 AS fit, regexp_extract_all(lower(text), '[a-z]+') AS terms FROM documents)"
 
 
 def doc_entities(spark: SparkSession, sf: str) -> DataFrame:
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    terms = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"), (F.col("doc_id") % 3 == 0).alias("is_ref"), terms.alias("terms"))
 
 
@@ -45,7 +45,12 @@ def b2_tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     return blocking.sparse_top_k(doc_weights(spark, sf), "part", "id", 5, 0.01)
 
 
-GRAMS = "list_distinct(flatten(list_transform(string_split(name_core, ' '), lambda w: list_transform(range(1, greatest(length(w) + 2 - 3 + 1, 1) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"
+def grams_sql(col: str, n: int) -> str:
+    """SQL of arrays.char_ngrams."""
+    return f"flatten(list_transform(list_filter(string_split({col}, ' '), lambda t: t <> ''), lambda w: list_transform(range(1, greatest(length(w) + 3 - {n}, 1) + 1), lambda i: substr(' ' || w || ' ', i, {n}))))"
+
+
+GRAMS = grams_sql("name_core", 3)
 
 
 @q(f"WITH {PE}, ge AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {GRAMS} AS terms FROM pe), {tfidf_sql('ge', 2, 0.5)} SELECT q_id, s1_id, sim, rank FROM rk WHERE rank < 10")
@@ -54,14 +59,6 @@ def b8_char3_topk(spark: SparkSession, sf: str) -> DataFrame:
     return blocking.sparse_top_k(blocking.tfidf(e, F.col("is_ref"), "part", "id", "terms", 2, 0.5), "part", "id", 10, 0.01)
 
 
-@q(f"WITH {PE}, ge AS (SELECT entity_id AS id, country || '/' || state AS part, side = 1 AS fit, list_concat({GRAMS}, string_split(addr, ' ')) AS terms FROM pe), {tfidf_sql('ge', 1, 1.0)}, r AS (SELECT * FROM rk WHERE rank < 3) SELECT q_id, s1_id, sim, rank FROM r")
-def b9_state_dual_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Retrieval within a state over name grams and address words together."""
-    terms = F.concat(arrays.char_ngrams(F.col("name_core"), 3), F.split("addr", " "))
-    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.concat_ws("/", "country", "state").alias("part"), (F.col("side") == 1).alias("is_ref"), terms.alias("terms"))
-    return blocking.sparse_top_k(blocking.tfidf(e, F.col("is_ref"), "part", "id", "terms", 1, 1.0), "part", "id", 3, 0.01)
-
-
 VE = "ve AS (SELECT vec_id, CAST(label AS INTEGER) AS label, vec_id % 3 = 0 AS fit, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ds AS (SELECT a.vec_id AS q_id, b.vec_id AS s1_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 6) AS sim FROM ve a, ve b WHERE NOT a.fit AND b.fit), dk AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, s1_id) - 1 AS rank FROM ds)"
 
 
@@ -108,14 +105,15 @@ def b13_exact_key_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("side = 1").select(*key, F.col("entity_id").alias("s1_id")).join(e.where("side > 1").select(*key, F.col("entity_id").alias("q_id")), key).select("s1_id", "q_id")
 
 
-@q(f"WITH {PE}, a AS (SELECT s.entity_id AS s1_id, q.entity_id AS q_id, s.country FROM pe s JOIN pe q ON s.country = q.country AND s.addr = q.addr WHERE s.side = 1 AND q.side > 1 AND s.name_core <> q.name_core) SELECT country, count(*) AS n, round(quantile_cont(k, 0.5), 6) AS median_block FROM (SELECT *, count(*) OVER (PARTITION BY s1_id) AS k FROM a) GROUP BY 1")
+@q(f"WITH {PE}, a AS (SELECT s.entity_id AS s1_id, q.entity_id AS q_id, s.country FROM pe s JOIN pe q ON s.country = q.country AND s.addr = q.addr WHERE s.side = 1 AND q.side > 1 AND NOT (s.name_core = q.name_core AND s.state = q.state)) SELECT country, count(*) AS n, round(quantile_cont(k, 0.5), 6) AS median_block, round(quantile_cont(k, 0.9), 6) AS block_90, round(quantile_cont(k, 0.99), 6) AS block_99 FROM (SELECT *, count(*) OVER (PARTITION BY s1_id) AS k FROM a) GROUP BY 1")
 def b14_address_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with the same address that the name key does not find, and how large the blocks are."""
+    """Pairs with the same address that are not among the candidates (those of the name key), and how large the blocks are."""
     e = parts_entities(spark, sf)
-    s = e.where("side = 1").select("country", "addr", F.col("entity_id").alias("s1_id"), "name_core")
-    a = s.join(e.where("side > 1").select("country", "addr", F.col("name_core").alias("nq")), ["country", "addr"]).where("name_core <> nq")
+    s = e.where("side = 1").select("country", "addr", F.col("entity_id").alias("s1_id"))
+    a = s.join(e.where("side > 1").select("country", "addr", F.col("entity_id").alias("q_id")), ["country", "addr"]).join(b13_exact_key_candidates(spark, sf), ["s1_id", "q_id"], "left_anti")
     k = a.withColumn("k", F.count("*").over(Window.partitionBy("s1_id")))
-    return k.groupBy("country").agg(F.count("*").alias("n"), F.round(F.percentile("k", F.lit(0.5)), 6).alias("median_block"))
+    sizes = {"median_block": 0.5, "block_90": 0.9, "block_99": 0.99}
+    return k.groupBy("country").agg(F.count("*").alias("n"), *(F.round(F.percentile("k", F.lit(share)), 6).alias(name) for name, share in sizes.items()))
 
 
 @q(f"WITH {PE}, c AS (SELECT s.entity_id AS s1_id, q.entity_id AS q_id, count(*) OVER (PARTITION BY q.entity_id) AS n FROM pe s JOIN pe q ON s.country = q.country AND s.num = q.num WHERE s.side = 1 AND q.side > 1 AND len(list_intersect(string_split(s.name_core, ' '), string_split(q.name_core, ' '))) / CAST(len(list_distinct(list_concat(string_split(s.name_core, ' '), string_split(q.name_core, ' ')))) AS DOUBLE) >= 0.3) SELECT s1_id, q_id FROM c WHERE n = 1")

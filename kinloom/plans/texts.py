@@ -134,12 +134,6 @@ def n24_postcode(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", text.postcode(F.concat("url", F.lit(" "), F.col("page_id") * 3571)).alias("postcode"))
 
 
-@q(r"SELECT lang, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS blank, count(*) FILTER (WHERE regexp_matches(text, '\d')) AS with_digit, count(*) FILTER (WHERE regexp_matches(text, '[^\x00-\x7F]')) AS non_ascii FROM documents GROUP BY 1")
-def e8_missing_profile(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("blank"), F.count_if(t.rlike(r"\d")).alias("with_digit"), F.count_if(t.rlike(r"[^\x00-\x7F]")).alias("non_ascii"))
-
-
 PAIRS = f"{PE}, pr AS (SELECT s.entity_id AS s1_id, q.entity_id AS q_id, s.name_core AS n1, q.name_core AS nq, s.num AS k1, q.num AS kq, s.state AS st1, q.state AS stq, s.country FROM pe s JOIN pe q ON s.country = q.country AND s.state = q.state WHERE s.side = 1 AND q.side > 1 AND q.num - s.num BETWEEN -3 AND 3)"
 
 

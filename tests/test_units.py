@@ -130,3 +130,38 @@ def test_minhash_candidates(spark):
     got = {(r.q_id, r.s1_id): r.distance for r in found}
     assert len(found) == len(got) and all(abs(d - want[k]) < 1e-5 for k, d in got.items())
     assert {k for k, d in want.items() if d == 0} <= set(got) and len(got) >= 0.8 * len(want)
+
+
+def test_hot_terms_and_blocks(spark):
+    """Dealing a hot term's postings to several keys, or vectors to several blocks, changes no result."""
+    from pyspark.sql import functions as F
+
+    from kinloom.operators import blocking
+
+    docs = spark.range(60).select(F.col("id"), F.lit("x").alias("part"), (F.col("id") % 3 == 0).alias("is_ref"), F.array(F.lit("hot"), F.lit("hot"), (F.col("id") % 7).cast("string")).alias("terms"))
+    weights = blocking.tfidf(docs, F.col("is_ref"), "part", "id", "terms", 1, 1.0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(blocking.sparse_top_k(weights, "part", "id", 4, 0.01, postings=3)) == rows(blocking.sparse_top_k(weights, "part", "id", 4, 0.01)) != []
+    vectors = docs.select("id", "is_ref", F.concat_ws("", (F.col("id") % 2).cast("string")).alias("part"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    q, s = vectors.where("NOT is_ref").select("part", F.col("id").alias("q_id"), F.col("v").alias("qv")), vectors.where("is_ref").select("part", F.col("id").alias("s1_id"), F.col("v").alias("sv"))
+    for part in (None, "part"):
+        assert rows(blocking.dense_top_k(q, s, 3, part=part, block=7)) == rows(blocking.dense_top_k(q, s, 3, part=part)) != []
+
+
+def test_member_profile_scores(spark):
+    """The profile's scorers against plain Python over the same pairs."""
+    from helpers import DATA
+
+    from kinloom.functions import similarity
+    from kinloom.plans import rescue
+
+    sf = f"{DATA}/sf0.001"
+    pairs, met = (df.collect() for df in rescue.member_pairs(spark, sf))
+    want = {(r.s1_id, r.q_id): [-1.0, -1.0, -1.0] for r in pairs}
+    for key in {(r.s1_id, r.q_id) for r in met}:
+        own = [r for r in met if (r.s1_id, r.q_id) == key]
+        sets = [similarity.token_set_ratio(r.nq, r.nm) for r in own]
+        want[key] = [max(sets), sum(sets) / len(sets), max(similarity.ratio(r.nq, r.nm) * similarity.token_set_ratio(r.aq, r.am) / 100 for r in own)]
+    got = {(r.s1_id, r.q_id): [r.cl_ntset_max, r.cl_ntset_mean, r.cl_na_max] for r in rescue.p18_profile_scores(spark, sf).collect()}
+    assert met and got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-5 for k in want for a, b in zip(got[k], want[k], strict=True))
