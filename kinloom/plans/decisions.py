@@ -210,18 +210,43 @@ def e5_band_oracle(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("precision", F.round(F.col("hits") / F.col("n"), 6))
 
 
-@q(f"""WITH {SP}, {TP}, {ASSIGNED}, best AS (SELECT s23_id, max(p) AS top FROM sp GROUP BY 1) SELECT kind, count(*) AS n FROM (
-    SELECT CASE WHEN sp.p IS NULL THEN 'fn_no_candidate' WHEN sp.p < {TH} THEN 'fn_below' WHEN sp.p < best.top THEN 'fn_outranked' ELSE 'fn_tied' END AS kind FROM tp LEFT JOIN asg ON asg.s1_id = tp.s1_id AND asg.s23_id = tp.s23_id
-      LEFT JOIN sp ON sp.s1_id = tp.s1_id AND sp.s23_id = tp.s23_id LEFT JOIN best ON best.s23_id = tp.s23_id WHERE asg.s1_id IS NULL
-    UNION ALL SELECT CASE WHEN t2.s23_id IS NULL THEN 'fp_orphan' ELSE 'fp_wrong' END FROM asg LEFT JOIN tp ON tp.s1_id = asg.s1_id AND tp.s23_id = asg.s23_id LEFT JOIN tp t2 ON t2.s23_id = asg.s23_id WHERE tp.s1_id IS NULL) GROUP BY 1""".replace(f"sp.p < {TH}", f"sp.p < {TH.replace('country', 'sp.country')}"))
+F_SQL = "CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END"
+
+
+@q(f"""WITH {SP}, {TP}, {S1}, {ASSIGNED}, best AS (SELECT s23_id, max(p) AS top FROM sp GROUP BY 1),
+  miss AS MATERIALIZED (SELECT tp.s1_id, tp.s23_id, CASE WHEN sp.p IS NULL THEN 'fn_no_candidate' WHEN sp.p < {TH.replace("country", "sp.country")} THEN 'fn_below' WHEN sp.p < best.top THEN 'fn_outranked' ELSE 'fn_tied' END AS kind FROM tp LEFT JOIN asg ON asg.s1_id = tp.s1_id AND asg.s23_id = tp.s23_id
+    LEFT JOIN sp ON sp.s1_id = tp.s1_id AND sp.s23_id = tp.s23_id LEFT JOIN best ON best.s23_id = tp.s23_id WHERE asg.s1_id IS NULL),
+  wrong AS MATERIALIZED (SELECT asg.s1_id, asg.s23_id, CASE WHEN t2.s23_id IS NULL THEN 'fp_orphan' ELSE 'fp_wrong' END AS kind FROM asg LEFT JOIN tp ON tp.s1_id = asg.s1_id AND tp.s23_id = asg.s23_id LEFT JOIN tp t2 ON t2.s23_id = asg.s23_id WHERE tp.s1_id IS NULL),
+  ks AS (SELECT kind, count(*) AS n FROM (SELECT kind FROM miss UNION ALL SELECT kind FROM wrong) GROUP BY 1 UNION ALL SELECT 'all', (SELECT count(*) FROM miss) + (SELECT count(*) FROM wrong)),
+  fixed AS (SELECT kind, s1_id, s23_id FROM miss UNION ALL SELECT 'all', s1_id, s23_id FROM miss),
+  gone AS (SELECT fixed.kind, asg.s1_id, asg.s23_id FROM fixed JOIN asg ON asg.s23_id = fixed.s23_id UNION SELECT kind, s1_id, s23_id FROM wrong UNION SELECT 'all', s1_id, s23_id FROM wrong),
+  pk AS (SELECT k.kind, asg.s1_id, asg.s23_id FROM asg, (SELECT kind FROM ks UNION ALL SELECT 'base') k WHERE (k.kind, asg.s1_id, asg.s23_id) NOT IN (SELECT kind, s1_id, s23_id FROM gone) UNION ALL SELECT kind, s1_id, s23_id FROM fixed),
+  cn AS (SELECT pk.kind, pk.s1_id, CAST(count(*) AS DOUBLE) AS n_pred, CAST(count(tp.s1_id) AS DOUBLE) AS tp FROM pk LEFT JOIN tp ON tp.s1_id = pk.s1_id AND tp.s23_id = pk.s23_id GROUP BY 1, 2), nt AS (SELECT s1_id, CAST(count(*) AS DOUBLE) AS n FROM tp GROUP BY 1),
+  fk AS (SELECT kind, avg({F_SQL}) AS f FROM (SELECT k.kind, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp, coalesce(nt.n, 0) AS n_true FROM (SELECT kind FROM ks UNION ALL SELECT 'base') k CROSS JOIN s1 LEFT JOIN cn ON cn.kind = k.kind AND cn.s1_id = s1.s1_id LEFT JOIN nt ON nt.s1_id = s1.s1_id) GROUP BY 1)
+  SELECT ks.kind, ks.n, round(f - (SELECT f FROM fk WHERE kind = 'base'), 6) AS gain FROM ks JOIN fk ON fk.kind = ks.kind""")
 def e6_loss_decomposition(spark: SparkSession, sf: str) -> DataFrame:
-    sp, tp, a = scored_pairs(spark, sf), truth_pairs(spark, sf), assigned(spark, sf)
+    """Missed and wrong pairs by kind, and how much the mean F0.5 would rise if one kind, or all of them, were mended.
+
+    Mending a missed pair also takes its query from the record that has it. Only the counts of records that a kind touches change, so
+    a kind's gain is the sum of their differences; no prediction is made anew.
+    """
+    sp, tp, a = scored_pairs(spark, sf), truth_pairs(spark, sf), assigned(spark, sf).select("s1_id", "s23_id")
     top = sp.groupBy("s23_id").agg(F.max("p").alias("top"))
-    missed = tp.join(a.select("s1_id", "s23_id"), ["s1_id", "s23_id"], "left_anti").join(sp, ["s1_id", "s23_id"], "left").join(top, "s23_id", "left")
+    missed = tp.join(a, ["s1_id", "s23_id"], "left_anti").join(sp, ["s1_id", "s23_id"], "left").join(top, "s23_id", "left")
     fn = F.when(F.col("p").isNull(), "fn_no_candidate").when(F.col("p") < threshold(), "fn_below").when(F.col("p") < F.col("top"), "fn_outranked").otherwise("fn_tied")
+    missed = missed.select("s1_id", "s23_id", fn.alias("kind"))
     wrong = a.join(tp, ["s1_id", "s23_id"], "left_anti").join(tp.select("s23_id", F.lit(True).alias("has")), "s23_id", "left")
-    fp = F.when(F.col("has").isNull(), "fp_orphan").otherwise("fp_wrong")
-    return missed.select(fn.alias("kind")).unionByName(wrong.select(fp.alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    wrong = wrong.select("s1_id", "s23_id", F.when(F.col("has").isNull(), "fp_orphan").otherwise("fp_wrong").alias("kind"))
+    moves = lambda df, hit, pred, n: df.select("s1_id", "kind", F.lit(hit).alias("hit"), F.lit(pred).alias("pred"), F.lit(n).alias("n"))
+    taken = a.join(missed.select("s23_id", "kind"), "s23_id")  # where the query of a missed pair is now
+    each = moves(missed, 1, 1, 1).unionByName(moves(taken, 0, -1, 0)).unionByName(moves(wrong, 0, -1, 1)).groupBy("s1_id", "kind").agg(F.sum("hit").alias("hit"), F.sum("pred").alias("pred"), F.sum("n").alias("n"))
+    counts = metrics.record_counts(s1_ids(spark, sf), a, tp)
+    f = lambda hits, preds: metrics.f05(hits, preds, F.col("n_true"))
+    rise = f(F.col("tp") + F.col("hit"), F.col("n_pred") + F.col("pred")) - f(F.col("tp"), F.col("n_pred"))
+    gains = each.join(counts, "s1_id").groupBy("kind").agg(F.sum("n").alias("n"), F.sum(rise).alias("rise"))
+    whole = counts.agg(F.count(F.lit(1)).alias("ids"), F.sum(1 - f(F.col("tp"), F.col("n_pred"))).alias("rise"))
+    total = whole.crossJoin(gains.agg(F.sum("n").alias("n"))).select(F.lit("all").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"), "rise")  # a row and a row
+    return gains.unionByName(total).crossJoin(F.broadcast(whole.select("ids"))).select("kind", "n", F.round(F.col("rise") / F.col("ids"), 6).alias("gain"))
 
 
 @q(f"WITH {SP}, {TP} SELECT CAST(floor(p * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(tp.s1_id IS NOT NULL AS DOUBLE)), 6) AS rate FROM sp LEFT JOIN tp ON tp.s1_id = sp.s1_id AND tp.s23_id = sp.s23_id GROUP BY 1")
@@ -254,13 +279,23 @@ def e11_channel_gain(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("src", "n", "hits", F.round((F.col("hits") - 0.5 * (F.col("n") - F.col("hits"))) / F.col("records"), 6).cast("double").alias("gain"))
 
 
-@q(f"WITH {SP}, {TP}, {S1}, x AS (SELECT sp.*, i FROM sp, (SELECT unnest([0, 1]) AS i) r WHERE i = 0 OR NOT EXISTS (SELECT 1 FROM tp WHERE tp.s23_id = sp.s23_id)), pr AS (SELECT DISTINCT s1_id, s23_id * 2 + i AS s23_id FROM x WHERE p >= 0.9), tr AS (SELECT s1_id, s23_id * 2 AS s23_id FROM tp) {fsql('pr', 'tr')}")
+#: How often queries without truth come, and the buckets of records of which one is left out.
+TIMES, LEFT_OUT = [1, 2, 3], 10
+
+
+@q(f"""WITH {SP}, {TP}, {S1}, ik AS (SELECT s1_id * 4 + k AS s1_id, k FROM s1, (SELECT unnest(range(4)) AS k) WHERE k > 0 OR ('0x' || substr(md5(CAST(s1_id AS VARCHAR)), 1, 8))::BIGINT % {LEFT_OUT} <> 0),
+  x AS (SELECT sp.*, k, r FROM sp, (SELECT unnest(range(4)) AS k) a, (SELECT unnest(range(3)) AS r) b WHERE p >= 0.9 AND (r = 0 OR r < k AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.s23_id = sp.s23_id))), pr AS (SELECT s1_id * 4 + k AS s1_id, s23_id * 4 + r AS s23_id FROM x),
+  tr AS (SELECT s1_id * 4 + k AS s1_id, s23_id * 4 AS s23_id FROM tp, (SELECT unnest(range(4)) AS k)) SELECT * REPLACE (CAST(k AS INTEGER) AS k) FROM ({fsql("(SELECT p.* FROM pr p SEMI JOIN ik ON ik.s1_id = p.s1_id)", "(SELECT t.* FROM tr t SEMI JOIN ik ON ik.s1_id = t.s1_id)", "k", "ik")})""")
 def e14_density_sim(spark: SparkSession, sf: str) -> DataFrame:
-    """The score when queries without truth come twice."""
-    sp, tp = scored_pairs(spark, sf), truth_pairs(spark, sf)
-    twice = sp.join(tp, "s23_id", "left_anti").select("s1_id", (F.col("s23_id") * 2 + 1).alias("s23_id"), "p")
-    pred = sp.select("s1_id", (F.col("s23_id") * 2).alias("s23_id"), "p").unionByName(twice).where("p >= 0.9")
-    return measured(spark, sf, pred, tp.select("s1_id", (F.col("s23_id") * 2).alias("s23_id")))
+    """The score when queries without truth come once, twice and three times (k), and when a tenth of the records is missing, so that their queries have no truth (k = 0)."""
+    sp, tp, ids = scored_pairs(spark, sf).where("p >= 0.9").select("s1_id", "s23_id"), truth_pairs(spark, sf), s1_ids(spark, sf)
+    decoy = sp.join(tp.select("s23_id", F.lit(True).alias("has")), "s23_id", "left")
+    points = decoy.withColumn("k", F.explode(F.array(*map(F.lit, TIMES)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.when(F.col("has"), 0).otherwise(F.col("k") - 1))))
+    pred = points.select("s1_id", (F.col("s23_id") * 4 + F.col("r")).alias("s23_id"), "k")
+    dense = metrics.macro_f05(metrics.record_counts(ids, pred, tp.select("s1_id", (F.col("s23_id") * 4).alias("s23_id")), grid=("k", TIMES)), ["k"])
+    kept = decide.md5_mod(F.col("s1_id"), LEFT_OUT) != 0
+    fewer = metrics.macro_f05(metrics.record_counts(ids.where(kept), sp.where(kept), tp.where(kept)))
+    return dense.unionByName(fewer.withColumn("k", F.lit(0)))
 
 
 @q(f"WITH {SP}, {TP}, g AS (SELECT s23_id, least(count(*), 5) AS size, arg_max(s1_id, struct_pack(p := p, k := -s1_id)) AS top FROM sp GROUP BY 1) SELECT size, count(*) AS n, round(avg(CAST(tp.s1_id = g.top AS DOUBLE)), 6) AS acc FROM g JOIN tp ON tp.s23_id = g.s23_id GROUP BY 1")

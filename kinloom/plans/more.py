@@ -91,8 +91,14 @@ def io7_semi_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(len(embedding) AS BIGINT) AS dim, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings")
 def io12_vector_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written to a store in the shared folder and read back from it, with their lengths."""
+    from kinloom.sources.tables import write_vectors
+
+    path, rows = f"{shared_dir(spark)}/kinloom/vectors-{uuid.uuid4().hex[:12]}", table(spark, sf, "embeddings")
+    write_vectors(rows, path, "vec_id", "embedding")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x * x)), 4).alias("norm"))
+    stored = spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x * x)), 4).alias("norm"))
+    return stored.join(rows.select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
 
 
 @q(f"WITH {PE} SELECT CAST(entity_id AS VARCHAR) AS entity_id, name_core AS business_name, CASE WHEN num > 25 THEN '' ELSE addr END AS business_address, country FROM pe")
@@ -112,12 +118,20 @@ def io6_pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").where("l_quantity >= 45 AND l_returnflag = 'R'").select("l_orderkey", "l_partkey")
 
 
-@q(f"WITH {PE} SELECT entity_id, 'q' || CAST(side AS VARCHAR) AS src, count(*) OVER (PARTITION BY country, name_core) AS name_n FROM pe WHERE side > 1 UNION ALL SELECT entity_id, 's1', count(*) OVER (PARTITION BY country, name_core) FROM pe WHERE side = 1")
+SIDE_COUNTS = {"name_n": ["name_core"], "state_n": ["state"], "name_state_n": ["name_core", "state"], "addr_n": ["addr"]}
+
+
+@q(f"""WITH {PE}, c AS (SELECT entity_id, CASE side WHEN 1 THEN 's1' ELSE 'q' || CAST(side AS VARCHAR) END AS src, side = 1 AS ref, country, name_core, state, addr, num FROM pe)
+  SELECT entity_id, src, length(name_core)::BIGINT AS name_len, len(string_split(name_core, ' '))::BIGINT AS name_words, CAST(num AS VARCHAR) AS nums, {", ".join(f"count(*) OVER (PARTITION BY ref, country, {', '.join(by)}) AS {n}" for n, by in SIDE_COUNTS.items())} FROM c""")
 def io8_load_sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Both sides with their source and how common the name is on the side."""
-    e, w = parts_entities(spark, sf), Window.partitionBy("country", "name_core")
-    n = F.count("*").over(w).alias("name_n")
-    return e.where("side > 1").select("entity_id", F.concat(F.lit("q"), F.col("side").cast("string")).alias("src"), n).unionByName(e.where("side = 1").select("entity_id", F.lit("s1").alias("src"), n))
+    """Both sides with their source, each record's lengths and numbers, and how many records of its side share its name, state, both or address."""
+    e = parts_entities(spark, sf)
+    derived = ["entity_id", "src", F.length("name_core").cast("long").alias("name_len"), F.size(F.split("name_core", " ")).cast("long").alias("name_words"), F.col("num").cast("string").alias("nums"), "country", "name_core", "state", "addr"]
+
+    def side(rows: DataFrame) -> DataFrame:
+        return rows.select(*derived).withColumns({n: F.count(F.lit(1)).over(Window.partitionBy("country", *by)) for n, by in SIDE_COUNTS.items()}).drop("country", "name_core", "state", "addr")
+
+    return side(e.where("side > 1").withColumn("src", F.concat(F.lit("q"), F.col("side").cast("string")))).unionByName(side(e.where("side = 1").withColumn("src", F.lit("s1"))))
 
 
 @q(f"WITH {SP} SELECT s1_id, string_agg(CAST(s23_id AS VARCHAR), ',' ORDER BY s23_id) AS members FROM sp WHERE p >= 0.8 GROUP BY 1")

@@ -165,3 +165,21 @@ def test_member_profile_scores(spark):
     got = {(r.s1_id, r.q_id): [r.cl_ntset_max, r.cl_ntset_mean, r.cl_na_max] for r in rescue.p18_profile_scores(spark, sf).collect()}
     assert met and got.keys() == want.keys()
     assert all(abs(a - b) < 1e-5 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_count_matched(spark):
+    """At the shift found the scores' sum is what was wanted, also for wants that need large shifts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from kinloom.plans import models
+
+    rng = np.random.default_rng(3)
+    p = {"a": rng.random(400), "b": rng.random(50) * 0.01, "c": np.array([0.5])}
+    scored = spark.createDataFrame([(g, float(x)) for g, xs in p.items() for x in xs], "country string, p double")
+    want = spark.createDataFrame([("a", 37), ("b", 45), ("d", 3)], "country string, want long")
+    found = {r.country: r["shift"] for r in models.count_matched(scored, want, "country").collect()}
+    for g, n in (("a", 37), ("b", 45)):
+        c = np.clip(p[g], 0.001, 0.999)
+        assert abs((1 / (1 + np.exp(-(np.log(c / (1 - c)) + found[g])))).sum() - n) < 0.01
+    assert models.count_matched(scored, want.where(F.lit(False)), "country").count() == 0
