@@ -28,7 +28,8 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     Nulls and URLs without `://` have an empty host and path and get the default; null ids stay; repeated rows come back as often
     as they came; other columns are dropped, so their names cannot clash. Which host depths and path lengths are expanded
-    follows from the rules (their distinct pairs, bounded by the longest rule), never from the URLs.
+    follows from the rules (their distinct pairs, bounded by the longest rule), never from the URLs: they are one array of constants.
+    The join's key is the digest's prefix alone; what it brings together by chance falls away when full digests are compared.
     """
     rest = F.expr("substring(u, locate('://', u) + 3)")
     pages = (
@@ -40,24 +41,21 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     )
     rules = rules.where(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull()).dropDuplicates()
     shapes = [(r[0], r[1]) for r in rules.select(F.size(F.split("rule_host", r"\.")), F.length("rule_path")).distinct().collect()]
-    expressions = F.array(
-        *(
-            F.when(F.length("path") >= length, F.struct(F.substring_index("host", ".", -labels).alias("suffix"), F.substring("path", 1, length).alias("start")))
-            for labels, length in sorted(shapes)
-        )
-    )
+    constants = F.array(*(F.struct(F.lit(-labels).alias("labels"), F.lit(length).alias("length")) for labels, length in sorted(shapes)))
     digest = lambda host, path: F.sha2(F.concat(host, F.lit("\n"), path), 256)
     keyed = rules.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX))
     if shapes:
-        exploded = pages.withColumn("e", F.explode_outer(expressions)).withColumn("digest", digest(F.col("e.suffix"), F.col("e.start")))
-        joined = exploded.join(keyed, (F.substring("digest", 1, PREFIX_HEX) == F.col("short")) & (F.col("digest") == F.col("rule_digest")), "left")
+        fitting = F.filter(constants, lambda s: s["length"] <= F.length("path"))
+        suffix, start = F.call_function("substring_index", F.col("host"), F.lit("."), F.col("e.labels")), F.substring("path", F.lit(1), F.col("e.length"))
+        exploded = pages.withColumn("e", F.explode_outer(fitting)).withColumn("digest", digest(suffix, start)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
+        joined = exploded.join(keyed, "short", "left").withColumn("fits", F.col("digest") == F.col("rule_digest"))
     else:
-        joined = pages.withColumns({"rule_host": F.lit(None).cast("string"), "rule_path": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
+        joined = pages.withColumns({"rule_host": F.lit(None).cast("string"), "rule_path": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string"), "fits": F.lit(False)})
     rank = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("total"), F.length("rule_host").alias("depth"), (F.col("rule_verdict") == "block").alias("strict"),
         F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"),
     )
-    best = joined.groupBy("id", "host", "path", "n").agg(F.max(F.when(F.col("rule_host").isNotNull(), rank)).alias("best"))
+    best = joined.groupBy("id", "host", "path", "n").agg(F.max(F.when(F.col("fits"), rank)).alias("best"))
     return best.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -106,7 +106,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """One row per record: file, at (its offset), after (its successor's), head, length, block_digest (SHA-256 hex), and with payloads also block (binary).
 
     Records whose block holds magic are put together from their pieces. Candidates that the chain from the file's start does not
-    reach, and files that do not start with a record, give no rows. Memory in a task: 24 bytes for each candidate of one archive.
+    reach, files that do not start with a record, and a last record that its file's end cuts off give no rows. Memory in a task: 24 bytes for each candidate of one archive.
     Without payloads the blocks stay in the scan and only digests are shuffled.
     """
     chunks = _chunks(spark, path, payloads).where(F.col("at") >= 0)
@@ -127,7 +127,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     joined = (
         owners.select("file", "owner", "at", "raw").join(split.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi")
         .groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", F.concat(magic, "raw").alias("piece")))).alias("parts"))
-        .select("file", F.col("owner").alias("at"), F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("bytes"))
+        .select("file", F.col("owner").alias("at"), F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["piece"])), "")).alias("bytes"))
     )
     mended = split.join(joined, ["file", "at"]).withColumn("block", F.expr(f"substring(bytes, CAST(head_size + {len(MAGIC) + len(CRLF2) + 1} AS INT), CAST(length AS INT))"))
     mended = mended.where(F.octet_length("block") == F.col("length"))
