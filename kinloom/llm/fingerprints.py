@@ -14,8 +14,8 @@ from kinloom.llm.common import lower_words
 
 #: Hashes kept; the standard error of a resemblance r is sqrt(r * (1 - r) / K), 0.044 at most.
 K, WIDTH = 128, 5
-#: Buckets of neighbouring ids that next_text deals rows to, one for about each ROWS_A_BUCKET rows.
-BUCKETS, ROWS_A_BUCKET = 1024, 1000
+#: Buckets of neighbouring ids, one for about each ROWS_A_BUCKET rows: up to BUCKETS by a compiled search, each cut into up to PARTS beyond.
+BUCKETS, ROWS_A_BUCKET, PARTS = 1024, 1000, 64
 
 
 def shingle_hashes(words: Column, width: int = WIDTH) -> Column:
@@ -61,9 +61,15 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+#: Groups that merge_sketches deals a key's hashes to.
+SALTS = 64
+
+
 def merge_sketches(parts: DataFrame, keys: list[str], sketch_col: str, k: int = K) -> DataFrame:
-    """One sketch for each key; only k hashes of a key leave each task, so that hot keys stay small."""
-    hashes = parts.select(*keys, F.explode(sketch_col).alias("hash")).distinct()
+    """One sketch for each key. A hot key's hashes are first ranked in SALTS groups by hash, and of a task's only the k least of a group move."""
+    salted = parts.select(*keys, F.explode(sketch_col).alias("hash")).withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    few = salted.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys, "salt").orderBy("hash"))).where(F.col("rank") <= k)
+    hashes = few.select(*keys, "salt", "hash").distinct().drop("salt")
     least = hashes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).where(F.col("rank") <= k)
     filled = least.groupBy(*keys).agg(F.sort_array(F.collect_list("hash")).alias(sketch_col))
     empty = parts.select(*keys).distinct()
@@ -71,6 +77,12 @@ def merge_sketches(parts: DataFrame, keys: list[str], sketch_col: str, k: int =
     return empty.join(filled, same, "left").select(*(empty[c] for c in keys), F.coalesce(filled[sketch_col], F.array().cast("array<bigint>")).alias(sketch_col))
 
 
+def _parts(rows: DataFrame, place: Column, n: int) -> DataFrame:
+    """(bucket, cuts): up to n - 1 ids at which a bucket is cut further; at most BUCKETS rows of PARTS numbers. Ids alone are read."""
+    shares = [i / n for i in range(1, n)]
+    return rows.where(F.col("id").isNotNull()).groupBy(place.alias("bucket")).agg(F.array_distinct(F.percentile_approx("id", shares, 100 * n)).alias("cuts"))
+
+
 def _bucket(id_col: Column, bounds: list[int], first: int = 0) -> Column:
     """Which of the ranges that end at bounds (inclusive) an id lies in, by a search tree that is compiled."""
     if not bounds:
@@ -95,10 +107,23 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n, largest, quantiles = seen[0], seen[1], sorted(set(seen[2] or []))
     step = max(1, -(-len(quantiles) // max(1, min(BUCKETS, n // ROWS_A_BUCKET))))
     bounds = [q for q in quantiles[step - 1 :: step] if q != largest] if n // ROWS_A_BUCKET > 1 else []
-    place = F.when(F.col("id").isNull(), 0).otherwise(_bucket(F.col("id"), bounds))
-    own = rows.select("id", "text", place.alias("bucket"), F.lit(False).alias("guest"))
-    guests = rows.where(F.col("id").eqNullSafe(largest) | F.col("id").isin(bounds)) if bounds else rows.where(F.col("id").eqNullSafe(largest))
-    guests = guests.select("id", "text", F.when(F.col("id").eqNullSafe(largest), 0).otherwise(place + 1).alias("bucket"), F.lit(True).alias("guest"))
+    parts = min(PARTS, -(-n // (BUCKETS * ROWS_A_BUCKET)))
+    coarse = F.when(F.col("id").isNull(), 0).otherwise(_bucket(F.col("id"), bounds))
+    last = F.col("id").eqNullSafe(largest)
+    if parts > 1:
+        # place: PARTS for each bucket, then how many of its cuts lie below the id; a part's largest id is a cut or a bucket's bound
+        cuts = F.broadcast(_parts(rows, coarse, parts).withColumnRenamed("bucket", "coarse"))
+        rows = rows.withColumn("coarse", coarse).join(cuts, "coarse", "left")
+        within = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("id"))), F.lit(0)))
+        rows = rows.select("id", "text", (F.col("coarse") * PARTS + within).alias("place"), F.coalesce(F.array_contains("cuts", F.col("id")), F.lit(False)).alias("cut"))
+    else:
+        rows = rows.select("id", "text", coarse.alias("place"), F.lit(False).alias("cut"))
+    own = rows.select("id", "text", F.col("place").alias("bucket"), F.lit(False).alias("guest"))
+    edge = F.col("id").isin(bounds) if bounds else F.lit(False)
+    ends = rows.where(last | edge | F.col("cut"))
+    # above a bucket's bound the next bucket begins, above a cut the next part of the bucket
+    above = F.when(last, 0).when(edge, (F.floor(F.col("place") / PARTS) + 1) * PARTS if parts > 1 else F.col("place") + 1).otherwise(F.col("place") + 1)
+    guests = ends.select("id", "text", above.cast("int").alias("bucket"), F.lit(True).alias("guest"))
     # the same rows in each bucket are together from here on: the window below needs no further shuffle
     dealt = own.unionByName(guests).repartition("bucket").withColumn("words", lower_words(F.col("text"))).withColumn("sketch", sketch(F.col("words"), k, width)).drop("words")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")

@@ -30,10 +30,13 @@ BREAKS = frozenset(["br", "hr"])
 CONTAINERS = frozenset("html body main article section div td table blockquote center".split())
 #: Never main text, nor anything inside.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math object select button option textarea menu dialog audio video canvas map xmp noembed noframes".split())
-#: Words of class, id and role attributes that mark what is not the article.
+#: Words of class, id and role attributes that mark what is not the article, and words that may stand beside them in a name and say nothing else:
+#: `related-posts` and `sidebar-left` are marked, `related-work` and `form-factor` are names of their own.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs
 footer masthead topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended
 comment comments commentlist disqus reply replies respond form search pagination pager toolbar complementary contentinfo skip copyright""".split())
+NEUTRAL = frozenset("""area article articles bar block body bottom box button buttons card col column container content desktop element entry fixed global group head heading holder icon icons inner item items left link links
+list local main mobile module outer page panel post posts primary region right row secondary section site slot space sticky stories story text title top unit view wrap wrapper""".split())
 PREFERRED, LIKELY = frozenset(["article", "main"]), frozenset("article content entry post story main body text".split())
 CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPES = frozenset("html body table div article section main ul ol dl blockquote td nav aside form footer header".split())
@@ -43,6 +46,15 @@ DEPTH = 64
 BROADCAST_ROWS = 50_000
 
 
+def marked(value: str) -> bool:
+    """Whether a name in an attribute's value is made of marks and neutral words."""
+    for name in value.split():
+        found = set(NAMES.findall(name))
+        if found & MARKS and found <= MARKS | NEUTRAL:
+            return True
+    return False
+
+
 class Page:
     """A page's containers as (path, parent, prior, chars, link chars) and its blocks of text as (container, text), in page order."""
 
@@ -53,6 +65,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # open block tags and the containers they were opened in
         node, dropped, in_link, piece = 0, 0, False, []  # dropped: length of the stack at which dropping began, plus one
+        open_tags: Counter = Counter()  # how often each tag stands on the stack, so that no tag is searched there in vain
 
         def flush() -> None:
             nonlocal piece
@@ -67,7 +80,8 @@ class Page:
         def pop(to: int) -> None:
             nonlocal node, dropped
             while len(stack) > to:
-                node = stack.pop()[1]
+                tag, node = stack.pop()
+                open_tags[tag] -= 1
                 if dropped and len(stack) < dropped:
                     dropped = 0
 
@@ -99,7 +113,7 @@ class Page:
                 continue
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                     if stack[k][0] == tag:
                         pop(k)
                         break
@@ -110,23 +124,25 @@ class Page:
                 pop(next((k for k, s in enumerate(stack) if s[0] == "head"), len(stack)))
             if stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
-            for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
+            for k in range(len(stack) - 1, -1, -1) if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]) else ():
                 if stack[k][0] in CLOSES[tag]:
                     pop(k)
                     break
                 if stack[k][0] in SCOPES and stack[k][0] not in ("td",):
                     break
             marks: set[str] = set()
-            hidden, classes = False, ""
+            hidden, classes, apart = False, "", False
             for a in ATTRIBUTE.finditer(m[3] or m[6] or ""):
                 name, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
                 hidden |= name == "hidden" or name == "aria-hidden" and value == "true"
                 marks.update(NAMES.findall(value))
+                apart = apart or marked(value)
                 if name == "class":
                     classes = ".".join(sorted(set(NAMES.findall(value))))
+            inside = open_tags["article"] > 0
             stack.append((tag, node))
-            inside = any(s[0] == "article" for s in stack[:-1])
-            if not dropped and (tag in DROPPED or hidden or tag not in ("html", "body", "article", "main") and marks & MARKS or tag == "header" and not inside):
+            open_tags[tag] += 1
+            if not dropped and (tag in DROPPED or hidden or tag not in ("html", "body", "article", "main") and apart or tag == "header" and not inside):
                 dropped = len(stack)
             if tag in CONTAINERS and not dropped and self.path[node].count(">") < DEPTH:
                 self.path.append(f"{self.path[node]}>{tag}" + (f".{classes}" if classes else ""))

@@ -57,6 +57,11 @@ def test_fingerprint_buckets(spark, monkeypatch):
     one = sorted(map(str, fingerprints.fingerprint_pairs(docs).select(key).collect()))
     monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 4)
     assert sorted(map(str, fingerprints.fingerprint_pairs(docs).select(key).collect())) == one and len(one) == 40 + len(ODD)
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 2)
+    for buckets, parts in ((3, 6), (1, 9), (4, 2)):  # more rows than the buckets take are cut further
+        monkeypatch.setattr(fingerprints, "BUCKETS", buckets)
+        monkeypatch.setattr(fingerprints, "PARTS", parts)
+        assert sorted(map(str, fingerprints.fingerprint_pairs(docs).select(key).collect())) == one
     single = fingerprints.fingerprint_pairs(docs.where("doc_id = 3")).first()
     assert single.near_next == 1.0
     assert fingerprints.fingerprint_pairs(docs.limit(0)).count() == 0
@@ -210,6 +215,29 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_marks():
+    """Names made of marks and neutral words are left out; names that only contain a mark are the page's own."""
+    page = lambda name: html_text.Page(f'<div><p>text<div class="{name}">block</div></div>').blocks
+    for name in ("ad", "related-posts", "x sidebar-left", "cookie_notice", "comment-list item", "shareButtons share"):
+        assert [t for _, t in page(name)] == ["text"]
+    for name in ("related-work", "social-policy", "form-factor", "search-results", "rail-transport", "copyright-law", "story", ""):
+        assert [t for _, t in page(name)] == ["text", "block"]
+
+
+def test_html_nesting_time():
+    """Deep nesting and end tags without a start take time in proportion to the page."""
+    import time
+
+    def took(n):
+        source = "<div>" * n + "x" + "</section></p></table>" * n + "<li>y" + "<tr>" * n
+        began = time.process_time()
+        assert [t for _, t in html_text.Page(source).blocks] == ["x", "y"]
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 20 * max(took(2_000), 0.02)
+
+
 @pytest.mark.parametrize("broadcast", [0, html_text.BROADCAST_ROWS])
 def test_html_many_templates(spark, monkeypatch, broadcast):
     """On a host of 30 templates the vote for each holds, also on its pages whose own best container is another one."""
