@@ -38,6 +38,15 @@ def sparse_top_k(weights: DataFrame, part: str, doc: str, k: int, least: float,
     return sims.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
+def pair_dots(pairs: DataFrame, weights: DataFrame, doc: str, q: str = "q_id", s1: str = "s1_id") -> DataFrame:
+    """(q, s1, sim): the exact similarity of given pairs, 0 where no term is shared; a pair's terms meet by pair and term, so no term is a hot key."""
+    keys = pairs.select(q, s1)
+    left = keys.join(weights.where("NOT fit").select(F.col(doc).alias(q), "term", F.col("w").alias("wq")), q)
+    right = keys.join(weights.where("fit").select(F.col(doc).alias(s1), "term", F.col("w").alias("ws")), s1)
+    dots = left.join(right, [q, s1, "term"]).groupBy(q, s1).agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias("sim"))
+    return keys.join(dots, [q, s1], "left").na.fill(0.0, ["sim"])
+
+
 def dense_top_k(q: DataFrame, s: DataFrame, k: int, q_id: str = "q_id", s_id: str = "s1_id", part: str | None = None, block: int = 1000) -> DataFrame:
     """Exact top k by inner product, block against block: (q_id, s_id, sim, rank), ties to the lesser id.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from kinloom.functions import similarity, text
 from kinloom.operators import decide, features, rules
 from kinloom.plans.texts import collapse_sql, drop_sql, fold_sql, map_sql, names_sql, replace_sql
 from kinloom.registry import REGISTRY
-from kinloom.session import shared_dir
+from kinloom.session import stored
 
 q = REGISTRY.query
 
@@ -51,10 +49,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     names = state_names(spark, sf).groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("comp", "state"))).alias("states"))
     r = raw_records(spark, sf).join(names, "country", "left")
     cols = text.name_parts(F.col("business_name")) | text.address_parts(F.col("business_address"), F.col("states"))
-    out = r.select("entity_id", "side", "country", "cell", "kind", "business_name", "business_address", *(c.alias(n) for n, c in cols.items()))
-    path = f"{shared_dir(spark)}/kinloom/records-{uuid.uuid4().hex[:12]}"
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return stored(r.select("entity_id", "side", "country", "cell", "kind", "business_name", "business_address", *(c.alias(n) for n, c in cols.items())), "records")
 
 
 COMPS = f"list_filter(list_transform(string_split({replace_sql(fold_sql('business_address', lower=True), text.BASIC + text.ADDRESS_SAINT)}, ','), lambda c: {collapse_sql(replace_sql('c', text.COMPONENT))}), lambda c: c <> '' AND NOT list_contains({text.NULL_MARKERS}, c))"

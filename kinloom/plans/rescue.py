@@ -12,6 +12,7 @@ from kinloom.plans.records import REC, RP, record_pairs, records, unknown_sql
 from kinloom.plans.retrieval import GRAMS, grams_sql, tfidf_sql
 from kinloom.plans.texts import replace_sql
 from kinloom.registry import REGISTRY
+from kinloom.session import stored
 
 q = REGISTRY.query
 #: Candidates of a query, least similarity, least and greatest document frequency of a gram.
@@ -78,21 +79,91 @@ def view_sql(view: str, prefix: str, least: int, share: float) -> str:
 VIEWS, VIEW_K, VIEW_LEAST = {"c": (2, 0.5), "k": (2, 0.5), "w": (1, 0.3)}, 15, 0.05
 
 
-@q(f"""WITH {REC}, vw AS (SELECT DISTINCT country, unnest(string_split(name_core, ' ')) AS tok FROM rec WHERE side = 1),
+VIEW_SQL = f"""{REC}, vw AS (SELECT DISTINCT country, unnest(string_split(name_core, ' ')) AS tok FROM rec WHERE side = 1),
   asked AS MATERIALIZED (SELECT *, array_to_string(list_filter(string_split(name_core, ' '), lambda t: list_contains(known, t)), ' ') AS cleaned FROM rec JOIN (SELECT country, list(tok) AS known FROM vw GROUP BY 1) v USING (country) WHERE side = 1 OR addr_empty = 1),
   gc AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {GRAMS} AS terms FROM asked), gk AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, {grams_sql("cleaned", 3)} AS terms FROM asked), gw AS (SELECT entity_id AS id, country AS part, side = 1 AS fit, list_filter(string_split(cleaned, ' '), lambda t: t <> '') AS terms FROM asked),
-  {", ".join(view_sql(f"g{v}", f"{v}_", *VIEWS[v]) for v in VIEWS)} {" UNION ".join(f"SELECT q_id, s1_id FROM {v}_rk WHERE rank < {VIEW_K} AND sim > {VIEW_LEAST}" for v in VIEWS)}""")
-def b12_view_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of queries without an address by any of three views: grams of the name, grams and words of the name without words that no reference record of the country has."""
+  {", ".join(view_sql(f"g{v}", f"{v}_", *VIEWS[v]) for v in VIEWS)}, cand AS MATERIALIZED ({" UNION ".join(f"SELECT q_id, s1_id FROM {v}_rk WHERE rank < {VIEW_K} AND sim > {VIEW_LEAST}" for v in VIEWS)})"""
+
+
+def name_views(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Reference records and queries without an address with their cleaned names, each view's weights, and the candidates of any view."""
     r = records(spark, sf)
-    asked = r.where((F.col("side") == 1) | (F.col("addr_empty") == 1)).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), "name_core")
+    asked = r.where((F.col("side") == 1) | (F.col("addr_empty") == 1)).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), "name_core", "legal", "cell", "addr_empty")
     words = asked.select("id", "part", "is_ref", F.posexplode(F.split("name_core", " ")).alias("at", "tok"))
     known = words.where("is_ref").select("part", "tok").distinct()
     kept = words.join(known, ["part", "tok"], "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "tok"))).alias("kept"))
-    asked = asked.join(kept, "id", "left").withColumn("cleaned", F.coalesce(F.array_join(F.col("kept.tok"), " "), F.lit("")))
+    asked = asked.join(kept, "id", "left").withColumn("cleaned", F.coalesce(F.array_join(F.col("kept.tok"), " "), F.lit(""))).drop("kept")
+    asked = stored(asked, "asked")
     terms = {"c": arrays.char_ngrams(F.col("name_core"), 3), "k": arrays.char_ngrams(F.col("cleaned"), 3), "w": F.filter(F.split("cleaned", " "), lambda t: t != "")}
-    found = [blocking.sparse_top_k(blocking.tfidf(asked.withColumn("terms", terms[v]), F.col("is_ref"), "part", "id", "terms", *VIEWS[v]), "part", "id", VIEW_K, VIEW_LEAST).select("q_id", "s1_id") for v in VIEWS]
-    return found[0].union(found[1]).union(found[2]).distinct()
+    weights = {v: stored(blocking.tfidf(asked.withColumn("terms", terms[v]), F.col("is_ref"), "part", "id", "terms", *VIEWS[v]), "weights") for v in VIEWS}
+    found = [blocking.sparse_top_k(weights[v], "part", "id", VIEW_K, VIEW_LEAST).select("q_id", "s1_id") for v in VIEWS]
+    return asked, weights, stored(found[0].union(found[1]).union(found[2]).distinct(), "candidates")
+
+
+@q(f"WITH {VIEW_SQL} SELECT q_id, s1_id FROM cand")
+def b12_view_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of queries without an address by any of three views: grams of the name, grams and words of the name without words that no reference record of the country has."""
+    return name_views(spark, sf)[2]
+
+
+SETS = {"sh": "list_filter(t1, lambda t: list_contains(tq, t))", "m1": "list_filter(t1, lambda t: NOT list_contains(tq, t))", "mq": "list_filter(tq, lambda t: NOT list_contains(t1, t))"}
+RANKS_SQL = ", ".join(f"row_number() OVER (PARTITION BY q_id ORDER BY s_{v} DESC, s1_id) AS rk_{v}, round(s_{v} - max(s_{v}) OVER w, 6) AS g_{v}" for v in VIEWS)
+
+
+@q(f"""WITH {VIEW_SQL}, tok_df AS (SELECT country, tok, count(*) AS df FROM (SELECT DISTINCT country, entity_id, unnest(string_split(name_core, ' ')) AS tok FROM rec WHERE side = 1) GROUP BY 1, 2), nc AS (SELECT country, name_core, count(*) AS n FROM rec WHERE side = 1 GROUP BY 1, 2),
+  x AS MATERIALIZED (SELECT c.*, s.country, s.cell, s.name_core AS n1, o.name_core AS nq, o.cleaned AS kq, s.cleaned AS k1, s.legal AS l1, o.legal AS lq, s.addr_empty AS s1_empty, nc.n AS s1_ncnt, {", ".join(f"coalesce({v}_sims.sim, 0)::DOUBLE AS s_{v}" for v in VIEWS)},
+    list_distinct(list_filter(string_split(s.cleaned, ' '), lambda t: t <> '')) AS t1, list_distinct(list_filter(string_split(o.cleaned, ' '), lambda t: t <> '')) AS tq
+    FROM cand c JOIN asked s ON s.entity_id = c.s1_id JOIN asked o ON o.entity_id = c.q_id JOIN nc ON nc.country = s.country AND nc.name_core = s.name_core {" ".join(f"LEFT JOIN {v}_sims ON {v}_sims.q_id = c.q_id AND {v}_sims.s1_id = c.s1_id" for v in VIEWS)}),
+  y AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in SETS.items())} FROM x), qn AS (SELECT country, nq, count(DISTINCT q_id) AS q_ncnt FROM x GROUP BY 1, 2),
+  lo AS (SELECT q_id, s1_id, min(df) FILTER (WHERE miss) AS min_df_miss1, min(df) FILTER (WHERE NOT miss) AS min_df_shared FROM (SELECT q_id, s1_id, country, unnest(m1) AS tok, true AS miss FROM y UNION ALL SELECT q_id, s1_id, country, unnest(sh), false FROM y) e JOIN tok_df ON tok_df.country = e.country AND tok_df.tok = e.tok GROUP BY 1, 2)
+  SELECT y.q_id, y.s1_id, s_c, s_k, s_w, {RANKS_SQL.replace("q_id", "y.q_id").replace("s1_id", "y.s1_id")}, count(*) OVER w AS n_c, CAST(n1 = y.nq AS INTEGER) AS eq, CAST(k1 = kq AS INTEGER) AS eqk, {unknown_sql("l1", "lq")} AS leq, CAST(cell = 'India' AS INTEGER) AS is_in, s1_ncnt, q_ncnt, s1_empty, length(n1)::BIGINT AS len1, length(y.nq)::BIGINT AS lenq,
+    count(*) OVER (PARTITION BY y.s1_id) AS s1_nq, round(len(sh) / greatest(len(tq), 1)::DOUBLE, 6) AS fq_in1, round(len(sh) / greatest(len(t1), 1)::DOUBLE, 6) AS f1_inq, len(tq)::BIGINT AS nq_tok, len(t1)::BIGINT AS n1_tok, CAST(string_split(k1, ' ')[1] = string_split(kq, ' ')[1] AS INTEGER) AS ftok_eq,
+    coalesce(min_df_miss1, -1) AS min_df_miss1, coalesce(min_df_shared, -1) AS min_df_shared, len(m1)::BIGINT AS n_miss1, len(mq)::BIGINT AS n_missq, round(jaro_winkler_similarity(n1, y.nq), 6) AS jw
+  FROM y JOIN qn ON qn.country = y.country AND qn.nq = y.nq LEFT JOIN lo ON lo.q_id = y.q_id AND lo.s1_id = y.s1_id WINDOW w AS (PARTITION BY y.q_id)""")
+def p17_view_feats(spark: SparkSession, sf: str) -> DataFrame:
+    """What the views, names and words say of name-only candidates; the features from the other scorers are those of p17_view_scores."""
+    asked, weights, cand = name_views(spark, sf)
+    d = view_pairs(asked, weights, cand)
+    refs = asked.where("is_ref").select("part", "id", F.explode(F.array_distinct(F.split("name_core", " "))).alias("tok")).groupBy("part", "tok").agg(F.count(F.lit(1)).alias("df"))
+    sets = {"sh": F.array_intersect("t1", "tq"), "m1": F.array_except("t1", "tq"), "mq": F.array_except("tq", "t1")}
+    d = d.withColumns({"t1": features.words("k1"), "tq": features.words("kq")}).withColumns(sets)
+    marked = F.concat(F.transform("m1", lambda t: F.struct(t.alias("tok"), F.lit(True).alias("miss"))), F.transform("sh", lambda t: F.struct(t.alias("tok"), F.lit(False).alias("miss"))))
+    rare = d.select("q_id", "s1_id", "part", F.explode(marked).alias("e")).select("q_id", "s1_id", "part", "e.tok", "e.miss").join(refs, ["part", "tok"])
+    rare = rare.groupBy("q_id", "s1_id").agg(F.min(F.when(F.col("miss"), F.col("df"))).alias("min_df_miss1"), F.min(F.when(~F.col("miss"), F.col("df"))).alias("min_df_shared"))
+    named = asked.where("is_ref").groupBy("part", F.col("name_core").alias("n1")).agg(F.count(F.lit(1)).alias("s1_ncnt"))
+    same = d.groupBy("part", "nq").agg(F.countDistinct("q_id").alias("q_ncnt"))
+    d = d.join(named, ["part", "n1"]).join(same, ["part", "nq"]).join(rare, ["q_id", "s1_id"], "left").na.fill(-1, ["min_df_miss1", "min_df_shared"])
+    by_q, n, flag = Window.partitionBy("q_id"), lambda c: F.size(c).cast("long"), lambda a, b: (a == b).cast("int")
+    share = lambda of: F.round(F.size("sh") / F.greatest(F.size(of), F.lit(1)), 6)
+    ranks = [x for v in VIEWS for x in ((windows.rank0("q_id", f"s_{v}", "s1_id") + 1).alias(f"rk_{v}"), F.round(windows.gap_to_best("q_id", f"s_{v}"), 6).alias(f"g_{v}"))]
+    return d.select(
+        "q_id", "s1_id", "s_c", "s_k", "s_w", *ranks, F.count(F.lit(1)).over(by_q).alias("n_c"), flag(F.col("n1"), F.col("nq")).alias("eq"), flag(F.col("k1"), F.col("kq")).alias("eqk"), features.same_or_unknown("l1", "lq").alias("leq"),
+        flag(F.col("cell"), F.lit("India")).alias("is_in"), "s1_ncnt", "q_ncnt", "s1_empty", F.length("n1").cast("long").alias("len1"), F.length("nq").cast("long").alias("lenq"), F.count(F.lit(1)).over(Window.partitionBy("s1_id")).alias("s1_nq"),
+        share("tq").alias("fq_in1"), share("t1").alias("f1_inq"), n("tq").alias("nq_tok"), n("t1").alias("n1_tok"), flag(F.get(F.split("k1", " "), F.lit(0)), F.get(F.split("kq", " "), F.lit(0))).alias("ftok_eq"), "min_df_miss1", "min_df_shared",
+        n("m1").alias("n_miss1"), n("mq").alias("n_missq"), F.round(similarity.scorer("jaro_winkler")(F.col("n1"), F.col("nq")), 6).alias("jw"),
+    )
+
+
+def view_pairs(asked: DataFrame, weights: dict[str, DataFrame], cand: DataFrame) -> DataFrame:
+    """Candidates with both sides' names and each view's similarity."""
+    left = asked.where("is_ref").select(F.col("id").alias("s1_id"), "part", "cell", F.col("name_core").alias("n1"), F.col("cleaned").alias("k1"), F.col("legal").alias("l1"), F.col("addr_empty").alias("s1_empty"))
+    right = asked.where("NOT is_ref").select(F.col("id").alias("q_id"), F.col("name_core").alias("nq"), F.col("cleaned").alias("kq"), F.col("legal").alias("lq"))
+    d = cand.join(left, "s1_id").join(right, "q_id")
+    for v, w in weights.items():
+        d = d.join(blocking.pair_dots(cand, w, "id").withColumnRenamed("sim", f"s_{v}"), ["q_id", "s1_id"])
+    return d
+
+
+@q()
+def p17_view_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The ratios of name-only candidates, the views' similarities and ratio together, and their ranks, gaps and ties within the query."""
+    a, b, by_q = F.col("n1"), F.col("nq"), Window.partitionBy("q_id")
+    d = view_pairs(*name_views(spark, sf)).select("q_id", "s1_id", "s_c", "s_k", "s_w", F.round(similarity.scorer("ratio")(a, b), 6).alias("r"), F.round(similarity.scorer("token_set_ratio")(a, b), 6).alias("ts"))
+    d = d.withColumn("comb", F.round(F.col("s_c") + F.col("s_k") + F.col("s_w") + F.col("r") / 100, 6))
+    d = d.withColumns({"rk_r": windows.rank0("q_id", "r", "s1_id") + 1, "rk_comb": windows.rank0("q_id", "comb", "s1_id") + 1})
+    second = F.coalesce(F.max(F.when(F.col("rk_comb") == 2, F.col("comb"))).over(by_q), F.col("comb"))
+    d = d.withColumn("top", F.max("r").over(by_q))
+    return d.select("q_id", "s1_id", "r", "ts", "rk_r", "comb", "rk_comb", F.round(windows.gap_to_best("q_id", "comb"), 6).alias("comb_gap"), F.round(F.col("comb") - second, 6).alias("comb_gap2"), F.round(windows.gap_to_best("q_id", "r"), 6).alias("r_gap"), F.count_if(F.col("r") >= F.col("top") - 3).over(by_q).alias("r_ntie"))
 
 
 SKELETON_SQL = f"trim(regexp_replace({replace_sql('lower(name_core)', text.SKELETON_ALL)}, ' +', ' ', 'g'))"

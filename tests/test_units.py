@@ -183,3 +183,24 @@ def test_count_matched(spark):
         c = np.clip(p[g], 0.001, 0.999)
         assert abs((1 / (1 + np.exp(-(np.log(c / (1 - c)) + found[g])))).sum() - n) < 0.01
     assert models.count_matched(scored, want.where(F.lit(False)), "country").count() == 0
+
+
+def test_view_scores(spark):
+    """Ratios, ranks, gaps and ties of name-only candidates against plain Python."""
+    from helpers import DATA
+
+    from kinloom.functions import similarity
+    from kinloom.plans import rescue
+
+    sf = f"{DATA}/sf0.001"
+    names = {(r.q_id, r.s1_id): (r.n1, r.nq, r.s_c + r.s_k + r.s_w) for r in rescue.view_pairs(*rescue.name_views(spark, sf)).collect()}
+    got = {(r.q_id, r.s1_id): r for r in rescue.p17_view_scores(spark, sf).collect()}
+    assert names and got.keys() == names.keys()
+    for (q, s), r in got.items():
+        own = {k: got[k] for k in got if k[0] == q}
+        ratio = similarity.ratio(*names[q, s][:2])
+        assert abs(r.r - ratio) < 1e-5 and abs(r.ts - similarity.token_set_ratio(*names[q, s][:2])) < 1e-5 and abs(r.comb - names[q, s][2] - ratio / 100) < 1e-5
+        order = sorted(own, key=lambda k: (-own[k].comb, k[1]))
+        assert r.rk_comb == order.index((q, s)) + 1 and abs(r.comb_gap - (r.comb - own[order[0]].comb)) < 1e-5
+        assert abs(r.comb_gap2 - (r.comb - own[order[min(1, len(order) - 1)]].comb)) < 1e-5 or len(order) == 1
+        assert r.r_ntie == sum(o.r >= max(x.r for x in own.values()) - 3 for o in own.values())
