@@ -187,6 +187,46 @@ def b9_state_dual_view(spark: SparkSession, sf: str) -> DataFrame:
     return found(F.split("addr", " ")).union(found(grams)).distinct()
 
 
+STATE_SQL = f"""{REC}, sk AS MATERIALIZED (SELECT *, side = 1 AS fit, trim(regexp_replace({replace_sql('lower(name_core)', text.SKELETON_ALL)}, ' +', ' ', 'g')) AS skel FROM rec WHERE addr_core <> '' AND state <> ''),
+  ga AS (SELECT entity_id AS id, country AS part, fit, string_split(addr_core, ' ') AS terms FROM sk), gs AS (SELECT entity_id AS id, country AS part, fit, list_concat({grams_sql("skel", 2)}, {grams_sql("skel", 3)}) AS terms FROM sk), {", ".join(view_sql(f"g{v}", f"{v}_", 1, 1.0) for v in "as")},
+  cd AS MATERIALIZED (SELECT q_id, s1_id, max(a)::DOUBLE AS asim, max(n)::DOUBLE AS nsim FROM (SELECT q_id, s1_id, sim AS a, 0 AS n FROM a_sims UNION ALL SELECT q_id, s1_id, 0, sim FROM s_sims) u JOIN sk x ON x.entity_id = q_id JOIN sk y ON y.entity_id = s1_id WHERE x.state = y.state AND greatest(a, n) > 0.01 GROUP BY 1, 2)"""
+GAPS = ["asim", "nsim", "comb", "num_fq", "w_fq"]
+
+
+@q(f"""WITH {STATE_SQL}, x AS (SELECT cd.*, round(asim + nsim, 6) AS comb, s.name_core AS n1, o.name_core AS nq, s.skel AS k1, o.skel AS kq, s.legal AS l1, o.legal AS lq, list_distinct(string_split(s.addr_core, ' ')) AS t1, list_distinct(string_split(o.addr_core, ' ')) AS tq FROM cd JOIN sk s ON s.entity_id = s1_id JOIN sk o ON o.entity_id = q_id),
+  y AS (SELECT *, list_filter(t1, lambda t: regexp_matches(t, '[0-9]')) AS u1, list_filter(tq, lambda t: regexp_matches(t, '[0-9]')) AS uq, list_filter(t1, lambda t: NOT regexp_matches(t, '[0-9]')) AS w1, list_filter(tq, lambda t: NOT regexp_matches(t, '[0-9]')) AS wq FROM x),
+  z AS (SELECT *, len(list_intersect(u1, uq))::BIGINT AS num_sh, len(uq)::BIGINT AS num_q, len(u1)::BIGINT AS num_1, len(list_intersect(w1, wq))::BIGINT AS w_sh, len(wq)::BIGINT AS w_q, len(w1)::BIGINT AS w_1 FROM y),
+  f AS (SELECT *, round(num_sh / greatest(num_q, 1)::DOUBLE, 6) AS num_fq, round(w_sh / greatest(w_q, 1)::DOUBLE, 6) AS w_fq, row_number() OVER (PARTITION BY q_id ORDER BY comb DESC, s1_id) AS rk_comb, row_number() OVER (PARTITION BY q_id ORDER BY asim DESC, s1_id) AS rk_asim, row_number() OVER (PARTITION BY q_id ORDER BY nsim DESC, s1_id) AS rk_nsim FROM z),
+  k AS (SELECT * FROM f WHERE rk_comb <= 10 OR rk_asim <= 2 OR rk_nsim <= 2)
+  SELECT q_id, s1_id, asim, nsim, comb, rk_asim, rk_nsim, rk_comb, num_sh, num_q, num_1, w_sh, w_q, w_1, CAST(k1 = kq AS INTEGER) AS key_eq, CAST(n1 = nq AS INTEGER) AS eq, {unknown_sql("l1", "lq")} AS leq, num_fq, w_fq, round(jaro_winkler_similarity(n1, nq), 6) AS jw, length(n1)::BIGINT AS len1, length(nq)::BIGINT AS lenq,
+    count(*) OVER w AS n_c, count(*) OVER (PARTITION BY s1_id) AS s1_nq, {", ".join(f"round({c} - max({c}) OVER w, 6) AS {c}_gap" for c in GAPS)}, round(comb - coalesce(max(CASE WHEN rk_comb = 2 THEN comb END) OVER w, comb), 6) AS comb_gap2, round(comb - max(comb) OVER (PARTITION BY s1_id), 6) AS comb_s1gap FROM k WINDOW w AS (PARTITION BY q_id)""")
+def p16_state_feats(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of queries with an address and a state, the ten best by both views and the two best of either, with what names, numbers and words say."""
+    r = stored(records(spark, sf).where("addr_core <> '' AND state <> ''").withColumns({"skel": text.skeleton(F.col("name_core")), "fit": F.col("side") == 1}), "addressed")
+    base = r.select(F.col("entity_id").alias("id"), F.col("country").alias("part"), "fit", F.concat_ws("/", "country", "state").alias("place"), "addr_core", "skel")
+    terms = {"asim": F.split("addr_core", " "), "nsim": F.concat(arrays.char_ngrams(F.col("skel"), 2), arrays.char_ngrams(F.col("skel"), 3))}
+    weights = {n: stored(blocking.tfidf(base.withColumn("terms", t), F.col("fit"), "part", "id", "terms", 1, 1.0).drop("part").join(base.select("id", "place"), "id"), "weights") for n, t in terms.items()}
+    # the sum's best need not be among either view's best, so both views keep all that they find within the state
+    met = {n: blocking.sparse_top_k(w, "place", "id", 1 << 30, 0.01).select("q_id", "s1_id", F.col("sim").alias(n)) for n, w in weights.items()}
+    d = met["asim"].join(met["nsim"], ["q_id", "s1_id"], "full_outer").na.fill(0.0, ["asim", "nsim"]).withColumn("comb", F.round(F.col("asim") + F.col("nsim"), 6))
+    side = lambda where, key, end: r.where(where).select(F.col("entity_id").alias(key), *(F.col(c).alias(a + end) for c, a in (("name_core", "n"), ("skel", "k"), ("legal", "l"), ("addr_core", "a"))))
+    d = d.withColumns({f"rk_{c}": windows.rank0("q_id", c, "s1_id") + 1 for c in ("comb", "asim", "nsim")}).where("rk_comb <= 10 OR rk_asim <= 2 OR rk_nsim <= 2")
+    d = d.join(side("fit", "s1_id", "1"), "s1_id").join(side("NOT fit", "q_id", "q"), "q_id")
+    digit = lambda t: t.rlike("[0-9]")
+    for end in "1q":
+        d = d.withColumn(f"t{end}", features.words(f"a{end}")).withColumns({f"u{end}": F.filter(f"t{end}", digit), f"w{end}": F.filter(f"t{end}", lambda t: ~digit(t))})
+    n, flag = lambda c: F.size(c).cast("long"), lambda a, b: (F.col(a) == F.col(b)).cast("int")
+    d = d.withColumns({"num_sh": n(F.array_intersect("u1", "uq")), "num_q": n("uq"), "num_1": n("u1"), "w_sh": n(F.array_intersect("w1", "wq")), "w_q": n("wq"), "w_1": n("w1")})
+    d = d.withColumns({f: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6) for f, a, b in (("num_fq", "num_sh", "num_q"), ("w_fq", "w_sh", "w_q"))})
+    by_q, by_s1 = Window.partitionBy("q_id"), Window.partitionBy("s1_id")
+    second = F.coalesce(F.max(F.when(F.col("rk_comb") == 2, F.col("comb"))).over(by_q), F.col("comb"))
+    return d.select(
+        "q_id", "s1_id", "asim", "nsim", "comb", "rk_asim", "rk_nsim", "rk_comb", "num_sh", "num_q", "num_1", "w_sh", "w_q", "w_1", flag("k1", "kq").alias("key_eq"), flag("n1", "nq").alias("eq"), features.same_or_unknown("l1", "lq").alias("leq"), "num_fq", "w_fq",
+        F.round(similarity.scorer("jaro_winkler")(F.col("n1"), F.col("nq")), 6).alias("jw"), F.length("n1").cast("long").alias("len1"), F.length("nq").cast("long").alias("lenq"), F.count(F.lit(1)).over(by_q).alias("n_c"), F.count(F.lit(1)).over(by_s1).alias("s1_nq"),
+        *(F.round(windows.gap_to_best("q_id", c), 6).alias(f"{c}_gap") for c in GAPS), F.round(F.col("comb") - second, 6).alias("comb_gap2"), F.round(F.col("comb") - F.max("comb").over(by_s1), 6).alias("comb_s1gap"),
+    )
+
+
 #: Score from which a record's best query is one of its members.
 SURE = 0.9
 
