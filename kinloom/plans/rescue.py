@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.fixtures import PE, parts_entities
 from kinloom.functions import arrays, similarity, text
 from kinloom.operators import blocking, features, windows
-from kinloom.plans.records import REC, RP, record_pairs, records, unknown_sql
+from kinloom.plans.records import FIRST, REC, RP, diff_sql, record_pairs, records, top_pairs, unknown_sql
 from kinloom.plans.retrieval import GRAMS, grams_sql, tfidf_sql
 from kinloom.plans.texts import replace_sql
 from kinloom.registry import REGISTRY
@@ -266,6 +266,29 @@ def p18_profile_scores(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("s1_id", "q_id", *(F.round(c, 6).alias(c) for c in names), gap("cl_nratio_max").alias("cl_nratio_gap"), gap("cl_na_max").alias("cl_na_gap"))
 
 
+def place_free_sql(a: str) -> str:
+    """SQL of an address's different words without digits that are not among the record's places."""
+    return f"list_distinct(list_filter(string_split({a}, ' '), lambda t: t <> '' AND NOT list_contains(string_split(replace(c1, '|', ' '), ' '), t) AND NOT regexp_matches(t, '[0-9]')))"
+
+
+@q(f"""WITH {RP}, d AS (SELECT *, {FIRST}, {place_free_sql("a1")} AS w1, {place_free_sql("aq")} AS wq, len({diff_sql("nq", "n1")}) AS na, len({diff_sql("n1", "nq")}) AS nd FROM top WHERE e2 = 0)
+  SELECT s1_id, q_id, CASE WHEN na = 0 AND nd = 0 THEN 'eq' WHEN na = 1 AND nd = 0 THEN 'add1' WHEN na = 0 AND nd = 1 THEN 'drop1' WHEN na = 1 AND nd = 1 THEN 'swap1' ELSE 'other' END AS name_cell,
+    CASE WHEN x IS NULL AND y IS NULL THEN 'both_missing' WHEN y IS NULL THEN 'q_missing' WHEN x IS NULL THEN 's1_missing' WHEN y = x THEN 'eq' WHEN y - x BETWEEN 1 AND 25 THEN 'up' WHEN y - x BETWEEN -25 AND -1 THEN 'down' ELSE 'far' END AS num_cell,
+    CASE WHEN l1 = lq THEN 'same' WHEN l1 = '' THEN 'add' WHEN lq = '' THEN 'drop' ELSE 'chg' END AS legal_cell, CASE WHEN len(list_intersect(w1, wq)) / CAST(greatest(len(w1), len(wq), 1) AS DOUBLE) >= 0.5 THEN 'hi' ELSE 'lo' END AS street_cell FROM d""")
+def p22_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """How the best pair of each query with an address differs: in name words, first number, legal form and street words (those outside the record's places)."""
+    top = top_pairs(record_pairs(spark, sf)).where("e2 = 0")
+    places = features.words(F.replace("c1", F.lit("|"), F.lit(" ")))
+    streets = {end: F.filter(F.array_except(features.words(f"a{end}"), places), lambda t: ~t.rlike(r"\d")) for end in "1q"}
+    d = top.withColumns({"x": features.first_number("u1"), "y": features.first_number("uq"), "w1": streets["1"], "wq": streets["q"], "na": F.size(F.array_except(features.words("nq"), features.words("n1"))), "nd": F.size(F.array_except(features.words("n1"), features.words("nq")))})
+    came, went, off = F.col("na"), F.col("nd"), F.col("y") - F.col("x")
+    name = F.when((came == 0) & (went == 0), "eq").when((came == 1) & (went == 0), "add1").when((came == 0) & (went == 1), "drop1").when((came == 1) & (went == 1), "swap1").otherwise("other")
+    num = F.when(F.col("x").isNull() & F.col("y").isNull(), "both_missing").when(F.col("y").isNull(), "q_missing").when(F.col("x").isNull(), "s1_missing").when(off == 0, "eq").when(off.between(1, 25), "up").when(off.between(-25, -1), "down").otherwise("far")
+    legal = F.when(F.col("l1") == F.col("lq"), "same").when(F.col("l1") == "", "add").when(F.col("lq") == "", "drop").otherwise("chg")
+    shared = F.size(F.array_intersect("w1", "wq")) / F.greatest(F.size("w1"), F.size("wq"), F.lit(1))
+    return d.select("s1_id", "q_id", name.alias("name_cell"), num.alias("num_cell"), legal.alias("legal_cell"), F.when(shared >= 0.5, "hi").otherwise("lo").alias("street_cell"))
+
+
 NULL_WORD = r"(^|[ ,])(null|none|nan|n/a)($|[ ,])"
 
 

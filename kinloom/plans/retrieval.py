@@ -194,12 +194,6 @@ def p20_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(F.broadcast(r), "country").select("country", "tok", F.round(share, 6).alias("share"))
 
 
-@q(f"WITH {PAIRS} SELECT CASE WHEN n1 = nq THEN 'same' WHEN contains(nq, n1) THEN 'adds' WHEN len(list_intersect(string_split(n1, ' '), string_split(nq, ' '))) > 0 THEN 'part' ELSE 'other' END AS name_cell, CASE WHEN k1 = kq THEN 'eq' ELSE 'ne' END AS num_cell, count(*) AS n FROM pr GROUP BY 1, 2")
-def p22_cells(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(F.col("n1") == F.col("nq"), "same").when(F.contains("nq", "n1"), "adds").when(F.arrays_overlap(F.split("n1", " "), F.split("nq", " ")), "part").otherwise("other")
-    return entity_pairs(spark, sf).groupBy(name.alias("name_cell"), F.when(F.col("k1") == F.col("kq"), "eq").otherwise("ne").alias("num_cell")).agg(F.count("*").alias("n"))
-
-
 @q(f"WITH {TOKENS} SELECT country, side, tok, n, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, side ORDER BY n DESC, tok) AS k FROM (SELECT country, side, tok, count(*) AS n FROM dt GROUP BY 1, 2, 3)) WHERE k <= 5")
 def e19_token_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     n = token_diffs(spark, sf).groupBy("country", "side", "tok").agg(F.count("*").alias("n"))
