@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +34,28 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/kinloom/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows that Python gets at once while a table is written: with Spark's 10,000 whole texts, executor and worker each hold all of a task's input.
+ROWS_A_BATCH = 1000
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside hand at most ROWS_A_BATCH rows to Python at once; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,9 +9,11 @@ down, first-fit-decreasing patterns take what is left, and each class's ranked p
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,40 @@ GAP, COLUMNS = 2e-4, 3000
 #: Rows that one task ranks, about.
 ROWS_A_RANK = 200_000
 #: Chunks whose ids a task remembers.
-CACHE = 250_000
+CACHE = 150_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
+def added_tokens(vocabulary: str) -> list[str]:
+    """The texts of the added tokens of a tokenizers file, without its model."""
+    with open(vocabulary, encoding="utf-8") as f:
+        text = f.read()
+    key = '"added_tokens"'
+    tokens, _ = json.JSONDecoder().raw_decode(text[text.index(key) + len(key) :].lstrip(" \t\r\n:"))
+    return [t["content"] for t in tokens]
+
+
 def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Callable[[list[str]], list[bytes]]:
     """From texts to their ids as little-endian unsigned 32-bit numbers, as tokenizers gives them with add_special_tokens=False.
 
     With ranks (the same vocabulary for tiktoken) and its pattern, texts are cut before single spaces, where the pattern always begins a new
-    word; each distinct chunk is encoded once and remembered. Texts with runs of white space or special tokens go through tokenizers whole.
+    word; each distinct chunk is encoded once and remembered. Texts with runs of white space or special tokens go through tokenizers whole,
+    whose model is read when the first of them comes: it would take 40 MB of every worker.
     """
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
-    specials = [t.content for t in whole.get_added_tokens_decoder().values()]
+    @lru_cache(1)
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
     pack = lambda ids: np.array(ids, np.uint32).tobytes()
     if ranks is None:
-        return lambda texts: [pack(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [pack(e.ids) for e in whole().encode_batch(texts, add_special_tokens=False)]
     import tiktoken
 
+    specials = added_tokens(vocabulary)
+
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     quick = tiktoken.Encoding("quick", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -61,7 +78,7 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
 
     def encode(text: str) -> bytes:
         if _TWO_SPACES.search(text) or any(s in text for s in specials):
-            return pack(whole.encode(text, add_special_tokens=False).ids)
+            return pack(whole().encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         return pack(quick(first)) + b"".join([known[c] for c in rest])
 

@@ -70,3 +70,32 @@ def test_remote_side_joins(spark):
     key = lambda df: sorted((str(r.doc_id), len(r.text or "")) for r in df.collect())
     assert key(decontamination.without_leaks(docs, items, broadcast_rows=0)) == key(decontamination.without_leaks(docs, items))
     assert key(ngram_join.one_of_each(docs, ngram_join.Likeness(), broadcast_ids=0)) == key(ngram_join.one_of_each(docs, ngram_join.Likeness()))
+
+
+def test_short_batches(spark):
+    """What Python gets at once while a table is written is bounded, and the session's setting comes back."""
+    import pyarrow as pa
+
+    from kinloom.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = common.materialize(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r.n for r in rows) == 5000 and max(r.n for r in rows) <= common.ROWS_A_BATCH
+    assert spark.conf.get(key) == own
+
+
+def test_added_tokens():
+    """Special tokens are found without the tokenizer's model, as the model gives them."""
+    from tokenizers import Tokenizer
+
+    from kinloom.llm import packing
+    from kinloom.llm.queries import vocabulary
+
+    path = vocabulary()[0]
+    assert packing.added_tokens(path) == [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
