@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import arrays
+from kinloom.operators import blocking
 
 #: Pseudo-count towards the country's prior in token statistics.
 SMOOTH = 20.0
@@ -152,6 +153,37 @@ def sibling_features(pairs: DataFrame) -> DataFrame:
     return d.select("s1_id", "q_id", "sib_num", "sib_name").join(agg, ["s1_id", "q_id"], "left").na.fill(-1, names)
 
 
+def group_siblings(s: DataFrame, o: DataFrame, on: list[str]) -> DataFrame:
+    """sibling_features of all pairs of a record (s1_id, n1) and a query (q_id, nq, uq) that agree in the columns on.
+
+    All records of a group have the group's queries, so words, names and numbers are counted by group; what a name adds and lacks is found once for each two names, and pairs
+    follow from arrays of ids.
+    """
+    ones = F.count(F.lit(1))
+    q = o.select(*on, "q_id", "nq", F.get(F.split("uq", " "), F.lit(0)).alias("fq"))
+    numbers = q.groupBy(*on, "fq").agg((ones - 1).alias("sib_num"))
+    q = q.join(numbers, [*on, "fq"], "left").select(*on, "q_id", "nq", F.coalesce("sib_num", F.lit(-1)).alias("sib_num"))
+    names = q.groupBy(*on, "nq").agg((ones - 1).alias("sib_name"))
+    each = names.select(*on, "nq", "sib_name", F.explode(words("nq")).alias("tok"))
+    counts = each.groupBy(*on, "tok").agg(F.sum(F.col("sib_name") + 1).alias("ct"))
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        told = df.select(*on, name, F.explode(words(name)).alias("tok")).join(counts, [*on, "tok"], "left").groupBy(*on, name).agg(F.collect_list(F.struct("tok", F.coalesce("ct", F.lit(0)).alias("ct"))).alias(f"t_{name}"))
+        return df.join(told, [*on, name], "left").withColumn(f"t_{name}", F.coalesce(f"t_{name}", F.array().cast("array<struct<tok:string,ct:bigint>>")))
+
+    left = counted("n1", s.select(*on, "n1").distinct()).join(names.groupBy(*on).agg(F.sum(F.col("sib_name") + 1).alias("nx")), on)
+    left = blocking.held(s, [*on, "n1"], "s1_id", F.col("s1_id"), "s1_ids").join(left, [*on, "n1"])
+    right = blocking.held(q, [*on, "nq"], "q_id", F.struct("q_id", "sib_num"), "asked").join(counted("nq", names), [*on, "nq"])
+    met = blocking.class_pairs(left, right, on, "s1_ids")
+    alone = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.col(f"{b}.tok"), x["tok"]))
+    added, lack = F.transform(alone("t_nq", "t_n1"), lambda x: x["ct"] - 1), F.transform(alone("t_n1", "t_nq"), lambda x: F.col("nx") - x["ct"] - 1)
+    ends = [F.coalesce(f(c), F.lit(-1)).alias(f"sib_{n}_{e}") for n, c in (("add", added), ("drop", lack)) for e, f in (("min", F.array_min), ("max", F.array_max))]
+    met = met.select("s1_ids", "asked", "sib_name", *ends)
+    rest = met.columns[2:]
+    each = met.select(F.explode("s1_ids").alias("s1_id"), "asked", *rest).select("s1_id", F.explode("asked").alias("x"), *rest)
+    return each.select("s1_id", "x.q_id", "x.sib_num", *rest)
+
+
 def shift_cells(top: DataFrame) -> DataFrame:
     """top with dg (how far the first numbers are apart: d1, d2, d3 for decoy shifts, dx up to 25, else null), up, leg (the legal forms) and nsame."""
     d = first_number("uq") - first_number("u1")

@@ -74,6 +74,22 @@ def test_number_pairs_by_class(spark, monkeypatch):
     assert rows(got, *want.columns) == rows(want, *want.columns) != [] and explodes(got)
 
 
+def test_siblings_by_group(spark, monkeypatch):
+    """Counted by group, as by pair; also with empty names and unknown numbers."""
+    from pyspark.sql import functions as F
+
+    from kinloom.operators import blocking, features
+
+    monkeypatch.setattr(blocking, "HELD", 2)
+    k = F.col("id")
+    name = lambda *parts: F.when(k % 11 == 0, "").otherwise(F.concat_ws(" ", *(F.concat(F.lit(c), (k % m).cast("string")) for c, m in parts)))
+    s = spark.range(30).select((k % 2).alias("g"), k.alias("s1_id"), name(("a", 3), ("b", 2)).alias("n1"))
+    o = spark.range(100, 160).select((k % 3).alias("g"), k.alias("q_id"), name(("a", 4), ("b", 3)).alias("nq"), F.when(k % 5 > 0, F.concat((k % 3).cast("string"), F.lit(" 7"))).alias("uq"))
+    want = features.sibling_features(s.join(o, "g"))
+    got = features.group_siblings(s, o, ["g"])
+    assert rows(got, *want.columns) == rows(want, *want.columns) != [] and explodes(got)
+
+
 def test_ratios_by_class(spark, monkeypatch):
     from kinloom.functions import similarity as S
     from kinloom.operators import blocking
