@@ -102,3 +102,9 @@ def test_ratios_by_class(spark, monkeypatch):
     want = {(r.s1_id, r.q_id): scores(r.n1, r.nq) for r in texts.entity_pairs(spark, SF).collect()}
     found = rows(got, "s1_id", "q_id", "ratio", "partial", "token_sort", "token_set", "no_space")
     assert len(found) == len(want) > 0 and all(abs(x - y) < 1e-5 for r in found for x, y in zip(r[2:], want[r[:2]], strict=True)) and explodes(got)
+
+
+def test_minhash_pairs_follow_from_arrays(spark):
+    from kinloom.plans import more
+
+    assert explodes(more.b18_minhash_candidates(spark, SF))
