@@ -163,5 +163,6 @@ def e2_scalar_f05(spark: SparkSession, sf: str) -> DataFrame:
 @q(f"WITH {PE}, {WORDS}, {tfidf_sql('va', 1, 1.0)} SELECT q_id, s1_id, rank FROM rk WHERE rank < 3")
 def b3_b4_ranked_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """0-based ranks of word retrieval for all countries at once."""
-    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), F.split("name_core", " ").alias("terms"))
-    return blocking.sparse_top_k(blocking.tfidf(e, F.col("is_ref"), "part", "id", "terms", 1, 1.0), "part", "id", 3, 0.01).select("q_id", "s1_id", "rank")
+    e = parts_entities(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), (F.col("side") == 1).alias("is_ref"), "name_core")
+    weights = blocking.text_weights(e, "name_core", lambda c: F.split(c, " "), 1, 1.0)
+    return blocking.of_queries(e, "name_core", blocking.text_top_k(e, "name_core", weights, 3, 0.01)).select("q_id", "s1_id", "rank")

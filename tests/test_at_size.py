@@ -119,3 +119,25 @@ def test_profile_by_group(spark, monkeypatch):
     pairs, met = rescue.member_pairs(spark, SF)
     count = {(r.s1_id, r.q_id): r["count"] for r in met.groupBy("s1_id", "q_id").count().collect()}
     assert {(r.s1_id, r.q_id): r.cl_n for r in got.collect()} == {(r.s1_id, r.q_id): count.get((r.s1_id, r.q_id), 0) for r in pairs.select("s1_id", "q_id").collect()} and explodes(got)
+
+
+def test_similar_documents_without_a_shuffle_of_pairs(spark):
+    """In shards of few documents, with repeated rows, ids in two parts and terms that are missing: as a join of postings gives it, and after the weights no pair is shuffled."""
+    from pyspark.sql import functions as F
+
+    from kinloom.operators import blocking, windows
+    from kinloom.plans import retrieval
+
+    k = F.col("id")
+    terms = F.when(k % 13 > 0, F.array(F.lit("a"), *(F.concat(F.lit(c), (k % m).cast("string")) for c, m in (("b", 3), ("c", 5))), F.when(k % 7 > 0, F.lit("d"))))
+    docs = spark.range(80).select(k, F.when(k % 4 > 0, "x").otherwise("y").alias("part"), (k % 3 == 0).alias("is_ref"), terms.alias("terms"))
+    docs = docs.unionByName(docs.where("id % 5 = 0")).unionByName(docs.where("id < 20").withColumn("part", F.lit("y"))).unionByName(docs.where("id = 3").withColumn("part", F.lit(None).cast("string")))
+    weights = blocking.tfidf(docs, F.col("is_ref"), "part", "id", "terms", 2, 0.9)
+    sims = blocking.cosines(weights, "part", "id", 0.01, ["q_id", "s1_id"])
+    best = sims.withColumn("rank", windows.rank0("q_id", "sim", "s1_id")).where("rank < 4")
+    cols = ["q_id", "s1_id", "sim", "rank"]
+    assert rows(blocking.sparse_top_k(weights, "part", "id", 4, 0.01, postings=7), *cols) == rows(best, *cols) != []
+    vectors = blocking.doc_vectors(weights, "id")
+    one = best.where("q_id >= 20 AND s1_id >= 20")
+    assert rows(blocking.vector_dots(one, vectors, "id"), *cols[:3]) == rows(one, *cols[:3]) != []
+    assert "Exchange" not in retrieval.b2_tfidf_topk(spark, SF)._jdf.queryExecution().executedPlan().toString()
