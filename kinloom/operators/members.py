@@ -179,16 +179,17 @@ SCHEMA = "s1 array<long>, asked array<long>, own array<int>, ni array<int>, ai a
 NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
 
-def _blocks(df: DataFrame, of: DataFrame, on: list[str], key, value, name: str) -> DataFrame:
-    """(on, name): values in blocks of about BLOCK rows of df."""
+def _blocks(df: DataFrame, of: DataFrame, on: list[str], key, value, name: str, *apart: str) -> DataFrame:
+    """(on, name): values in blocks of about BLOCK rows of df, of which none has rows that differ in apart."""
     many = df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    return of.join(many, on).withColumn("block", F.pmod(F.xxhash64(*key), "blocks")).groupBy(*on, "block").agg(F.collect_list(value).alias(name)).drop("block")
+    return of.join(many, on).withColumn("block", F.pmod(F.xxhash64(*key), "blocks")).groupBy(*on, "block", *apart).agg(F.collect_list(value).alias(name)).drop("block", *apart)
 
 
 def record_blocks(s: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
-    """(on, refs): records (on, s1_id) with their members (s1_id, m_id, nm, am)."""
+    """(on, refs): records (on, s1_id) with their members (s1_id, m_id, nm, am); repeated records lie in different blocks, so that a block finds a query's own by its id."""
+    s = s.groupBy(*on, "s1_id").agg(F.count(F.lit(1)).alias("copies")).select(*on, "s1_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     own = members.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("m_id", "nm", "am"))).alias("members"))
-    return _blocks(s, s.join(own, "s1_id", "left"), on, ["s1_id"], F.struct("s1_id", F.coalesce("members", F.array().cast(own.schema["members"].dataType)).alias("members")), "refs")
+    return _blocks(s, s.join(own, "s1_id", "left"), on, ["s1_id"], F.struct("s1_id", F.coalesce("members", F.array().cast(own.schema["members"].dataType)).alias("members")), "refs", "copy")
 
 
 def query_blocks(o: DataFrame, on: list[str], *more: str) -> DataFrame:

@@ -181,3 +181,17 @@ def test_scores_all_by_all():
         for xs, ys in ((texts[:5], texts[3:9]), (texts[4:], texts)):
             assert known(xs, ys).tolist() == [[one(a, b) for b in ys] for a in xs]
     assert members.rounded(np.array([0.1953125, -0.1953125, 0.0, 100.0, 1.0000005])).tolist() == [0.195313, -0.195313, 0.0, 100.0, 1.000001]
+
+
+def test_profile_scores_of_repeated_keys(spark, tmp_path):
+    """A record or query that comes twice gives its pairs again, and is no member of its own record's either copy."""
+    from kinloom.plans import rescue
+    from pyspark.sql import functions as F
+
+    part = spark.read.parquet(f"{SF}/part.parquet").where("p_partkey < 24").withColumns({"p_brand": F.lit("Brand#1"), "p_type": F.lit("SMALL")})
+    got = {}
+    for name, again in (("one", 0), ("two", 12)):
+        part.unionByName(part.where(F.col("p_partkey") < again)).coalesce(1).write.parquet(f"{tmp_path}/{name}/part.parquet")
+        got[name] = rescue.p18_profile_scores(spark, f"{tmp_path}/{name}").collect()
+    copies = lambda k: 2 if k < 12 else 1
+    assert sorted(map(tuple, got["two"])) == sorted(tuple(r) for r in got["one"] for _ in range(copies(r.s1_id) * copies(r.q_id))) and len(got["one"]) == 8 * 16
