@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontamination, ngram_join, packing, quality, toxicity
-from kinloom.llm.common import held_out, materialize, table
+from kinloom.llm.common import dealt, held_out, materialize, table
 from kinloom.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are scored toxic go; the classifier learns from the labels outside its test fold."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
-    scored = toxicity.scores(docs, labels, docs.columns, source=table(spark, sf_dir, "documents"))
+    scored = toxicity.scores(dealt(docs), labels, docs.columns, source=table(spark, sf_dir, "documents"))
     return scored.where("predicted = 0").select(docs.columns)
 
 

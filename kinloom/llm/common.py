@@ -59,6 +59,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one partition, and times an even share of all, beyond which a table is dealt out anew; and into how many partitions at most: so many are written without being sorted.
+ROWS_A_TASK, LOPSIDED, DEALT = 20_000, 2, 200
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of df, a written table, dealt out evenly if one task would read most of them: a file is split between row groups only.
+
+    Rows are counted from the files' footers; a task that reads a large row group then has no Python worker beside it, and Python's work is shared by all.
+    """
+    counts = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not counts or max(counts) <= max(ROWS_A_TASK, LOPSIDED * sum(counts) / df.sparkSession.sparkContext.defaultParallelism):
+        return df
+    return df.repartition(max(2, min(DEALT, sum(counts) * 10 // ROWS_A_TASK)), F.monotonically_increasing_id())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

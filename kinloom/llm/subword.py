@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, bag: Bag, how: Training, id_col: str
     mark = F.xxhash64("text")
     # the ids first, at most 2 * rows_a_class of them, then as many of their rows
     chosen = F.broadcast(DataFrame.unionByName(*first(clean)))
-    rows = texts.join(chosen, "id").select("id", "y", mark.alias("mark")).distinct()
+    # written, so that the texts are read once for both classes, not by two tasks side by side
+    rows = materialize(texts.join(chosen, "id").select("id", "y", mark.alias("mark")).distinct(), "marked")
     rows = F.broadcast(materialize(DataFrame.unionByName(*first(rows, "mark")), "labelled"))
 
     def make():

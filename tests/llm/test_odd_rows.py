@@ -99,3 +99,21 @@ def test_added_tokens():
 
     path = vocabulary()[0]
     assert packing.added_tokens(path) == [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
+def test_lopsided_input_is_dealt_out(spark, tmp_path, monkeypatch):
+    """A table in one row group goes to several tasks, no row is lost or doubled, and small or even tables stay as they are."""
+    from kinloom.llm import common
+
+    rows = [(k % 90, f"text {k % 90}" if k % 7 else None) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(common.dealt(docs)) == parts(docs) == 1 and common.dealt(docs.limit(0)).count() == 0
+    monkeypatch.setattr(common, "ROWS_A_TASK", 20)
+    monkeypatch.setattr(common, "LOPSIDED", 0.5)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert parts(common.dealt(docs)) > 1 and key(common.dealt(docs)) == key(docs)
+    stage = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert parts(stage) > 1
