@@ -37,7 +37,9 @@ def b18_minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
     # few pairs of names, many of records: these follow from arrays of ids, and no pair is shuffled
     side = lambda where, n, ids: blocking.held(e.where(where).withColumnRenamed("name_core", n), [n], "entity_id", F.col("entity_id"), ids)
     met = blocking.class_pairs(close.join(side("side > 1", "nq", "q_ids"), "nq"), side("side = 1", "n1", "s1_ids"), ["n1"], "q_ids")
-    return met.select(F.explode("q_ids").alias("q_id"), "s1_ids", "distance").select("q_id", F.explode("s1_ids").alias("s1_id"), "distance")
+    # transform is not compiled, so queries come one by one; compiled as one, both explodes would hold all pairs of two arrays at once
+    each = met.select(F.explode(F.transform("q_ids", lambda i: i)).alias("q_id"), "s1_ids", "distance")
+    return each.select("q_id", F.explode("s1_ids").alias("s1_id"), "distance")
 
 
 @q(f"WITH {TOKENS}, i AS (SELECT country, tok, count(*) AS n_in, avg(CAST(same AS DOUBLE)) AS in_same FROM dt WHERE side = 'xq' GROUP BY 1, 2), o AS (SELECT country, tok, count(*) AS n_out, avg(CAST(same AS DOUBLE)) AS out_same FROM dt WHERE side = 'x1' GROUP BY 1, 2) SELECT coalesce(i.country, o.country) AS country, coalesce(i.tok, o.tok) AS tok, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, round((coalesce(n_in, 0) + 1) / CAST(coalesce(n_out, 0) + 1 AS DOUBLE), 6) AS in_out, round(in_same, 6) AS in_same, round(out_same, 6) AS out_same FROM i FULL JOIN o ON i.country = o.country AND i.tok = o.tok")

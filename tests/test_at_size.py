@@ -110,6 +110,17 @@ def test_minhash_pairs_follow_from_arrays(spark):
     assert explodes(more.b18_minhash_candidates(spark, SF))
 
 
+def test_minhash_pairs_of_one_query_at_a_time(spark):
+    """The two explodes are not compiled as one, which would hold all pairs of two arrays at once; no pair comes twice."""
+    from kinloom.plans import more
+
+    got = more.b18_minhash_candidates(spark, SF)
+    found = got.collect()
+    lines = [x.strip(" :+-") for x in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n") if "Generate explode" in x and "_ids" in x]
+    assert len(lines) >= 2 and lines[0].startswith("*(") and not lines[1].startswith("*(")
+    assert len(found) == len({(r.q_id, r.s1_id) for r in found}) > 0
+
+
 def test_profile_by_group(spark, monkeypatch):
     from kinloom.operators import blocking
     from kinloom.plans import rescue
